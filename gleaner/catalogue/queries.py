@@ -239,7 +239,8 @@ def corpus_stats(spark, folder):
 def _matches(spark, folder):
     corpus, terms = D.corpus(spark, folder), L.explode_terms(probe(spark))
     found = corpus.postings([row.term for row in terms.collect()])
-    return corpus, L.term_matches(found, terms, F.lit(corpus.passage_count))
+    weights = L.term_weights(found, terms, F.lit(corpus.passage_count))
+    return corpus, L.term_matches(found, weights)
 
 
 def term_matches(spark, folder):

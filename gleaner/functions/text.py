@@ -73,6 +73,11 @@ def query_terms(text: Column) -> Column:
     return F.slice(distinct_terms(text), 1, MAX_QUERY_TERMS)
 
 
+def sorted_line(words: Column) -> Column:
+    """Tokens sorted into one string, each followed by a space."""
+    return F.concat(F.array_join(F.sort_array(words), " "), F.lit(" "))
+
+
 def term_counts(words: Column) -> Column:
     """Count equal tokens of one row: ``array<struct<term, n>>``, sorted by term.
 
@@ -80,8 +85,7 @@ def term_counts(words: Column) -> Column:
     joined string at every change of token.  The row never leaves its task, so
     counting needs no shuffle.
     """
-    line = F.concat(F.array_join(F.sort_array(words), " "), F.lit(" "))
-    runs = F.regexp_extract_all(line, F.lit(r"([^ ]+ )\1*"), F.lit(0))
+    runs = F.regexp_extract_all(sorted_line(words), F.lit(r"([^ ]+ )\1*"), F.lit(0))
 
     def entry(run: Column) -> Column:
         term = F.substring_index(run, " ", 1)

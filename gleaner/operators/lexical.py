@@ -1,8 +1,10 @@
 """Lexical retrieval: term frequencies, corpus statistics and BM25.
 
 Frequencies are counted inside each passage's own row, so turning passages into
-postings needs no shuffle.  Scores join the (small) query terms to the postings
-and are summed by ``(query_id, path, ordinal)`` with map-side partial sums.
+postings needs no shuffle.  Scores join the (small) query terms to postings and
+are summed by ``(query_id, path, ordinal)``.  Postings taken straight from
+passages keep each passage's terms together, so its sum is complete before the
+shuffle; postings sorted by term suit one query, which reads few of them.
 """
 
 from __future__ import annotations
@@ -17,16 +19,21 @@ from gleaner.functions import text as T
 from gleaner.operators.ranking import top_per_group
 
 PASSAGE = ("path", "ordinal")
+# Equal tokens of the text, then of the path (marked by a slash), or of the path alone.
+FIELD_RUN = r"(([^ /]+) )\1*(?:(\2/ )\3*)?|([^ /]+/ )\4*"
 
 
-def term_frequencies(passages: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
-    """One row per passage: its length and its counted terms.
+def term_frequencies(
+    passages: DataFrame, terms: Sequence[str] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per passage: ``dl``, its token count, and ``runs`` of equal tokens.
 
-    With ``terms`` only those are counted, which keeps the rows of a one-off scan
-    small; lengths always count every token.
+    With ``terms`` only those are kept, which keeps the rows of a one-off scan
+    small; lengths always count every token.  ``keep`` names columns to carry.
     """
     words = passages.select(
         *PASSAGE,
+        *keep,
         T.tokens(F.col("path")).alias("path_words"),
         T.tokens(F.col("text")).alias("text_words"),
     )
@@ -36,29 +43,25 @@ def term_frequencies(passages: DataFrame, terms: Sequence[str] | None = None) ->
             return F.col(column)
         return F.filter(column, lambda word: word.isin(list(terms)))
 
-    sized = words.select(
-        *PASSAGE,
-        (F.size("path_words") + F.size("text_words")).alias("dl"),
-        wanted("path_words").alias("path_words"),
-        wanted("text_words").alias("text_words"),
+    # A slash marks the tokens of the path and sorts them behind their equals.
+    marked = F.transform(wanted("path_words"), lambda word: F.concat(word, F.lit("/")))
+    runs = F.regexp_extract_all(
+        T.sorted_line(F.concat(wanted("text_words"), marked)), F.lit(FIELD_RUN), F.lit(0)
     )
-
-    def split_fields(entry: Column) -> Column:
-        in_path = F.size(F.filter("path_words", lambda word: word == entry["term"]))
-        return F.struct(
-            entry["term"].alias("term"),
-            in_path.alias("tf_path"),
-            (entry["n"] - in_path).alias("tf_text"),
-        )
-
-    counts = T.term_counts(F.concat("path_words", "text_words"))
-    return sized.select(*PASSAGE, "dl", F.transform(counts, split_fields).alias("terms"))
+    length = (F.size("path_words") + F.size("text_words")).alias("dl")
+    return words.select(*PASSAGE, *keep, length, runs.alias("runs"))
 
 
 def postings_of(frequencies: DataFrame) -> DataFrame:
-    return frequencies.select(*PASSAGE, "dl", F.inline("terms")).select(
-        "term", *PASSAGE, "tf_path", "tf_text", "dl"
+    run = F.col("run")
+    in_path = F.char_length(run) - F.char_length(F.replace(run, F.lit("/")))
+    term = F.substring_index(F.substring_index(run, " ", 1), "/", 1)
+    tokens = (F.char_length(run) - F.col("tf_path")) / (F.char_length("term") + 1)
+    counted = frequencies.select(*PASSAGE, "dl", F.explode("runs").alias("run")).withColumns(
+        {"term": term, "tf_path": in_path}
     )
+    in_text = tokens.cast("int") - F.col("tf_path")
+    return counted.select("term", *PASSAGE, "tf_path", in_text.alias("tf_text"), "dl")
 
 
 def postings(passages: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
@@ -87,13 +90,17 @@ def term_df(entries: DataFrame, query_terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_matches(
+def term_weights(
     entries: DataFrame, query_terms: DataFrame, passages: Column
 ) -> DataFrame:
-    """Postings of the query terms, with their inverse passage frequency."""
-    weights = query_terms.join(term_df(entries, query_terms), "term").select(
+    """``query_id, term, idf`` of the query terms that occur at all."""
+    return query_terms.join(term_df(entries, query_terms), "term").select(
         "query_id", "term", R.idf(passages, F.col("df")).alias("idf")
     )
+
+
+def term_matches(entries: DataFrame, weights: DataFrame) -> DataFrame:
+    """Postings of the weighted query terms."""
     return entries.join(weights, "term")
 
 
@@ -122,7 +129,7 @@ def best_passage(scores: DataFrame) -> DataFrame:
 def lexical_shortlist(best: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` best documents of each query, by BM25 and then path."""
     order = [F.desc("bm25"), F.asc("path")]
-    return top_per_group(best, "query_id", order, limit, salt="path").drop("rank")
+    return top_per_group(best, "query_id", order, limit).drop("rank")
 
 
 def fill_shortlist(

@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SLICES = 64
 
 
-def top_per_group(
-    rows: DataFrame, group: str, order: Sequence[Column], limit: int, salt: str | None = None
-) -> DataFrame:
+def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
     """Rows ranked 1..limit inside each group, in ``rank``.
 
-    One group may hold most of the rows.  With ``salt`` each group is first cut
-    into slices that keep their own top rows, so the task that finishes a group
-    sees at most ``SALTS * limit`` rows however large the group is.
+    Every task passes on at most ``limit`` rows of a group.  Where more than
+    ``SLICES`` tasks feed one, their rows are first merged in that many slices,
+    so the task that finishes a group sees at most ``SLICES * limit`` rows
+    however large the group is.
     """
-    if salt is not None:
-        sliced = rows.withColumn("slice", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    feeding = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if feeding > SLICES:
+        sliced = rows.withColumn("slice", F.spark_partition_id() % SLICES)
         within = Window.partitionBy(group, "slice").orderBy(*order)
         rows = sliced.withColumn("rank", F.row_number().over(within))
         rows = rows.where(F.col("rank") <= limit).drop("rank", "slice")
@@ -44,7 +44,7 @@ def max_passage_score(scored: DataFrame) -> DataFrame:
 def top_k(pooled: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, score, path, passage, source`` of the k best documents."""
     order = [F.desc("score"), F.asc("path")]
-    best = top_per_group(pooled, "query_id", order, k, salt="path")
+    best = top_per_group(pooled, "query_id", order, k)
     return best.select("query_id", "rank", "score", "path", "passage", "source")
 
 

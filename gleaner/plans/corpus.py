@@ -19,13 +19,16 @@ LITERAL_LOOKUP = 2000
 
 @dataclass(frozen=True)
 class Corpus:
-    """``documents(path)``, ``passages`` and ``postings`` with their statistics.
+    """``documents(path)`` and ``passages`` with their statistics.
 
-    ``fetch`` turns ``(path, ordinal, ...)`` rows into passages with their text.
+    ``postings`` gives the postings of some terms or of all, ``frequencies`` the
+    token runs of every passage, and ``fetch`` turns ``(path, ordinal, ...)`` rows
+    into passages with their text.
     """
 
     documents: DataFrame
     passages: DataFrame
+    frequencies: DataFrame
     postings: Callable[[list[str] | None], DataFrame]
     fetch: Callable[[DataFrame, bool], DataFrame]
     document_count: int
@@ -40,11 +43,15 @@ class Corpus:
         """``query_id, path, ordinal, bm25, tier``: ``limit`` documents per query.
 
         ``single`` says that ``queries`` has one row: its terms become literals,
-        so that the postings scan reads nothing else.
+        so that the postings scan reads nothing else.  Many queries share most of
+        the vocabulary; they take their postings from the passages instead.
         """
         terms = L.explode_terms(queries)
         literals = [row.term for row in terms.collect()] if single else None
-        matches = L.term_matches(self.postings(literals), terms, F.lit(self.passage_count))
+        stored = self.postings(literals)
+        weights = L.term_weights(stored, terms, F.lit(self.passage_count))
+        entries = stored if single else L.postings_of(self.frequencies)
+        matches = L.term_matches(entries, weights)
         scores = L.bm25_scores(matches, F.lit(self.mean_length))
         lexical = L.lexical_shortlist(L.best_passage(scores), limit)
         # Short rows without text; both the fill and the final union read them.
@@ -90,6 +97,7 @@ def scan(documents: DataFrame, query: str, chunk_chars: int = P.CHUNK_CHARS) ->
     return Corpus(
         documents=documents.select("path"),
         passages=passages,
+        frequencies=frequencies,
         postings=lambda _: L.postings_of(frequencies),
         fetch=lambda keys, _: P.cut_selected(documents, keys, chunk_chars),
         document_count=counts.documents,

@@ -44,7 +44,7 @@ COMMIT = (
 )
 PASSAGES = (
     "path string, ordinal int, text string, digest string, source string, stamp string, "
-    "reason string, dl int, segment string"
+    "reason string, dl int, runs array<string>, segment string"
 )
 POSTINGS = (
     "term string, path string, ordinal int, tf_path int, tf_text int, dl int, "
@@ -173,6 +173,7 @@ class Index:
         return Corpus(
             documents=self.documents(),
             passages=self.passages(),
+            frequencies=self.passages(),
             postings=self.postings,
             fetch=self._lookup,
             document_count=commit.documents,
@@ -238,12 +239,9 @@ class Index:
         refused = F.col("reason").isNotNull()
         body = F.when(~refused, F.col("text")).otherwise(F.lit(""))
         cut = P.chunk(read.withColumn("text", body), self._chunk_chars)
-        words = F.size(T.tokens(F.col("path"))) + F.size(T.tokens(F.col("text")))
-        rows = cut.select(
-            "path", "ordinal",
-            F.when(~refused, F.col("text")).alias("text"),
-            "digest", "source", "stamp", "reason", words.alias("dl"),
-        )
+        rows = L.term_frequencies(
+            cut, keep=["text", "digest", "source", "stamp", "reason"]
+        ).withColumn("text", F.when(~refused, F.col("text")))
         rows.write.option("parquet.bloom.filter.enabled#path", "true").option(
             "parquet.bloom.filter.expected.ndv#path", str(PATHS_PER_ROW_GROUP)
         ).parquet(f"{self._folder}/passages/segment={segment}")
@@ -275,9 +273,9 @@ class Index:
         term over several tasks and merge small buckets.
         """
         rows = self._segments("passages", PASSAGES, [segment]).where("reason IS NULL")
-        entries = L.postings(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
+        entries = L.postings_of(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
         spread = entries.hint("rebalance", F.col("bucket"))
-        ordered = spread.sortWithinPartitions("bucket", "term", "path", "ordinal")
+        ordered = spread.sortWithinPartitions("bucket", "term")
         target = f"{self._folder}/postings/segment={segment}"
         ordered.write.partitionBy("bucket").parquet(target)
 
