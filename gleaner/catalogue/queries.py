@@ -176,8 +176,7 @@ def _judged(spark, folder, criteria=True):
 
 
 def _keyed(spark, folder):
-    scorer = J.TOKEN_OVERLAP
-    return J.with_keys(_judged(spark, folder), scorer.name, scorer.version)
+    return J.with_keys(_judged(spark, folder))
 
 
 def score_keys(spark, folder):
@@ -411,7 +410,7 @@ def document_text(spark, folder):
 def results_with_text(spark, folder):
     corpus = D.corpus(spark, folder)
     found = S.search(corpus, probe(spark), D.TOP, single=True)
-    shown = S.with_text(found.results, corpus.passages, corpus.chunk_chars)
+    shown = S.with_text(found.results, corpus)
     return shown.select("query_id", "rank", "path", "score", "text")
 
 

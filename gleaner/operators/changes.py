@@ -31,7 +31,7 @@ def removed_docs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def cascade_keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows whose document is still there."""
-    return rows.join(kept.select("path").distinct(), "path", "left_semi")
+    return rows.join(kept.select("path"), "path", "left_semi")
 
 
 def refresh_counts(diff: DataFrame) -> DataFrame:

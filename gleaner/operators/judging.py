@@ -135,14 +135,18 @@ def checked_scores(scored: DataFrame) -> DataFrame:
     )
 
 
-def with_keys(judgements: DataFrame, name: str, version: str) -> DataFrame:
-    """Add ``namespace`` (query, criteria, scorer) and ``key`` (plus the passage)."""
+def with_namespace(queries: DataFrame, name: str, version: str) -> DataFrame:
+    """Add ``namespace``: the query, its criteria and the scorer as one digest."""
     asked = F.array("query", F.lit(name), F.lit(version), "yes", "no")
-    keyed = judgements.withColumn("namespace", F.sha2(F.to_json(asked), 256))
+    return queries.withColumn("namespace", F.sha2(F.to_json(asked), 256))
+
+
+def with_keys(judgements: DataFrame) -> DataFrame:
+    """Add ``key``: the namespace and everything that identifies the passage."""
     judged = F.array(
         "namespace", "path", F.col("ordinal").cast("string"), "digest", "source"
     )
-    return keyed.withColumn("key", F.sha2(F.to_json(judged), 256))
+    return judgements.withColumn("key", F.sha2(F.to_json(judged), 256))
 
 
 def cache_lookup(keyed: DataFrame, scores: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.session import materialize
 
-# Up to this many shortlisted passages are looked up by literal path.
-LITERAL_LOOKUP = 2000
+# A shortlist of at most this many passages is looked up by literal path where
+# scanning the paths of all passages would cost more than planning such a filter.
+LITERAL_KEYS = 2000
+LITERAL_PASSAGES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -22,8 +24,8 @@ class Corpus:
     """``documents(path)`` and ``passages`` with their statistics.
 
     ``postings`` gives the postings of some terms or of all, ``frequencies`` the
-    token runs of every passage, and ``fetch`` turns ``(path, ordinal, ...)`` rows
-    into passages with their text.
+    token runs of every passage; ``fetch`` turns ``(path, ordinal, ...)`` rows into
+    passages with their text, and ``texts`` distinct paths into whole documents.
     """
 
     documents: DataFrame
@@ -31,6 +33,7 @@ class Corpus:
     frequencies: DataFrame
     postings: Callable[[list[str] | None], DataFrame]
     fetch: Callable[[DataFrame, bool], DataFrame]
+    texts: Callable[[DataFrame], DataFrame]
     document_count: int
     passage_count: int
     mean_length: float
@@ -71,7 +74,8 @@ class Corpus:
             )
         keys = self.shortlist(queries, limit, single).select("query_id", "path", "ordinal")
         keys = materialize(keys, "shortlist")
-        found = self.fetch(keys, single and limit <= LITERAL_LOOKUP)
+        literal = single and limit <= LITERAL_KEYS and self.passage_count > LITERAL_PASSAGES
+        found = self.fetch(keys, literal)
         return found.select("query_id", "path", "ordinal", "text", "digest", "source")
 
 
@@ -100,6 +104,7 @@ def scan(documents: DataFrame, query: str, chunk_chars: int = P.CHUNK_CHARS) ->
         frequencies=frequencies,
         postings=lambda _: L.postings_of(frequencies),
         fetch=lambda keys, _: P.cut_selected(documents, keys, chunk_chars),
+        texts=lambda paths: documents.join(paths, "path").select("path", "text"),
         document_count=counts.documents,
         passage_count=counts.passages,
         mean_length=counts.mean_length or 1.0,

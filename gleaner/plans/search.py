@@ -13,6 +13,7 @@ from gleaner.operators import passages as P
 from gleaner.operators import query_specs as Q
 from gleaner.operators import ranking as K
 from gleaner.plans.corpus import Corpus, scan
+from gleaner.session import materialize
 from gleaner.sources.scores import ScoreCache
 
 Scorer = J.ColumnScorer | J.BatchScorer
@@ -77,9 +78,16 @@ def read_query(spark: SparkSession, spec: str) -> DataFrame:
     return one_query(spark, row.query, row.yes, row.no)
 
 
-def judgements(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+def asked_of(queries: DataFrame, scorer: Scorer) -> DataFrame:
+    """The queries as the scorer gets them, with the namespace of their scores."""
     asked = J.effective_criteria(queries.select("query_id", "query", "yes", "no"))
-    return J.with_state(candidates.join(asked, "query_id"))
+    return J.with_namespace(asked, scorer.name, scorer.version)
+
+
+def judgements(
+    candidates: DataFrame, queries: DataFrame, scorer: Scorer = J.TOKEN_OVERLAP
+) -> DataFrame:
+    return J.with_state(candidates.join(asked_of(queries, scorer), "query_id"))
 
 
 def score(judged: DataFrame, scorer: Scorer) -> DataFrame:
@@ -101,20 +109,20 @@ def rerank(
     failing scorer loses at most the batch it was working on; no ranking comes
     out of a failed run.
     """
-    judged = judgements(candidates, queries)
+    judged = judgements(candidates, queries, scorer)
     if cache is None:
         return Ranking(K.top_k(K.max_passage_score(score(judged, scorer)), k), None)
-    keyed = J.with_keys(judged, scorer.name, scorer.version)
-    counted = J.ranking_stats(cache.lookup(keyed)).first()
+    keyed, asked = J.with_keys(judged), asked_of(queries, scorer)
+    counted = J.ranking_stats(cache.lookup(keyed, asked)).first()
     run = uuid.uuid4().hex
     if counted.scorer_calls:
         batches = batches or (1 if isinstance(scorer, J.ColumnScorer) else 8)
         for batch in range(batches):
             # The cache is read anew for each batch and always before its write.
             share = keyed.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == batch)
-            unknown = cache.lookup(share).where("score IS NULL").drop("score", "slot")
+            unknown = cache.lookup(share, asked).where("score IS NULL").drop("score", "slot")
             cache.append(score(unknown, scorer), run)
-    scored = cache.lookup(keyed)
+    scored = cache.lookup(keyed, asked)
     results = K.top_k(K.max_passage_score(scored), k)
     tokens = cache.tokens(run) if counted.scorer_calls else 0
     stats = RankingStats(counted.scored, counted.cache_hits, counted.scorer_calls, tokens)
@@ -154,7 +162,7 @@ def search_documents(
     return search(corpus, asked, k, candidates, scorer, single=True).results
 
 
-def with_text(results: DataFrame, passages: DataFrame, chunk_chars: int) -> DataFrame:
+def with_text(results: DataFrame, corpus: Corpus) -> DataFrame:
     """Attach the whole text of the returned documents, and of no others."""
-    shown = passages.join(results.select("path").distinct(), "path", "left_semi")
-    return results.join(P.rebuild(shown, chunk_chars), "path", "left")
+    results = materialize(results, "results")
+    return results.join(corpus.texts(results.select("path").distinct()), "path", "left")

@@ -29,9 +29,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a result once and read it back, so later steps do not repeat it."""
+    """Write a result once and read it back, so later steps do not repeat it.
+
+    Frames built on it need the files until they have run; see ``release``.
+    """
     spark = df.sparkSession
     folder = new_folder(spark, label)
     df.write.parquet(folder)
+    _written.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far by this session."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -30,12 +30,12 @@ from gleaner.functions import text as T
 from gleaner.operators import changes as C
 from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
-from gleaner.plans.corpus import Corpus
+from gleaner.plans import corpus as corpora
 from gleaner.session import materialize
 
 FORMAT = "1"
 POSTINGS_PER_BUCKET = 20_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 PATHS_PER_ROW_GROUP = 20_000
 COMMIT = (
     "version long, settings string, segment string, segments array<string>, "
@@ -121,72 +121,82 @@ class Index:
         gone = self._spark.read.parquet(f"{self._folder}/{commit.superseded_dir}")
         return rows.join(gone, ["path", "segment"], "left_anti")
 
-    def documents(self) -> DataFrame:
-        return self._manifest(self._current())
-
     def _manifest(self, commit: Row) -> DataFrame:
         folder = f"{self._folder}/{commit.documents_dir}"
         return self._spark.read.schema(MANIFEST).parquet(folder)
 
-    def passages(self) -> DataFrame:
-        commit = self._current()
+    def _passages(self, commit: Row) -> DataFrame:
         rows = self._segments("passages", PASSAGES, commit.segments).where("reason IS NULL")
         return self._live(rows, commit)
 
-    def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """All live postings, or those of the given terms, pruned at the scan."""
-        commit = self._current()
+    def _postings(self, commit: Row, terms: list[str] | None) -> DataFrame:
         rows = self._segments("postings", POSTINGS, commit.segments)
         if terms is not None:
-            words = self._spark.createDataFrame([(t,) for t in terms], "term string")
-            slots = words.select(bucket_of(F.col("term"), commit.buckets).alias("b")).distinct()
-            rows = rows.where(
-                F.col("bucket").isin([row.b for row in slots.collect()]) & F.col("term").isin(terms)
-            )
+            slots = [bucket_of(F.lit(term), commit.buckets) for term in terms]
+            rows = rows.where(F.col("bucket").isin(slots) & F.col("term").isin(terms))
         return self._live(rows, commit)
 
+    def documents(self) -> DataFrame:
+        return self._manifest(self._current())
+
+    def passages(self) -> DataFrame:
+        return self._passages(self._current())
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """All live postings, or those of the given terms, pruned at the scan."""
+        return self._postings(self._current(), terms)
+
     def skipped(self) -> DataFrame:
         """``path, reason`` of what the last refresh could not read."""
         rows = self._segments("passages", PASSAGES, [self._current().segment])
         return rows.where("reason IS NOT NULL").select("path", "reason")
 
-    def _lookup(self, keys: DataFrame, literal: bool) -> DataFrame:
-        """Passages by (path, ordinal).
+    @staticmethod
+    def _at_paths(rows: DataFrame, paths: list[str]) -> DataFrame:
+        """Rows of a few paths, put into the scan as literals.
 
-        Few keys are put into the scan as literals, in groups small enough to be
-        pushed down as equalities, which the Bloom filters on ``path`` answer.
+        Groups of ten are small enough to be pushed down as equalities, which the
+        Bloom filters on ``path`` can answer.
         """
-        rows = self.passages()
+        groups = [F.col("path").isin(paths[i : i + 10]) for i in range(0, len(paths), 10)]
+        while len(groups) > 1:
+            pairs = [groups[i : i + 2] for i in range(0, len(groups), 2)]
+            groups = [pair[0] if len(pair) == 1 else pair[0] | pair[1] for pair in pairs]
+        return rows.where(groups[0] if groups else F.lit(False))
+
+    def _lookup(self, rows: DataFrame, keys: DataFrame, literal: bool) -> DataFrame:
+        """Passages by (path, ordinal); with ``literal`` the keys are few."""
         if literal:
             paths = [row.path for row in keys.select("path").distinct().collect()]
-            groups = [F.col("path").isin(paths[i : i + 10]) for i in range(0, len(paths), 10)]
-            while len(groups) > 1:
-                groups = [
-                    groups[i] | groups[i + 1] if i + 1 < len(groups) else groups[i]
-                    for i in range(0, len(groups), 2)
-                ]
-            rows = rows.where(groups[0] if groups else F.lit(False))
+            rows = self._at_paths(rows, paths)
         return rows.join(keys, ["path", "ordinal"])
 
-    def corpus(self) -> Corpus:
+    def _texts(self, commit: Row, paths: DataFrame) -> DataFrame:
+        rows = self._passages(commit)
+        if commit.passages > corpora.LITERAL_PASSAGES:
+            few = [row.path for row in paths.limit(corpora.LITERAL_KEYS + 1).collect()]
+            if len(few) <= corpora.LITERAL_KEYS:
+                rows = self._at_paths(rows, few)
+        wanted = rows.join(paths.select("path"), "path", "left_semi")
+        return P.rebuild(wanted, self._chunk_chars)
+
+    def corpus(self) -> corpora.Corpus:
+        """The current snapshot; a later refresh does not change it."""
         commit = self._current()
-        return Corpus(
-            documents=self.documents(),
-            passages=self.passages(),
-            frequencies=self.passages(),
-            postings=self.postings,
-            fetch=self._lookup,
+        passages = self._passages(commit)
+        return corpora.Corpus(
+            documents=self._manifest(commit),
+            passages=passages,
+            frequencies=passages,
+            postings=lambda terms: self._postings(commit, terms),
+            fetch=lambda keys, literal: self._lookup(passages, keys, literal),
+            texts=lambda paths: self._texts(commit, paths),
             document_count=commit.documents,
             passage_count=commit.passages,
             mean_length=commit.mean_length,
             chunk_chars=self._chunk_chars,
         )
 
-    def document_text(self, paths: DataFrame) -> DataFrame:
-        """``path, text`` of whole documents, for the given paths only."""
-        wanted = self.passages().join(paths.select("path").distinct(), "path", "left_semi")
-        return P.rebuild(wanted, self._chunk_chars)
-
     def refresh(self, source: Source, rebuild: bool = False) -> Refresh:
         settings = self._settings(source.identity)
         before = self._last_commit()

@@ -30,17 +30,23 @@ class ScoreCache:
                 raise
             return self._spark.createDataFrame([], SCHEMA)
 
-    def read(self) -> DataFrame:
+    def read(self, queries: DataFrame | None = None) -> DataFrame:
         """``slot, key, score`` with one row per key.
 
-        Two runs may have stored the same judgement at the same time.
+        ``queries`` carries the namespaces of interest; their slots (256 at most)
+        become a partition filter.  Two runs may have stored the same judgement
+        at the same time.
         """
-        return self._stored().groupBy("slot", "key").agg(F.max("score").alias("score"))
+        stored = self._stored()
+        if queries is not None:
+            slots = queries.select(slot_of(F.col("namespace")).alias("slot")).distinct()
+            stored = stored.where(F.col("slot").isin([row.slot for row in slots.collect()]))
+        return stored.groupBy("slot", "key").agg(F.max("score").alias("score"))
 
-    def lookup(self, keyed: DataFrame) -> DataFrame:
+    def lookup(self, keyed: DataFrame, queries: DataFrame | None = None) -> DataFrame:
         """Add ``score`` to judgements that carry ``namespace`` and ``key``."""
         return keyed.withColumn("slot", slot_of(F.col("namespace"))).join(
-            self.read(), ["slot", "key"], "left"
+            self.read(queries), ["slot", "key"], "left"
         )
 
     def append(self, scored: DataFrame, run: str) -> None:

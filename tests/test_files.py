@@ -100,7 +100,7 @@ def test_search_files_end_to_end(spark, index, tree):
     found = S.search(corpus, S.one_query(spark, "needlequartz"), 1, single=True)
     row = found.results.first()
     assert found.exhaustive and (row.path, row.rank) == ("target.txt", 1) and row.passage > 0
-    shown = S.with_text(found.results, corpus.passages, 256).first()
+    shown = S.with_text(found.results, corpus).first()
     assert shown.text == (tree / "target.txt").read_text()
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.plans import corpus as R
 from gleaner.plans import search as S
 from gleaner.sources.fields import DocumentSource
 from gleaner.sources.index import Index
@@ -98,7 +99,23 @@ def test_paths_must_be_unique(spark, tmp_path):
         Index(spark, str(tmp_path / "index"), 256).refresh(source)
 
 
-def test_stored_and_scanned_searches_agree(spark, tmp_path):
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_of_terms_are_pruned_at_the_scan(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), 256)
+    index.refresh(docs(spark, **{f"d{i}": f"word{i} shared" for i in range(50)}))
+    found = index.postings(["word3", "shared"])
+    scan = plan(found)
+    assert "bucket#" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "In(term, [shared,word3])" in scan
+    assert found.count() == 51
+
+
+@pytest.mark.parametrize("threshold", [0, 1_000_000])
+def test_stored_and_scanned_searches_agree(spark, tmp_path, monkeypatch, threshold):
+    monkeypatch.setattr(R, "LITERAL_PASSAGES", threshold)
     words = "river stone cloud tree bird".split()
     rows = [
         (f"{words[i % 5]}/{i:03}.txt", " ".join(words[(i * j) % 5] for j in range(i % 60)))
@@ -110,10 +127,12 @@ def test_stored_and_scanned_searches_agree(spark, tmp_path):
     query, corpus = "bird stone", index.corpus()
     scanned = S.search_documents(documents, query, 5, candidates=40, chunk_chars=256).collect()
     asked = S.one_query(spark, query)
+    offered = plan(corpus.candidates(asked, 40, single=True))
+    assert ("Or(" in offered and "In(path" in offered) == (threshold == 0)
     for single in (True, False):
         stored = S.search(corpus, asked, 5, 40, single=single).results.collect()
         assert sorted(stored) == sorted(scanned)
-    shown = S.with_text(S.search(corpus, asked, 5, 40).results, corpus.passages, 256).collect()
+    shown = S.with_text(S.search(corpus, asked, 5, 40).results, corpus).collect()
     assert {r.path: r.text for r in shown}.items() <= dict(rows).items()
     assert len(shown) == 5
 
