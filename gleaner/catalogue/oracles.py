@@ -124,8 +124,14 @@ short AS (
   UNION ALL SELECT query_id, path, ordinal, NULL, 1 FROM fill)"""
 
 
-CANDIDATES = """candidates AS (
-  SELECT query_id, p.* FROM short JOIN passages p USING (path, ordinal))"""
+# A corpus within the limit offers every passage, a larger one its shortlist.
+CANDIDATES = f"""corpus_size AS (SELECT count(DISTINCT path) AS documents FROM passages),
+candidates AS (
+  SELECT query_id, path, ordinal, text, digest, source FROM short JOIN passages USING (path, ordinal)
+  WHERE (SELECT documents FROM corpus_size) > {SHORTLIST}
+  UNION ALL
+  SELECT query_id, path, ordinal, text, digest, source FROM q CROSS JOIN passages
+  WHERE (SELECT documents FROM corpus_size) <= {SHORTLIST})"""
 EVERYTHING = "candidates AS (SELECT query_id, p.* FROM q CROSS JOIN passages p)"
 
 STATE = """CASE WHEN source IS NULL
