@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.fixed import PATH_WEIGHT
 from gleaner.functions import text as T
 
 K1 = 1.2
 B = 0.75
-PATH_WEIGHT = 5
 IDF_FLOOR = 1e-6
 SCORER_LENGTH = 600
 

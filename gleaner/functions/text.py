@@ -12,8 +12,9 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.fixed import MAX_OVERLAP, MAX_QUERY_TERMS, OVERLAP_SHARE
+
 TOKEN = r"[\p{L}\p{N}]+"
-MAX_QUERY_TERMS = 64
 WINDOWS_PER_BLOCK = 64
 
 
@@ -120,7 +121,7 @@ def json_text(text: Column) -> Column:
 
 def overlap_for(size: int) -> int:
     """Windows overlap by a tenth of their size, at most 400 code points."""
-    return min(400, size // 10)
+    return min(MAX_OVERLAP, size // OVERLAP_SHARE)
 
 
 def window_count(text: Column, size: int) -> Column:

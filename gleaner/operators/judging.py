@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.fixed import STATE_LIMIT
 from gleaner.functions import relevance as R
 from gleaner.functions import text as T
 
-STATE_LIMIT = 28_000
 DEFAULT_YES = "The text is about what the query asks for, even in other words."
 DEFAULT_NO = "The text is about something else, even if it shares words with the query."
 

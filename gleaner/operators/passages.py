@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.fixed import CHUNK_CHARS, CHUNK_RANGE
 from gleaner.functions import text as T
 
-CHUNK_CHARS = 4000
-CHUNK_RANGE = (256, 16000)
-
 
 def check_chunk_chars(size: int) -> int:
     low, high = CHUNK_RANGE

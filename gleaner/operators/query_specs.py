@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.fixed import MAX_SPEC_BYTES, QUERY_FIELDS
 from gleaner.functions import text as T
 
-MAX_SPEC_BYTES = 8192
-FIELDS = ("query", "yes", "no")
-
 
 def _json_value(name: str) -> Column:
     # A missing field and a JSON null differ: only the type tells them apart.
@@ -62,9 +60,9 @@ def query_specs(specs: DataFrame) -> DataFrame:
     is_json, is_pipe = F.col("form") == "json", F.col("form") == "pipe"
     yes_parts, no_parts = _section("yes"), _section("no")
     untagged = F.size(yes_parts) + F.size(no_parts) < F.size("sections")
-    unknown = F.size(F.array_except("names", F.array(*map(F.lit, FIELDS)))) > 0
+    unknown = F.size(F.array_except("names", F.array(*map(F.lit, QUERY_FIELDS)))) > 0
     mistyped = F.lit(False)
-    for name in FIELDS:
+    for name in QUERY_FIELDS:
         present = F.array_contains("names", name)
         mistyped = mistyped | (present & ~_json_type(name).eqNullSafe(F.lit("STRING")))
 
@@ -98,5 +96,5 @@ def query_specs(specs: DataFrame) -> DataFrame:
         .when((F.col("yes") == "") | (F.col("no") == ""), "a criterion must not be blank")
     )
     checked = parts.withColumn("error", error)
-    accepted = [F.when(F.col("error").isNull(), F.col(name)).alias(name) for name in FIELDS]
+    accepted = [F.when(F.col("error").isNull(), F.col(name)).alias(name) for name in QUERY_FIELDS]
     return checked.select("query_id", "spec", *accepted, "error")

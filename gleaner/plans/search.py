@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.fixed import MIN_SHORTLIST, SHORTLIST_PER_RESULT
 from gleaner.operators import judging as J
 from gleaner.operators import passages as P
 from gleaner.operators import query_specs as Q
@@ -17,7 +18,6 @@ from gleaner.session import materialize
 from gleaner.sources.scores import ScoreCache
 
 Scorer = J.ColumnScorer | J.BatchScorer
-MIN_SHORTLIST = 500
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Ranking:
 
 
 def default_candidates(k: int) -> int:
-    return max(MIN_SHORTLIST, 10 * k)
+    return max(MIN_SHORTLIST, SHORTLIST_PER_RESULT * k)
 
 
 def check_limits(k: int, candidates: int | None) -> int:

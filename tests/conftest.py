@@ -10,12 +10,12 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def make_session(cores: str = "8") -> SparkSession:
+def make_session(cores: str = "8", partitions: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("gleaner-tests")
         .config("spark.driver.memory", "8g")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,6 +28,6 @@ def make_session(cores: str = "8") -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
-    session = make_session("4")
+    session = make_session(partitions="4")
     yield session
     session.stop()
