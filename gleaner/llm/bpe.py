@@ -237,7 +237,7 @@ def decode(ids: Column, path: str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ids_digest(ids: pd.Series) -> pd.Series:
     """SHA-256 of the ids as little-endian unsigned 32-bit integers, in lower-case hex."""
     return ids.map(lambda row: hashlib.sha256(np.asarray(row, "<u4").tobytes()).hexdigest())
