@@ -238,6 +238,15 @@ def find(text: str | None, indexes: list[Index]) -> list[tuple]:
     )
 
 
+def _search(index):
+    @F.pandas_udf(HITS)
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([find(value, index.value) for value in texts], dtype=object)
+
+    # Nondeterministic for the planner, so that a filter on the hits runs it only once.
+    return search.asNondeterministic()
+
+
 def hits(
     benchmark: DataFrame,
     text: Column,
@@ -261,12 +270,7 @@ def hits(
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         cleaned = [(row.item_id, normal(row.text).strip()) for row in part.collect()]
         index = spark.sparkContext.broadcast(build([item for item in cleaned if item[1]], rate))
-
-        @F.pandas_udf(HITS)
-        def search(texts: pd.Series, index=index) -> pd.Series:
-            return pd.Series([find(value, index.value) for value in texts], dtype=object)
-
-        found.append(search.asNondeterministic()(text))
+        found.append(_search(index)(text))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
