@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,20 @@ def free_name(df: DataFrame, label: str) -> str:
     return label
 
 
+def in_parts(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str | None]]:
+    """Consecutive parts of a batch with about ``limit`` characters each, so that what a
+    task holds for them at a time stays bounded; a longer text is a part of its own."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def let(value: Column, body) -> Column:
     """Evaluate a value once for a body that uses it several times or in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

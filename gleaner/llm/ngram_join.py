@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small, stored
+from gleaner.llm.common import in_parts, small, stored
 from gleaner.llm.graph import components
 
 SIZE = 5
@@ -92,37 +92,31 @@ SET_FIELDS = "key binary, n long, sketch array<long>, tokens array<long>, n_inde
 
 def _describe(frequent: np.ndarray):
     """Batches of (id, text) -> id and set description; ``frequent`` is sorted by hash."""
+    types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+
+    def describe(tokens: np.ndarray) -> tuple:
+        n = len(tokens)
+        if not n:
+            return None, 0, None, None, 0, 0
+        sketch = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
+        common = np.isin(tokens, frequent, assume_unique=True)
+        ordered = np.concatenate([tokens[~common], tokens[common]])
+        length = min(n, probe_size(n) + EXTRA)
+        need = 1 + length - probe_size(n)
+        key = xxhash.xxh3_128_digest(tokens.tobytes())
+        return key, n, sketch, ordered[:length].view(np.int64), index_size(n) + EXTRA, need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for tokens in shingle_sets(batch.column("text").to_pylist()):
-                n = len(tokens)
-                if not n:
-                    rows.append((None, 0, None, None, 0, 0))
-                    continue
-                sketch = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
-                common = np.isin(tokens, frequent, assume_unique=True)
-                ordered = np.concatenate([tokens[~common], tokens[common]])
-                fewest = probe_size(n)
-                length = min(n, fewest + EXTRA)
-                extra = length - fewest
-                rows.append(
-                    (
-                        xxhash.xxh3_128_digest(tokens.tobytes()),
-                        n,
-                        sketch,
-                        ordered[:length].view(np.int64),
-                        index_size(n) + EXTRA,
-                        1 + extra,
-                    )
+            ids, start = batch.column("id"), 0
+            for part in in_parts(batch.column("text").to_pylist()):
+                rows = [describe(tokens) for tokens in shingle_sets(part)]
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, len(part)), *columns],
+                    names=["id", "key", "n", "sketch", "tokens", "n_index", "need"],
                 )
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id")] + [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
-                names=["id", "key", "n", "sketch", "tokens", "n_index", "need"],
-            )
+                start += len(part)
 
     return run
 
@@ -130,14 +124,15 @@ def _describe(frequent: np.ndarray):
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of text -> key and whole set."""
     for batch in batches:
-        sets = [own for own in shingle_sets(batch.column("text").to_pylist()) if len(own)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in sets], pa.binary()),
-                pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64())),
-            ],
-            names=["key", "tokens"],
-        )
+        for part in in_parts(batch.column("text").to_pylist()):
+            sets = [own for own in shingle_sets(part) if len(own)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in sets], pa.binary()),
+                    pa.array([own.view(np.int64) for own in sets], pa.list_(pa.int64())),
+                ],
+                names=["key", "tokens"],
+            )
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
