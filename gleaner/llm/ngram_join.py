@@ -99,7 +99,8 @@ def _describe(frequent: np.ndarray):
         if not n:
             return None, 0, None, None, 0, 0
         sketch = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
-        common = np.isin(tokens, frequent, assume_unique=True)
+        place = np.searchsorted(frequent, tokens)
+        common = frequent[np.minimum(place, len(frequent) - 1)] == tokens if len(frequent) else place < 0
         ordered = np.concatenate([tokens[~common], tokens[common]])
         length = min(n, probe_size(n) + EXTRA)
         need = 1 + length - probe_size(n)
