@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import in_parts, small, stored
@@ -36,7 +36,7 @@ from gleaner.llm.graph import components
 
 SIZE = 5
 PERCENT = 75
-SKETCH = 16
+#: Sets that share two of these min-hashes are compared to form groups.
 BANDS = 4
 #: Probe tokens beyond the fewest that decide; they make the bound on groups stricter.
 EXTRA = 2
@@ -44,7 +44,7 @@ EXTRA = 2
 SAMPLE = 64
 FREQUENT = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCH, dtype=np.uint64)
+SEEDS = np.random.default_rng(20).integers(1, 2**63, BANDS, dtype=np.uint64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -87,25 +87,26 @@ def index_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-2 * percent * n // (100 + percent)) + 1
 
 
-SET_FIELDS = "key binary, n long, sketch array<long>, tokens array<long>, n_index int, need int"
+SET_FIELDS = "key binary, place long, n long, lows array<long>, tokens array<long>, n_index int, need int"
 
 
 def _describe(frequent: np.ndarray):
     """Batches of (id, text) -> id and set description; ``frequent`` is sorted by hash."""
-    types = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
 
     def describe(tokens: np.ndarray) -> tuple:
         n = len(tokens)
         if not n:
-            return None, 0, None, None, 0, 0
-        sketch = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
-        place = np.searchsorted(frequent, tokens)
-        common = frequent[np.minimum(place, len(frequent) - 1)] == tokens if len(frequent) else place < 0
+            return None, None, 0, None, None, 0, 0
+        lows = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
+        at = np.searchsorted(frequent, tokens)
+        common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else at < 0
         ordered = np.concatenate([tokens[~common], tokens[common]])
         length = min(n, probe_size(n) + EXTRA)
         need = 1 + length - probe_size(n)
         key = xxhash.xxh3_128_digest(tokens.tobytes())
-        return key, n, sketch, ordered[:length].view(np.int64), index_size(n) + EXTRA, need
+        place = int.from_bytes(key[:8], "big", signed=True)
+        return key, place, n, lows, ordered[:length].view(np.int64), index_size(n) + EXTRA, need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +116,7 @@ def _describe(frequent: np.ndarray):
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, len(part)), *columns],
-                    names=["id", "key", "n", "sketch", "tokens", "n_index", "need"],
+                    names=["id", "key", "place", "n", "lows", "tokens", "n_index", "need"],
                 )
                 start += len(part)
 
@@ -181,53 +182,65 @@ def _similar_sizes(a: str, b: str) -> Column:
 
 
 def group_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between sets and the smallest set that shares one of their min-hashes."""
-    keyed = sets.select(
-        "key", "n", "sketch",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("band"), F.get("sketch", F.lit(i)).alias("low")) for i in range(BANDS)))).alias("at"),
-    ).select("at.band", "at.low", "key", "n", "sketch")
-    first = (
-        keyed.groupBy("band", "low")
-        .agg(F.min(F.struct("n", "key", "sketch")).alias("first"), F.count("*").alias("members"))
-        .where("members > 1")
-        .select("band", "low", "first")
-    )
-    same = F.aggregate(
-        F.zip_with("sketch", "first.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y
+    """Links between sets and the smallest set that shares two of their min-hashes."""
+    keyed = sets.select("key", "n", F.posexplode("lows").alias("band", "low"))
+    first = keyed.groupBy("band", "low").agg(
+        F.min(F.struct("n", "key")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b")
     )
+    first = first.where("a != b").select("band", "low", "first")
     pairs = (
         keyed.join(first, ["band", "low"])
-        .where((F.col("key") != F.col("first.key")) & _similar_sizes("n", "first.n") & (same * 2 >= SKETCH))
-        .select(F.col("key").alias("a"), F.col("first.key").alias("b"))
+        .where((F.col("key") != F.col("first.key")) & _similar_sizes("n", "first.n"))
+        .groupBy(F.col("key").alias("a"), F.col("first.key").alias("b"))
+        .agg(F.count("*").alias("shared"))
+        .where("shared > 1")
+        .select("a", "b")
     )
     return _verified(stored(_ordered_pairs(pairs), "group-pairs"), sets, docs)
 
 
-def matrix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups that the matrix cannot rule out."""
-    tokens = sets.select("key", "n", "group", "n_index", "need", F.posexplode("tokens").alias("place", "token"))
-    shared = (
-        tokens.groupBy("token")
-        .agg(F.min("group").alias("low"), F.max("group").alias("high"))
-        .where("low != high")
-        .select("token")
+def matrix_pairs(described: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of sets of different groups that the matrix cannot rule out.
+
+    A set or group is named here by 64 bits of its key; should two share a name, more
+    pairs are compared.  Tokens are dealt out once: finding the tokens of several
+    groups, the matrix and the bound all work on the same exchange.
+    """
+    grouped = described.where("n > 0").join(
+        small(roots.select(F.col("node").alias("key"), _place("root").alias("root_place"))), "key", "left"
     )
-    shared = stored(shared, "shared-tokens")
-    tokens = stored(tokens.join(small(shared), "token", "left_semi"), "token-rows")
-    matrix = tokens.where("place < n_index").groupBy("token", F.col("group").alias("other")).agg(
+    tokens = grouped.select(
+        "place", "n", "n_index", "need",
+        F.coalesce("root_place", "place").alias("group"),
+        F.posexplode("tokens").alias("at", "token"),
+    ).select("token", "group", "place", "n", "need", (F.col("at") < F.col("n_index")).alias("indexed"))
+    same = Window.partitionBy("token")
+    shared = tokens.select("*", F.min("group").over(same).alias("low"), F.max("group").over(same).alias("high"))
+    shared = shared.where("low != high").drop("low", "high")
+    matrix = shared.where("indexed").groupBy("token", F.col("group").alias("other")).agg(
         F.min("n").alias("smallest"), F.max("n").alias("largest")
     )
+    probes = shared.groupBy("token", "place").agg(*(F.first(name).alias(name) for name in ("group", "n", "need")))
     qualifying = (
-        tokens.join(matrix, "token")
+        probes.join(matrix, "token")
         .where((F.col("other") != F.col("group")) & (F.col("smallest") <= F.col("n")) & (F.col("largest") * 100 >= F.col("n") * PERCENT))
-        .groupBy("key", "n", "other", "need")
+        .groupBy("place", "n", "other", "need")
         .agg(F.count("*").alias("held"))
         .where("held >= need")
     )
-    members = sets.select(F.col("key").alias("b"), F.col("group").alias("other"), F.col("n").alias("m"))
+    qualifying = stored(qualifying, "qualifying")
+    named = sets.join(roots, sets["key"] == roots["node"], "left")
+    members = named.select(
+        F.col("key").alias("b"), F.col("n").alias("m"), F.coalesce(_place("root"), "place").alias("other")
+    )
     # The smaller set of a pair is the indexed one; of equal sizes either may be.
     opened = qualifying.join(members, "other").where((F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * PERCENT))
-    return _ordered_pairs(opened.select(F.col("key").alias("a"), "b"))
+    return _ordered_pairs(opened.select("place", "b").join(sets.select("place", F.col("key").alias("a")), "place"))
+
+
+def _place(key: str) -> Column:
+    """The 64 bits of a key that name it in the matrix: its first bytes."""
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,18 +250,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
         _describe(frequent_tokens(docs)), f"id {dict(docs.dtypes)['id']}, {SET_FIELDS}"
     )
     described = stored(described, "described")
-    sets = described.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("id"),
-        *(F.first(name).alias(name) for name in ("n", "sketch", "tokens", "n_index", "need")),
-    )
+    sets = described.where("n > 0").groupBy("key", "place", "n", "lows").agg(F.min("id").alias("id"))
     sets = stored(sets, "sets")
     near = stored(group_links(sets, docs), "group-links")
-    grouped = sets.drop("sketch").join(components(near), sets["key"] == F.col("node"), "left")
-    grouped = grouped.withColumn("group", F.coalesce("root", "key")).drop("node", "root")
-    grouped = stored(grouped, "grouped")
-    pairs = stored(matrix_pairs(grouped), "matrix-pairs")
-    links = near.unionByName(_verified(pairs, sets, docs))
-    roots = components(links)
+    roots = components(near)
+    pairs = stored(matrix_pairs(described, sets, roots), "matrix-pairs")
+    roots = components(near.unionByName(_verified(pairs, sets, docs)))
     classes = sets.select("key", "id").join(roots, sets["key"] == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "key")
     )
