@@ -73,7 +73,7 @@ def main() -> None:
     tables.document_index(spark, folder)
     tables.field_index(spark, folder)
     texts = DocumentSource(tables.documents(spark, folder), "documents")
-    cells = FieldSource(tables.field_tables(spark, folder), tables.FIELDS, tables.KEYS)
+    cells = FieldSource(tables.field_tables(spark, folder), tables.FIELDS, tables.KEYS, database=tables.DATABASE)
     seconds = {
         "index_build": timed(lambda: build(texts)),
         "field_index_build": timed(lambda: build(cells)),

@@ -11,7 +11,7 @@ from gleaner.plans.search import (
     search_documents,
     with_text,
 )
-from gleaner.session import release
+from gleaner.session import scratch
 from gleaner.sources.fields import DocumentSource, FieldSource
 from gleaner.sources.files import FileSource
 from gleaner.sources.index import Index
@@ -20,6 +20,7 @@ from gleaner.sources.scores import ScoreCache
 
 __all__ = [
     "BatchScorer", "ColumnScorer", "Corpus", "DocumentSource", "FieldSource", "FileSource",
-    "Index", "ScoreCache", "TOKEN_OVERLAP", "one_query", "query_specs", "read_query", "release",
-    "report_json", "report_tsv", "rerank", "scan", "search", "search_documents", "with_text",
+    "Index", "ScoreCache", "TOKEN_OVERLAP", "one_query", "query_specs", "read_query",
+    "report_json", "report_tsv", "rerank", "scan", "scratch", "search", "search_documents",
+    "with_text",
 ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gleaner.catalogue.tables import PROBE, PROBE_NO, PROBE_YES, SHORTLIST, TOP
+from gleaner.catalogue.specs import JSON, TEXT, Case, json_cases, plain_cases
+from gleaner.catalogue.tables import DATABASE, PROBE, PROBE_NO, PROBE_YES, SHORTLIST, TOP
 from gleaner.operators.judging import DEFAULT_NO, DEFAULT_YES
 
 DOCS = "docs AS (SELECT source || '/' || doc_id || '.txt' AS path, text, NULL AS source FROM documents)"
@@ -49,10 +50,11 @@ def field_values(only: str | None = None) -> str:
     return f"cells AS ({rows})"
 
 
-RECORDS = """records AS (
+RECORDS = f"""records AS (
   SELECT 'table://' || url_encode("table") || '/' || url_encode(field) || '?key=' || url_encode(key) AS path,
          value AS text,
-         '{"field":"' || field || '","key":' || key || ',"table":"' || "table" || '","type":"table"}' AS source
+         '{{"database":"{DATABASE}","field":"' || field || '","key":' || key
+         || ',"table":"' || "table" || '","type":"table"}}' AS source
   FROM cells)"""
 
 LEXICON = f"""tok AS (
@@ -202,49 +204,19 @@ JUDGED_KEY = f"""keyed AS (
     path, ordinal::VARCHAR, digest, NULL])) AS key
   FROM passages)"""
 
-SPEC_ROWS = [
-    ("text", "text", "NULL", "NULL", "NULL"),
-    ("'  ' || chr(9) || text || ' ' || chr(10)", "text", "NULL", "NULL", "NULL"),
-    ("text || ' | yes: kept' || chr(10) || 'line | no: other '", "text",
-     "'kept' || chr(10) || 'line'", "'other'", "NULL"),
-    ("text || '|no:other|yes:kept'", "text", "'kept'", "'other'", "NULL"),
-    ("text || ' | yes: kept'", "NULL", "NULL", "NULL", "'needs both ''yes'' and ''no'''"),
-    ("text || ' | no: other'", "NULL", "NULL", "NULL", "'needs both ''yes'' and ''no'''"),
-    ("text || ' | yes:  | no: other'", "NULL", "NULL", "NULL", "'a criterion must not be blank'"),
-    ("text || ' | maybe: m | yes: kept | no: other'", "NULL", "NULL", "NULL",
-     "'a section must start with ''yes:'' or ''no:''; use JSON'"),
-    ("text || ' | roll'", "NULL", "NULL", "NULL",
-     "'a section must start with ''yes:'' or ''no:''; use JSON'"),
-    ("text || ' | yes: a | yes: b | no: other'", "NULL", "NULL", "NULL",
-     "'more than one ''yes:'' or ''no:'' section'"),
-    ("' | yes: kept | no: other'", "NULL", "NULL", "NULL", "'the query must not be blank'"),
-    ("'  ' || chr(10) || ' '", "NULL", "NULL", "NULL", "'the query must not be blank'"),
-]
-JSON_ROWS = [
-    ("'{\"query\": ' || j || '}'", "text", "NULL", "NULL", "NULL"),
-    ("'{\"query\": ' || j || ',' || chr(10) || ' \"yes\": \"kept\\nline\", \"no\": \" other\"}'", "text",
-     "'kept' || chr(10) || 'line'", "'other'", "NULL"),
-    ("'{\"query\": ' || j || ', \"yes\": \"kept\"}'", "NULL", "NULL", "NULL",
-     "'needs both ''yes'' and ''no'''"),
-    ("'{\"query\": ' || j || ', \"yes\": 1, \"no\": \"n\"}'", "NULL", "NULL", "NULL",
-     "'every field must be a string'"),
-    ("'{\"query\": ' || j || ', \"yes\": \"y\", \"no\": \"n\", \"maybe\": \"m\"}'", "NULL", "NULL",
-     "NULL", "'unknown field'"),
-    ("'{\"yes\": \"y\", \"no\": \"n\"}'", "NULL", "NULL", "NULL", "'no ''query'' field'"),
-    ("'{\"query\": ' || j || ',}'", "NULL", "NULL", "NULL", "'not valid JSON'"),
-    ("'{\"query\": ' || j", "NULL", "NULL", "NULL", "'not valid JSON'"),
-    ("'{\"query\": ' || j || '} x'", "NULL", "NULL", "NULL", "'not valid JSON'"),
-    ("'{\"query\": null}'", "NULL", "NULL", "NULL", "'every field must be a string'"),
-    ("'{\"query\": \" \"}'", "NULL", "NULL", "NULL", "'the query must not be blank'"),
-]
+def specs(cases: list[Case]) -> str:
+    def piece(value: str) -> str:
+        return {TEXT: "text", JSON: "j"}.get(value, quoted(value))
 
+    def part(value: str | None) -> str:
+        return "NULL" if value is None else piece(value)
 
-def specs(rows: list[tuple[str, ...]]) -> str:
     return " UNION ALL ".join(
-        f"SELECT item_id * 100 + {form} AS query_id, {spec} AS spec, {query}::VARCHAR AS query, "
-        f"{yes}::VARCHAR AS yes, {no}::VARCHAR AS no, {error}::VARCHAR AS error "
+        f"SELECT item_id * 1000 + {form} AS query_id, {' || '.join(map(piece, case.spec))} AS spec, "
+        f"{part(case.query)}::VARCHAR AS query, {part(case.yes)}::VARCHAR AS yes, "
+        f"{part(case.no)}::VARCHAR AS no, {part(case.error)}::VARCHAR AS error "
         "FROM (SELECT item_id, text, to_json(text)::VARCHAR AS j FROM benchmark)"
-        for form, (spec, query, yes, no, error) in enumerate(rows)
+        for form, case in enumerate(cases)
     )
 
 
@@ -253,13 +225,28 @@ DIFF = """diff AS (
                     WHEN a.text = b.text THEN 'unchanged' ELSE 'changed' END AS class
   FROM docs b FULL JOIN takedown a USING (path))"""
 
-CYCLE = """SELECT step, documents, passages, updated, 0::BIGINT AS skipped, removed FROM (
-  SELECT 1 AS step, d.documents, d.passages, d.documents AS updated, 0::BIGINT AS removed FROM d
-  UNION ALL SELECT 2, d.documents, d.passages, 0, 0 FROM d
-  UNION ALL SELECT 3, t.documents, t.passages,
-    (SELECT count(*) FROM diff WHERE class IN ('new', 'changed')),
-    (SELECT count(*) FROM diff WHERE class = 'removed') FROM t
-  UNION ALL SELECT 4, t.documents, t.passages, t.documents, 0 FROM t)"""
+GOOD = """good AS (
+  SELECT path, text, NULL AS source FROM labelled WHERE quality IS DISTINCT FROM 0),
+good_later AS (
+  SELECT t.path, t.text, NULL AS source FROM takedown t LEFT JOIN labelled l USING (path)
+  WHERE l.quality IS DISTINCT FROM 0)"""
+CYCLE = """a AS (SELECT count(DISTINCT path) AS documents, count(*) AS passages FROM before_p),
+z AS (SELECT count(DISTINCT path) AS documents, count(*) AS passages FROM later_p),
+lost AS (SELECT (SELECT count(*) FROM labelled WHERE quality = 0) AS first,
+  (SELECT count(*) FROM takedown JOIN labelled USING (path) WHERE quality = 0) AS later),
+moves AS (
+  SELECT count(*) FILTER (g.path IS NULL OR g.text <> h.text) AS updated,
+         (SELECT count(*) FROM good WHERE path NOT IN (SELECT path FROM good_later)) AS removed
+  FROM good_later h LEFT JOIN good g USING (path))
+SELECT 1 AS step, documents, passages, documents AS updated, first AS skipped, 0::BIGINT AS removed FROM a, lost
+UNION ALL SELECT 2, documents, passages, 0, first, 0 FROM a, lost
+UNION ALL SELECT 3, documents, passages, updated, later, removed FROM z, lost, moves
+UNION ALL SELECT 4, documents, passages, documents, later, 0 FROM z, lost"""
+
+
+def over(base: list[str], docs: str) -> list[str]:
+    """The same search over other documents."""
+    return [LABELLED, TAKEDOWN, GOOD, *(docs if part == DOCS else part for part in base)]
 
 
 def oracle_sql() -> dict[str, str]:
@@ -283,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "quarantine": select([LABELLED], """SELECT path,
             CASE WHEN toxic = 1 THEN 'not valid UTF-8'
-                 WHEN quality = 0 THEN 'binary content (NUL bytes)' END AS reason,
+                 WHEN quality = 0 THEN 'holds a NUL byte' END AS reason,
             CASE WHEN coalesce(toxic, 0) = 1 OR quality = 0 THEN NULL ELSE sha256(text) END AS digest
             FROM labelled"""),
         "field_union": select(cells[:1], 'SELECT "table", field, key, value FROM cells'),
@@ -313,7 +300,7 @@ def oracle_sql() -> dict[str, str]:
             cells[:1], 'SELECT "table", field, key, sha256(value) AS digest FROM cells'
         ),
         "skip_reasons": select([LABELLED], """SELECT CASE WHEN quality = 0 THEN 'null value'
-            WHEN toxic = 1 THEN 'not valid text (NUL)' ELSE 'indexed' END AS reason, count(*) AS n
+            WHEN toxic = 1 THEN 'text holds a NUL character' ELSE 'indexed' END AS reason, count(*) AS n
             FROM labelled GROUP BY reason"""),
         "token_counts": select([*CORPUS, LEXICON], """SELECT term, path, ordinal, tf_path, tf_text, dl
             FROM tf JOIN sizes USING (path, ordinal)"""),
@@ -328,11 +315,11 @@ def oracle_sql() -> dict[str, str]:
         "oversized_states": select([DOCS], f"""SELECT path, state_bytes FROM (
             SELECT path, (strlen(to_json({{'query': {quoted(PROBE)}, 'text': {STATE}}})::VARCHAR) + 3)::INT
             AS state_bytes FROM docs) WHERE state_bytes > 28000"""),
-        "query_specs": specs(SPEC_ROWS),
-        "query_specs_json": specs(JSON_ROWS),
+        "query_specs": specs(plain_cases()),
+        "query_specs_json": specs(json_cases()),
         "effective_criteria": f"""SELECT query_id, query,
             coalesce(yes, {quoted(DEFAULT_YES)}) AS yes, coalesce(no, {quoted(DEFAULT_NO)}) AS no
-            FROM ({specs(SPEC_ROWS)}) WHERE error IS NULL""",
+            FROM ({specs(plain_cases())}) WHERE error IS NULL""",
         "score_keys": select([*CORPUS, JUDGED_KEY], "SELECT path, ordinal, key FROM keyed"),
         "snapshot_diff": select([*changes, DIFF], "SELECT path, class FROM diff"),
         "removed_docs": select(
@@ -344,12 +331,23 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (class IN ('new', 'changed')) AS updated,
             count(*) FILTER (class = 'removed') AS removed,
             count(*) FILTER (class <> 'removed') AS documents FROM diff"""),
-        "refresh_cycle": select(
-            [*changes, DIFF, passages(), passages("takedown", "later", "NULL"),
-             "d AS (SELECT count(DISTINCT path) AS documents, count(*) AS passages FROM passages)",
-             "t AS (SELECT count(DISTINCT path) AS documents, count(*) AS passages FROM later)"],
-            CYCLE,
-        ),
+        "refresh_cycle": "WITH " + ",\n".join([
+            LABELLED, TAKEDOWN, GOOD, passages("good", "before_p"), passages("good_later", "later_p"), CYCLE,
+        ]),
+        "scan_agrees": select(over(SEARCH, "docs AS (SELECT * FROM good)"),
+            """SELECT way, rank, path, score, passage
+            FROM results CROSS JOIN (SELECT unnest(['stored', 'scanned']) AS way)"""),
+        "compacted_cycle": select(over(SEARCH, "docs AS (SELECT * FROM good_later)"), ranked),
+        "terms_left_out": select([question(BENCHMARK)], f"""SELECT query_id,
+            greatest(0, len(list_distinct({tokens('query')})) - 8)::INT AS left_out FROM q"""),
+        "report_json": select(with_criteria(SEARCH), f"""SELECT query_id, '{{"query":' || to_json(query)
+            || ',"criteria":{{"yes":' || to_json(yes) || ',"no":' || to_json(no)
+            || '}},"corpus":"documents","scorer":"token-overlap","exhaustive":'
+            || (SELECT (documents <= {SHORTLIST})::VARCHAR FROM corpus_size) || ',"results":['
+            || (SELECT string_agg('{{"rank":' || rank || ',"path":' || to_json(path) || ',"score":' || score
+                || ',"passage":' || passage || '}}', ',' ORDER BY rank) FROM results)
+            || '],"stats":{{"documents":' || (SELECT documents FROM corpus_size)
+            || ',"scored":' || (SELECT count(*) FROM candidates) || '}}}}' AS report FROM q"""),
         "term_df": select(
             [*CORPUS, LEXICON, question(BENCHMARK), terms()], """SELECT term, count(*) AS df FROM tf
             WHERE term IN (SELECT term FROM qt) GROUP BY term"""
@@ -392,7 +390,8 @@ def oracle_sql() -> dict[str, str]:
             FROM keyed JOIN labelled USING (path)"""),
         "ranking_stats": select([*LEXICAL, shortlist(), CANDIDATES], """SELECT run::INT AS run,
             count(*) AS scored, CASE run WHEN 1 THEN 0 ELSE count(*) END AS cache_hits,
-            CASE run WHEN 1 THEN count(*) ELSE 0 END AS scorer_calls
+            CASE run WHEN 1 THEN count(*) ELSE 0 END AS scorer_calls,
+            0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens
             FROM candidates CROSS JOIN (SELECT unnest([1, 2]) AS run) GROUP BY run"""),
         "max_passage_score": select(
             exhaustive(ask(criteria=True)), "SELECT path, score, passage FROM pooled"

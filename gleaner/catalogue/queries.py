@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +130,7 @@ def skip_reasons(spark, folder):
         F.col("toxic") == 1, F.concat("text", F.lit("\x00"))
     ).otherwise(F.col("text"))
     rows = D.labelled(spark, folder).select(value.alias("text"))
-    reason = F.coalesce(A.skip_reason(F.col("text")), F.lit("indexed"))
+    reason = F.coalesce(P.skip_reason(F.col("text")), F.lit("indexed"))
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -207,27 +209,60 @@ def refresh_stats(spark, folder):
 
 
 def refresh_cycle(spark, folder):
-    """Build, refresh without a change, refresh after changes, and rebuild."""
+    """One source, refreshed four times: built, unchanged, changed, and rebuilt.
+
+    The counters are those of the index's own commits.
+    """
+    state = [D.damaged(spark, folder)]
+    source = DocumentSource(lambda: state[-1], "documents")
     index = Index(spark, new_folder(spark, "index-cycle"))
-    states = [
-        (D.documents(spark, folder), False), (D.documents(spark, folder), False),
-        (D.takedown(spark, folder), False), (D.takedown(spark, folder), True),
-    ]
-    rows = []
-    for step, (state, rebuild) in enumerate(states, 1):
-        done = index.refresh(DocumentSource(state, "documents"), rebuild)
-        rows.append((step, done.documents, done.passages, done.updated, done.skipped, done.removed))
-    return spark.createDataFrame(
-        rows, "step int, documents long, passages long, updated long, skipped long, removed long"
+    index.refresh(source)
+    index.refresh(source)
+    state.append(D.damaged_takedown(spark, folder))
+    index.refresh(source)
+    index.refresh(source, rebuild=True)
+    counters = ("documents", "passages", "updated", "skipped", "removed")
+    return index.commits().select(F.col("version").cast("int").alias("step"), *counters)
+
+
+def compacted_cycle(spark, folder):
+    """A search after two refreshes and a compaction."""
+    state = [D.damaged(spark, folder)]
+    source = DocumentSource(lambda: state[-1], "documents")
+    index = Index(spark, new_folder(spark, "index-compacted"))
+    index.refresh(source)
+    state.append(D.damaged_takedown(spark, folder))
+    index.refresh(source)
+    index.compact()
+    index.vacuum()
+    found = S.search(index.corpus(), probe(spark), D.TOP, single=True).results
+    return found.select("rank", "path", "score", "passage")
+
+
+def scan_agrees(spark, folder):
+    """Damaged documents searched through an index and without one."""
+    damaged = D.damaged(spark, folder)
+    index = Index(spark, new_folder(spark, "index-damaged"))
+    index.refresh(DocumentSource(damaged, "damaged"))
+    stored = S.search(index.corpus(), probe(spark), D.TOP, single=True).results
+    scanned = S.search_documents(damaged, D.PROBE, D.TOP)
+    columns = ["rank", "path", "score", "passage"]
+    return stored.select(F.lit("stored").alias("way"), *columns).unionByName(
+        scanned.select(F.lit("scanned").alias("way"), *columns)
     )
 
 
+def terms_left_out(spark, folder):
+    """How many terms of each benchmark text a limit of eight leaves out."""
+    return L.terms_left_out(D.benchmark_queries(spark, folder), 8)
+
+
 # Lexical retrieval, on the stored index
 
 
 def term_df(spark, folder):
     terms = L.explode_terms(D.benchmark_queries(spark, folder))
-    return L.term_df(D.document_index(spark, folder).postings(), terms)
+    return D.document_index(spark, folder).term_df(terms.select("term"))
 
 
 def corpus_stats(spark, folder):
@@ -238,7 +273,7 @@ def corpus_stats(spark, folder):
 def _matches(spark, folder):
     corpus, terms = D.corpus(spark, folder), L.explode_terms(probe(spark))
     found = corpus.postings([row.term for row in terms.collect()])
-    weights = L.term_weights(found, terms, F.lit(corpus.passage_count))
+    weights = L.term_weights(L.term_df(found, terms), terms, F.lit(corpus.passage_count))
     return corpus, L.term_matches(found, weights)
 
 
@@ -284,7 +319,7 @@ def candidates(spark, folder):
 
 
 def exhaustive_candidates(spark, folder):
-    found = D.corpus(spark, folder).candidates(probe(spark), 0)
+    found = D.corpus(spark, folder).candidates(probe(spark), 0, single=True)
     return found.select("query_id", "path", "ordinal", "digest")
 
 
@@ -336,10 +371,9 @@ def ranking_stats(spark, folder):
     rows = []
     for run in (1, 2):
         stats = S.search(corpus, asked, D.TOP, D.SHORTLIST, cache=cache, single=True).stats
-        rows.append((run, stats.scored, stats.cache_hits, stats.scorer_calls))
-    return spark.createDataFrame(
-        rows, "run int, scored long, cache_hits long, scorer_calls long"
-    )
+        rows.append((run, *astuple(stats)))
+    counters = ("scored", "cache_hits", "scorer_calls", "input_tokens", "output_tokens")
+    return spark.createDataFrame(rows, "run int, " + ", ".join(f"{name} long" for name in counters))
 
 
 def max_passage_score(spark, folder):
@@ -349,12 +383,12 @@ def max_passage_score(spark, folder):
 
 def top_k(spark, folder):
     scored = S.score(_judged(spark, folder, criteria=False), J.TOKEN_OVERLAP)
-    return K.top_k(K.max_passage_score(scored), 25).select("path", "score", "passage")
+    return K.top_k(K.max_passage_score(scored), 25, single=True).select("path", "score", "passage")
 
 
 def ranked_results(spark, folder):
     scored = S.score(_judged(spark, folder), J.TOKEN_OVERLAP)
-    return K.top_k(K.max_passage_score(scored), 50).select("rank", "path", "score")
+    return K.top_k(K.max_passage_score(scored), 50, single=True).select("rank", "path", "score")
 
 
 def label_separation(spark, folder):
@@ -373,7 +407,7 @@ def label_separation(spark, folder):
 def rerank(spark, folder):
     asked = probe(spark, criteria=True)
     offered = D.corpus(spark, folder).candidates(asked, D.SHORTLIST, single=True)
-    results = S.rerank(offered, asked, D.TOP).results
+    results = S.rerank(offered, asked, D.TOP, single=True).results
     return results.select("rank", "path", "score", "passage")
 
 
@@ -420,6 +454,7 @@ REGISTERED = (
     chunk_passages, passage_digests, value_digests, skip_reasons, token_counts, query_terms,
     state_text, oversized_states, query_specs, query_specs_json, effective_criteria, score_keys,
     snapshot_diff, removed_docs, cascade_keep, refresh_stats, refresh_cycle,
+    compacted_cycle, scan_agrees, terms_left_out,
     term_df, corpus_stats, term_matches, bm25_scores, best_passage, bm25_shortlist, shortlist,
     shortlist_fill, lexical_reach, candidates, exhaustive_candidates, index_counts,
     first_passages, passages_with_source,

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.catalogue.specs import JSON, TEXT, json_cases, plain_cases
 from gleaner.plans.corpus import Corpus
 from gleaner.session import new_folder
 from gleaner.sources.fields import DocumentSource, FieldSource
@@ -17,6 +16,7 @@ PROBE_YES = "heoron thereer ouerion"
 PROBE_NO = "eroning einber und"
 SHORTLIST = 500
 TOP = 10
+DATABASE = "tables"
 FIELDS = [
     "documents.text", "conversations.text", "part.p_name", "part.p_type",
     "customer.c_mktsegment", "nation.n_name", "region.r_name", "Region.R_NAME",
@@ -68,6 +68,23 @@ def takedown(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("path", edited.alias("text")).unionByName(added)
 
 
+def acceptable(rows: DataFrame) -> DataFrame:
+    """The rows with a text, less that of documents of low quality."""
+    return rows.withColumn("text", F.when(F.col("quality").eqNullSafe(0), None).otherwise(F.col("text")))
+
+
+def damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, where those of low quality have lost their text."""
+    return acceptable(labelled(spark, folder)).select("path", "text")
+
+
+def damaged_takedown(spark: SparkSession, folder: str) -> DataFrame:
+    """The later state, with the same losses."""
+    quality = labelled(spark, folder).select("path", "quality")
+    later = takedown(spark, folder).join(quality, "path", "left")
+    return acceptable(later).select("path", "text")
+
+
 def field_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: table(spark, folder, name) for name in KEYS}
 
@@ -108,7 +125,7 @@ def document_index(spark: SparkSession, folder: str) -> Index:
 def field_index(spark: SparkSession, folder: str) -> Index:
     return _index(
         spark, folder, "fields",
-        lambda: FieldSource(field_tables(spark, folder), FIELDS, KEYS),
+        lambda: FieldSource(field_tables(spark, folder), FIELDS, KEYS, database=DATABASE),
     )
 
 
@@ -116,51 +133,15 @@ def corpus(spark: SparkSession, folder: str) -> Corpus:
     return document_index(spark, folder).corpus()
 
 
-def spec_forms() -> Column:
-    """Every way to write a query, right and wrong, from one benchmark text."""
-    text, lit = F.col("text"), F.lit
-    quoted = F.to_json(F.array("text"))
-    body = F.expr("substring(quoted, 2, char_length(quoted) - 2)")
-    plain = [
-        text,
-        F.concat(lit("  \t"), text, lit(" \n")),
-        F.concat(text, lit(" | yes: kept\nline | no: other ")),
-        F.concat(text, lit("|no:other|yes:kept")),
-        F.concat(text, lit(" | yes: kept")),
-        F.concat(text, lit(" | no: other")),
-        F.concat(text, lit(" | yes:  | no: other")),
-        F.concat(text, lit(" | maybe: m | yes: kept | no: other")),
-        F.concat(text, lit(" | roll")),
-        F.concat(text, lit(" | yes: a | yes: b | no: other")),
-        F.concat(lit(" | yes: kept | no: other")),
-        lit("  \n "),
-    ]
-    written = [
-        F.concat(lit('{"query": '), body, lit("}")),
-        F.concat(lit('{"query": '), body, lit(',\n "yes": "kept\\nline", "no": " other"}')),
-        F.concat(lit('{"query": '), body, lit(', "yes": "kept"}')),
-        F.concat(lit('{"query": '), body, lit(', "yes": 1, "no": "n"}')),
-        F.concat(lit('{"query": '), body, lit(', "yes": "y", "no": "n", "maybe": "m"}')),
-        lit('{"yes": "y", "no": "n"}'),
-        F.concat(lit('{"query": '), body, lit(",}")),
-        F.concat(lit('{"query": '), body),
-        F.concat(lit('{"query": '), body, lit("} x")),
-        F.concat(lit('{"query": null}')),
-        F.concat(lit('{"query": " "}')),
-    ]
-    return quoted, plain, written
-
-
 def specs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    quoted, plain, written = spec_forms()
-    forms = plain if kind == "plain" else written
+    """Every case of written queries, around every benchmark text."""
+    quoted = F.to_json(F.array("text"))
+    places = {TEXT: F.col("text"), JSON: F.expr("substring(quoted, 2, char_length(quoted) - 2)")}
+    cases = plain_cases() if kind == "plain" else json_cases()
+    forms = [F.concat(*(places.get(piece, F.lit(piece)) for piece in case.spec)) for case in cases]
     return (
         table(spark, folder, "benchmark")
         .withColumn("quoted", quoted)
         .select("item_id", F.posexplode(F.array(*forms)).alias("form", "spec"))
-        .select((F.col("item_id") * 100 + F.col("form")).alias("query_id"), "spec")
+        .select((F.col("item_id") * 1000 + F.col("form")).alias("query_id"), "spec")
     )
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -8,13 +8,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.fixed import MAX_OVERLAP, MAX_QUERY_TERMS, OVERLAP_SHARE
 
-TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}\p{Mc}]+"
 WINDOWS_PER_BLOCK = 64
 
 
@@ -31,18 +32,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def fold_table() -> tuple[str, str]:
     """Return the two arguments of ``translate`` that remove diacritics.
 
-    A letter whose canonical decomposition is one base followed only by marks
-    maps to its base; a letter whose caseless form is one other letter maps to
-    that; marks standing alone map to nothing.
+    A letter whose canonical decomposition is one base followed only by non-spacing
+    marks maps to its base; a letter whose caseless form is one other letter maps to
+    that; such marks standing alone map to nothing.  Spacing marks belong to their
+    word, in Indic scripts above all, and stay.  All of Unicode is covered.
     """
     sources, targets, dropped = [], [], []
-    for code in range(0x80, 0x20000):
+    for code in chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
         char = chr(code)
-        if unicodedata.category(char).startswith("M"):
+        if unicodedata.category(char) == "Mn":
             dropped.append(char)
             continue
         base, *rest = unicodedata.normalize("NFD", char)
-        if any(not unicodedata.category(mark).startswith("M") for mark in rest):
+        if any(unicodedata.category(mark) != "Mn" for mark in rest):
             continue
         caseless = base.casefold()
         target = caseless if len(caseless) == 1 and base == base.lower() else base
@@ -69,9 +71,10 @@ def distinct_terms(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def query_terms(text: Column) -> Column:
-    """The distinct terms used for lexical matching: the first 64, in order."""
-    return F.slice(distinct_terms(text), 1, MAX_QUERY_TERMS)
+def query_terms(text: Column, limit: int | None = MAX_QUERY_TERMS) -> Column:
+    """The distinct terms used for lexical matching: the first ``limit`` in order, or all."""
+    terms = distinct_terms(text)
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
 def sorted_line(words: Column) -> Column:

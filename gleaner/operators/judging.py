@@ -12,11 +12,14 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gleaner.fixed import STATE_LIMIT
 from gleaner.functions import relevance as R
 from gleaner.functions import text as T
 
+TOKENS = ("input_tokens", "output_tokens")
+KEPT = ("query_id", "path", "ordinal", "source", "key", "namespace")
 DEFAULT_YES = "The text is about what the query asks for, even in other words."
 DEFAULT_NO = "The text is about something else, even if it shares words with the query."
 
@@ -31,8 +34,8 @@ class ColumnScorer:
 
     def score(self, judgements: DataFrame) -> DataFrame:
         value = self.expression(*(F.col(c) for c in ("query", "yes", "no", "state")))
-        return judgements.withColumn("score", value.cast("double")).withColumn(
-            "tokens", F.lit(0).cast("long")
+        return judgements.withColumns(
+            {"score": value.cast("double")} | {name: F.lit(0).cast("long") for name in TOKENS}
         )
 
 
@@ -41,7 +44,8 @@ class BatchScorer:
     """A scorer called on pandas batches, for models and remote judges.
 
     ``open`` runs once per task and returns the function that scores a batch of
-    ``query, yes, no, state`` into ``score`` and, if it likes, ``tokens``.
+    ``query, yes, no, state`` into ``score`` and, if it likes, ``input_tokens`` and
+    ``output_tokens``.  Only those four columns and the ``KEPT`` ones reach Python.
     ``parallelism`` bounds how many tasks call it at the same time.
     """
 
@@ -51,7 +55,13 @@ class BatchScorer:
     parallelism: int = 16
 
     def score(self, judgements: DataFrame) -> DataFrame:
-        schema = judgements.schema.add("score", "double").add("tokens", "long")
+        seen = ["query", "yes", "no", "state"]
+        kept = [name for name in KEPT if name in judgements.columns]
+        sent = judgements.select(*kept, *seen)
+        fields = [field for field in sent.schema.fields if field.name in kept]
+        schema = StructType(
+            [*fields, StructField("score", DoubleType()), *(StructField(name, LongType()) for name in TOKENS)]
+        )
         opener = self.open
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,11 +69,11 @@ class BatchScorer:
             for batch in batches:
                 if batch.empty:
                     continue
-                reply = judge(batch[["query", "yes", "no", "state"]])
-                tokens = reply["tokens"].to_numpy() if "tokens" in reply else 0
-                yield batch.assign(score=reply["score"].to_numpy(), tokens=tokens)
+                reply = judge(batch[seen])
+                used = {name: reply[name].to_numpy() if name in reply else 0 for name in TOKENS}
+                yield batch[kept].assign(score=reply["score"].to_numpy(), **used)
 
-        return judgements.repartition(self.parallelism).mapInPandas(run, schema)
+        return sent.repartition(self.parallelism).mapInPandas(run, schema)
 
 
 def _overlap_judgement(query: Column, yes: Column, no: Column, state: Column) -> Column:
@@ -116,8 +126,8 @@ def oversized_states(judgements: DataFrame) -> DataFrame:
 def checked_states(judgements: DataFrame) -> DataFrame:
     """Fail the job on the first oversized state; nothing is cut to fit."""
     message = F.concat(
-        F.lit("State for "), F.col("path"),
-        F.lit(" is too large; use a smaller chunk_chars or a shorter query"),
+        F.lit("Cannot judge "), F.col("path"),
+        F.lit(": query and passage exceed one request; lower chunk_chars or shorten the query"),
     )
     checked = F.when(state_bytes() > STATE_LIMIT, F.raise_error(message)).otherwise(
         F.col("state")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.fixed import MAX_QUERY_TERMS
 from gleaner.functions import relevance as R
 from gleaner.functions import text as T
 from gleaner.operators.ranking import top_per_group
@@ -74,9 +75,17 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def explode_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, term``: at most 64 rows per query."""
-    return queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+def explode_terms(queries: DataFrame, limit: int | None = MAX_QUERY_TERMS) -> DataFrame:
+    """``query_id, term``: at most ``limit`` rows per query, or all its terms."""
+    terms = T.query_terms(F.col("query"), limit)
+    return queries.select("query_id", F.explode(terms).alias("term"))
+
+
+def terms_left_out(queries: DataFrame, limit: int | None = MAX_QUERY_TERMS) -> DataFrame:
+    """``query_id, left_out``: how many distinct terms of a query the limit leaves out."""
+    every = F.size(T.distinct_terms(F.col("query")))
+    used = F.size(T.query_terms(F.col("query"), limit))
+    return queries.select("query_id", (every - used).alias("left_out"))
 
 
 def term_df(entries: DataFrame, query_terms: DataFrame) -> DataFrame:
@@ -90,11 +99,9 @@ def term_df(entries: DataFrame, query_terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_weights(
-    entries: DataFrame, query_terms: DataFrame, passages: Column
-) -> DataFrame:
+def term_weights(frequencies: DataFrame, query_terms: DataFrame, passages: Column) -> DataFrame:
     """``query_id, term, idf`` of the query terms that occur at all."""
-    return query_terms.join(term_df(entries, query_terms), "term").select(
+    return query_terms.join(frequencies, "term").select(
         "query_id", "term", R.idf(passages, F.col("df")).alias("idf")
     )
 
@@ -126,10 +133,19 @@ def best_passage(scores: DataFrame) -> DataFrame:
     )
 
 
-def lexical_shortlist(best: DataFrame, limit: int) -> DataFrame:
+def lexical_shortlist(best: DataFrame, limit: int, single: bool = False) -> DataFrame:
     """The ``limit`` best documents of each query, by BM25 and then path."""
     order = [F.desc("bm25"), F.asc("path")]
-    return top_per_group(best, "query_id", order, limit).drop("rank")
+    return top_per_group(best, "query_id", order, limit, single).drop("rank")
+
+
+def numbered_paths(documents: DataFrame, limit: int) -> DataFrame:
+    """``place, path`` of the first ``limit`` documents in path order."""
+    # The ordered limit already holds one partition of at most `limit` rows.
+    first = documents.select("path").orderBy("path").limit(limit)
+    return first.agg(F.sort_array(F.collect_list("path")).alias("paths")).select(
+        F.posexplode("paths").alias("place", "path")
+    )
 
 
 def fill_shortlist(
@@ -142,11 +158,7 @@ def fill_shortlist(
     meet documents on a numbered place: an equi-join of at most ``limit`` rows
     per query that still has free places.
     """
-    # The ordered limit already holds one partition of at most `limit` rows.
-    first = documents.select("path").orderBy("path").limit(limit)
-    first = first.agg(F.sort_array(F.collect_list("path")).alias("paths")).select(
-        F.posexplode("paths").alias("place", "path")
-    )
+    first = numbered_paths(documents, limit)
     taken = lexical.groupBy("query_id").agg(F.count("*").alias("taken"))
     short = (
         queries.select("query_id")

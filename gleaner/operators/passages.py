@@ -24,6 +24,24 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def skip_reason(text: Column) -> Column:
+    """Why a value cannot be a document, or NULL if it can."""
+    return F.when(text.isNull(), "null value").when(
+        F.contains(text, F.lit("\x00")), "text holds a NUL character"
+    )
+
+
+def accepted(documents: DataFrame) -> DataFrame:
+    """The documents that may be searched, stored or not."""
+    return documents.where(skip_reason(F.col("text")).isNull())
+
+
+def unique_path(path: Column, copies: Column) -> Column:
+    """The path, or a failure where several documents have it."""
+    message = F.concat(F.lit("More than one document has the path "), path)
+    return F.when(copies > 1, F.raise_error(message).cast("string")).otherwise(path)
+
+
 def chunk(documents: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
     """Cut every document into windows; a narrow, shuffle-free step."""
     kept = [name for name in documents.columns if name != "text"]

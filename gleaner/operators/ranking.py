@@ -7,23 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
-
-
-def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], limit: int) -> DataFrame:
+def top_per_group(
+    rows: DataFrame, group: str, order: Sequence[Column], limit: int, single: bool = False
+) -> DataFrame:
     """Rows ranked 1..limit inside each group, in ``rank``.
 
-    Every task passes on at most ``limit`` rows of a group.  Where more than
-    ``SLICES`` tasks feed one, their rows are first merged in that many slices,
-    so the task that finishes a group sees at most ``SLICES * limit`` rows
-    however large the group is.
+    Every task passes on at most ``limit`` rows of a group.  ``single`` says that all
+    rows belong to one group: an ordered limit then picks them, and only those few are
+    numbered.
     """
-    feeding = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if feeding > SLICES:
-        sliced = rows.withColumn("slice", F.spark_partition_id() % SLICES)
-        within = Window.partitionBy(group, "slice").orderBy(*order)
-        rows = sliced.withColumn("rank", F.row_number().over(within))
-        rows = rows.where(F.col("rank") <= limit).drop("rank", "slice")
+    if single:
+        rows = rows.orderBy(*order).limit(limit)
     whole = Window.partitionBy(group).orderBy(*order)
     ranked = rows.withColumn("rank", F.row_number().over(whole))
     return ranked.where(F.col("rank") <= limit)
@@ -41,10 +35,10 @@ def max_passage_score(scored: DataFrame) -> DataFrame:
     )
 
 
-def top_k(pooled: DataFrame, k: int) -> DataFrame:
+def top_k(pooled: DataFrame, k: int, single: bool = False) -> DataFrame:
     """``query_id, rank, score, path, passage, source`` of the k best documents."""
     order = [F.desc("score"), F.asc("path")]
-    best = top_per_group(pooled, "query_id", order, k)
+    best = top_per_group(pooled, "query_id", order, k, single)
     return best.select("query_id", "rank", "score", "path", "passage", "source")
 
 

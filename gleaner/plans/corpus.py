@@ -5,34 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from gleaner.fixed import MAX_QUERY_TERMS
 from gleaner.functions import text as T
 from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.session import materialize
 
-# A shortlist of at most this many passages is looked up by literal path where
-# scanning the paths of all passages would cost more than planning such a filter.
-LITERAL_KEYS = 2000
-LITERAL_PASSAGES = 1_000_000
-
-
 @dataclass(frozen=True)
 class Corpus:
     """``documents(path)`` and ``passages`` with their statistics.
 
-    ``postings`` gives the postings of some terms or of all, ``frequencies`` the
-    token runs of every passage; ``fetch`` turns ``(path, ordinal, ...)`` rows into
-    passages with their text, and ``texts`` distinct paths into whole documents.
+    ``postings`` gives the postings of some terms or of all, ``frequencies`` the token
+    runs of every passage, and ``term_df`` the document frequencies of a frame of terms;
+    ``fetch`` turns ``(path, ordinal, ...)`` rows into passages with their text, and
+    ``texts`` distinct paths into whole documents.
     """
 
     documents: DataFrame
     passages: DataFrame
     frequencies: DataFrame
     postings: Callable[[list[str] | None], DataFrame]
-    fetch: Callable[[DataFrame, bool], DataFrame]
+    term_df: Callable[[DataFrame], DataFrame]
+    fetch: Callable[[DataFrame], DataFrame]
     texts: Callable[[DataFrame], DataFrame]
     document_count: int
     passage_count: int
@@ -42,68 +39,107 @@ class Corpus:
     def is_exhaustive(self, limit: int) -> bool:
         return limit == 0 or self.document_count <= limit
 
-    def shortlist(self, queries: DataFrame, limit: int, single: bool = False) -> DataFrame:
+    def shortlist(
+        self,
+        queries: DataFrame,
+        limit: int,
+        single: bool = False,
+        max_terms: int | None = MAX_QUERY_TERMS,
+    ) -> DataFrame:
         """``query_id, path, ordinal, bm25, tier``: ``limit`` documents per query.
 
-        ``single`` says that ``queries`` has one row: its terms become literals,
-        so that the postings scan reads nothing else.  Many queries share most of
-        the vocabulary; they take their postings from the passages instead.
+        ``single`` says that ``queries`` has one row: its terms become literals, so that
+        the postings scan reads nothing else.  The distinct terms of many queries are
+        weighed with the stored frequencies and matched with the passages' token runs.
+        ``max_terms`` bounds the terms of a query (None: all of them count).
         """
-        terms = L.explode_terms(queries)
-        literals = [row.term for row in terms.collect()] if single else None
-        stored = self.postings(literals)
-        weights = L.term_weights(stored, terms, F.lit(self.passage_count))
-        entries = stored if single else L.postings_of(self.frequencies)
+        terms = L.explode_terms(queries, max_terms)
+        if single:
+            entries = self.postings([row.term for row in terms.collect()])
+            frequencies = L.term_df(entries, terms)
+        else:
+            entries = L.postings_of(self.frequencies)
+            frequencies = self.term_df(terms.select("term").distinct())
+        weights = L.term_weights(frequencies, terms, F.lit(self.passage_count))
         matches = L.term_matches(entries, weights)
         scores = L.bm25_scores(matches, F.lit(self.mean_length))
-        lexical = L.lexical_shortlist(L.best_passage(scores), limit)
+        lexical = L.lexical_shortlist(L.best_passage(scores), limit, single)
         # Short rows without text; both the fill and the final union read them.
         lexical = materialize(lexical, "lexical")
         return L.complete_shortlist(lexical, queries, self.documents, limit)
 
-    def candidates(self, queries: DataFrame, limit: int, single: bool = False) -> DataFrame:
+    def candidates(
+        self,
+        queries: DataFrame,
+        limit: int,
+        single: bool = False,
+        max_terms: int | None = MAX_QUERY_TERMS,
+    ) -> DataFrame:
         """``query_id, path, ordinal, text, digest, source`` to be judged.
 
-        A corpus within the limit offers every passage to every query.
+        A corpus within the limit offers every passage to every query.  Judging a whole
+        corpus (``limit`` 0) is for one query at a time; a table of queries would pair
+        all of them with all passages.
         """
-        if self.is_exhaustive(limit):
-            asked = [row.query_id for row in queries.select("query_id").collect()]
-            everyone = F.explode(F.lit(asked).cast("array<bigint>")).alias("query_id")
-            return self.passages.select(
-                everyone, "path", "ordinal", "text", "digest", "source"
-            )
-        keys = self.shortlist(queries, limit, single).select("query_id", "path", "ordinal")
-        keys = materialize(keys, "shortlist")
-        literal = single and limit <= LITERAL_KEYS and self.passage_count > LITERAL_PASSAGES
-        found = self.fetch(keys, literal)
-        return found.select("query_id", "path", "ordinal", "text", "digest", "source")
-
-
-def scan(documents: DataFrame, query: str, chunk_chars: int = P.CHUNK_CHARS) -> Corpus:
+        columns = ["query_id", "path", "ordinal", "text", "digest", "source"]
+        if not self.is_exhaustive(limit):
+            keys = self.shortlist(queries, limit, single, max_terms)
+            keys = materialize(keys.select("query_id", "path", "ordinal"), "shortlist")
+            return self.fetch(keys).select(*columns)
+        if single:
+            only = queries.select("query_id").first().query_id
+            return self.passages.withColumn("query_id", F.lit(only).cast("long")).select(*columns)
+        if limit == 0:
+            raise ValueError("Judging every passage needs a single query; give a shortlist size")
+        # At most `limit` documents: queries meet them on their numbered places.
+        places = F.sequence(F.lit(0), F.lit(max(self.document_count, 1) - 1))
+        asked = queries.select("query_id", F.explode(places).alias("place"))
+        numbered = L.numbered_paths(self.documents, limit)
+        return asked.join(numbered, "place").join(self.passages, "path").select(*columns)
+
+
+def _statistics(frequencies: DataFrame) -> Row:
+    """Counts of a scanned corpus; a repeated path fails, as it does in an index."""
+    per_document = frequencies.groupBy("path").agg(
+        F.count("*").alias("passages"),
+        F.sum("dl").alias("tokens"),
+        F.count_if(F.col("ordinal") == 0).alias("copies"),
+    )
+    path = P.unique_path(F.col("path"), F.col("copies"))
+    return per_document.select("passages", "tokens", path.alias("path")).agg(
+        F.coalesce(F.sum("passages"), F.lit(0)).alias("passages"),
+        F.count("path").alias("documents"),
+        (F.sum("tokens") / F.sum("passages")).alias("mean_length"),
+    ).first()
+
+
+def scan(
+    documents: DataFrame,
+    query: str,
+    chunk_chars: int = P.CHUNK_CHARS,
+    max_terms: int | None = MAX_QUERY_TERMS,
+) -> Corpus:
     """A corpus read once for one query, without building an index.
 
-    The text is tokenized in a single pass that keeps, per passage, its length
+    It refuses the documents that an index refuses.  The text is tokenized in a single pass that keeps, per passage, its length
     and the frequencies of the query's own terms.
     """
     P.check_chunk_chars(chunk_chars)
     if "source" not in documents.columns:
         documents = documents.withColumn("source", F.lit(None).cast("string"))
-    documents = documents.select("path", "text", "source").where("text IS NOT NULL")
+    documents = P.accepted(documents.select("path", "text", "source"))
     spark = documents.sparkSession
-    terms = spark.range(1).select(T.query_terms(F.lit(query)).alias("terms")).first().terms
+    terms = spark.range(1).select(T.query_terms(F.lit(query), max_terms).alias("terms")).first().terms
     passages = P.chunk(documents, chunk_chars)
     frequencies = materialize(L.term_frequencies(passages, terms), "frequencies")
-    counts = frequencies.agg(
-        F.count("*").alias("passages"),
-        F.count_if(F.col("ordinal") == 0).alias("documents"),
-        F.avg("dl").alias("mean_length"),
-    ).first()
+    counts = _statistics(frequencies)
     return Corpus(
         documents=documents.select("path"),
         passages=passages,
         frequencies=frequencies,
         postings=lambda _: L.postings_of(frequencies),
-        fetch=lambda keys, _: P.cut_selected(documents, keys, chunk_chars),
+        term_df=lambda wanted: L.term_df(L.postings_of(frequencies), wanted),
+        fetch=lambda keys: P.cut_selected(documents, keys, chunk_chars),
         texts=lambda paths: documents.join(paths, "path").select("path", "text"),
         document_count=counts.documents,
         passage_count=counts.passages,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.fixed import MIN_SHORTLIST, SHORTLIST_PER_RESULT
+from gleaner.fixed import MAX_QUERY_TERMS, MIN_SHORTLIST, SHORTLIST_PER_RESULT
 from gleaner.operators import judging as J
 from gleaner.operators import passages as P
 from gleaner.operators import query_specs as Q
@@ -17,6 +17,9 @@ from gleaner.plans.corpus import Corpus, scan
 from gleaner.session import materialize
 from gleaner.sources.scores import ScoreCache
 
+#: Judgements stored at a time; what a failing scorer can lose.
+BATCH_ROWS = 1_000_000
+
 Scorer = J.ColumnScorer | J.BatchScorer
 
 
@@ -25,18 +28,16 @@ class RankingStats:
     scored: int
     cache_hits: int
     scorer_calls: int
-    tokens: int
+    input_tokens: int
+    output_tokens: int
 
 
 @dataclass(frozen=True)
 class Ranking:
-    """Results as ``query_id, rank, score, path, passage, source``, and counters.
-
-    Without a cache nothing has run yet and there are no counters.
-    """
+    """Results as ``query_id, rank, score, path, passage, source``, and counters."""
 
     results: DataFrame
-    stats: RankingStats | None
+    stats: RankingStats
     exhaustive: bool = False
 
 
@@ -100,33 +101,49 @@ def rerank(
     k: int,
     scorer: Scorer = J.TOKEN_OVERLAP,
     cache: ScoreCache | None = None,
-    batches: int | None = None,
+    batch_rows: int = BATCH_ROWS,
+    single: bool = False,
 ) -> Ranking:
     """Judge candidates and keep the k best documents of each query.
 
-    With a cache only unknown judgements go to the scorer, and they are stored
-    before anything is ranked.  ``batches`` splits that into separate writes, so a
-    failing scorer loses at most the batch it was working on; no ranking comes
-    out of a failed run.
+    Judgements are stored before anything is ranked.  With a cache only unknown ones go
+    to the scorer, in writes of about ``batch_rows``, so a failing scorer loses at most
+    one of them; no ranking comes out of a failed run.  Passage texts are read for the
+    judgements that the scorer has to make, and only once.
     """
-    judged = judgements(candidates, queries, scorer)
+    asked = asked_of(queries, scorer)
     if cache is None:
-        return Ranking(K.top_k(K.max_passage_score(score(judged, scorer)), k), None)
-    keyed, asked = J.with_keys(judged), asked_of(queries, scorer)
-    counted = J.ranking_stats(cache.lookup(keyed, asked)).first()
+        scored = score(judgements(candidates, queries, scorer), scorer)
+        scored = materialize(scored.select("query_id", "path", "ordinal", "source", "score", *J.TOKENS), "scored")
+        total = scored.agg(
+            F.count("*").alias("scored"), *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in J.TOKENS)
+        ).first()
+        stats = RankingStats(total.scored, 0, total.scored, total.input_tokens, total.output_tokens)
+        return Ranking(K.top_k(K.max_passage_score(scored), k, single), stats)
+
+    # The keys need no text: digests are stored with the passages.
+    keyed = J.with_keys(candidates.drop("text").join(asked, "query_id"))
+    keyed = keyed.select("query_id", "path", "ordinal", "source", "key", "namespace")
+    keyed = materialize(cache.lookup(keyed, asked), "keyed")
+    counted = J.ranking_stats(keyed).first()
     run = uuid.uuid4().hex
+    tokens = (0, 0)
+    scored = keyed
     if counted.scorer_calls:
-        batches = batches or (1 if isinstance(scorer, J.ColumnScorer) else 8)
+        batches = -(-counted.scorer_calls // batch_rows)
+        missing = keyed.where("score IS NULL").select(
+            "query_id", "path", "ordinal", "key", "namespace",
+            F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"),
+        )
+        unknown = candidates.join(missing, ["query_id", "path", "ordinal"])
+        unknown = J.with_state(unknown.join(asked.drop("namespace"), "query_id")).drop("text")
+        unknown = materialize(unknown, "unknown") if batches > 1 else unknown
         for batch in range(batches):
-            # The cache is read anew for each batch and always before its write.
-            share = keyed.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == batch)
-            unknown = cache.lookup(share, asked).where("score IS NULL").drop("score", "slot")
-            cache.append(score(unknown, scorer), run)
-    scored = cache.lookup(keyed, asked)
-    results = K.top_k(K.max_passage_score(scored), k)
-    tokens = cache.tokens(run) if counted.scorer_calls else 0
-    stats = RankingStats(counted.scored, counted.cache_hits, counted.scorer_calls, tokens)
-    return Ranking(results, stats)
+            cache.append(score(unknown.where(F.col("batch") == batch), scorer), run)
+        tokens = tuple(cache.usage(run, asked))
+        scored = cache.lookup(keyed.drop("score"), asked)
+    results = K.top_k(K.max_passage_score(scored), k, single)
+    return Ranking(results, RankingStats(counted.scored, counted.cache_hits, counted.scorer_calls, *tokens))
 
 
 def search(
@@ -136,13 +153,18 @@ def search(
     candidates: int | None = None,
     scorer: Scorer = J.TOKEN_OVERLAP,
     cache: ScoreCache | None = None,
-    batches: int | None = None,
+    batch_rows: int = BATCH_ROWS,
     single: bool = False,
+    max_terms: int | None = MAX_QUERY_TERMS,
 ) -> Ranking:
-    """Rank a corpus for every row of a query table."""
+    """Rank a corpus for every row of a query table.
+
+    ``max_terms`` bounds the terms of a query that the shortlist uses (None: all);
+    ``terms_left_out`` tells which queries have more.
+    """
     limit = check_limits(k, candidates)
-    offered = corpus.candidates(queries, limit, single)
-    ranking = rerank(offered, queries, k, scorer, cache, batches)
+    offered = corpus.candidates(queries, limit, single, max_terms)
+    ranking = rerank(offered, queries, k, scorer, cache, batch_rows, single)
     return Ranking(ranking.results, ranking.stats, corpus.is_exhaustive(limit))
 
 
@@ -155,11 +177,13 @@ def search_documents(
     candidates: int | None = None,
     scorer: Scorer = J.TOKEN_OVERLAP,
     chunk_chars: int = P.CHUNK_CHARS,
+    max_terms: int | None = MAX_QUERY_TERMS,
 ) -> DataFrame:
     """One query over ``documents(path, text[, source])``, without an index."""
     asked = one_query(documents.sparkSession, query, yes, no)
-    corpus = scan(documents, query, chunk_chars)
-    return search(corpus, asked, k, candidates, scorer, single=True).results
+    corpus = scan(documents, query, chunk_chars, max_terms)
+    found = search(corpus, asked, k, candidates, scorer, single=True, max_terms=max_terms)
+    return found.results
 
 
 def with_text(results: DataFrame, corpus: Corpus) -> DataFrame:

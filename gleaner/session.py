@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,42 +13,43 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as named by the session.
-
-    Only a local session may fall back on a temporary folder of its own.
-    """
+    """The folder all executors share: the one the session names, or its warehouse."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"Set {SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="gleaner-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
+_open_scope: ContextVar[list[str] | None] = ContextVar("open_scope", default=None)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a result once and read it back, so later steps do not repeat it.
 
-    Frames built on it need the files until they have run; see ``release``.
+    Frames built on it need the files until they have run.  Inside ``scratch`` the
+    files go when the scope ends; outside any scope they stay in the shared folder.
     """
     spark = df.sparkSession
     folder = new_folder(spark, label)
     df.write.parquet(folder)
-    _written.append(folder)
+    scope = _open_scope.get()
+    if scope is not None:
+        scope.append(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far by this session."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables written inside the scope when it ends, and no others."""
+    written: list[str] = []
+    token = _open_scope.set(written)
+    try:
+        yield
+    finally:
+        _open_scope.reset(token)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for folder in written:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)

@@ -96,7 +96,7 @@ def read_files(
                         content = stream.readall()
                     after = store.get_file_info(row.full)
                     if (after.mtime_ns or 0) != row.modified or after.size != row.length:
-                        failure = "file changed while it was being read"
+                        failure = "size or time changed during the read"
                 except OSError as error:
                     failure = f"unreadable: {error}"
                 rows.append((row.path, row.length, row.modified, content, failure))
@@ -126,7 +126,7 @@ def decode(raw: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("failure").isNotNull(), F.col("failure"))
         .when(F.col("decoded").isNull(), "not valid UTF-8")
-        .when(F.contains("decoded", F.lit("\x00")), "binary content (NUL bytes)")
+        .when(F.contains("decoded", F.lit("\x00")), "holds a NUL byte")
     )
     unified = F.regexp_replace("decoded", "\r\n?", "\n")
     return (
@@ -144,15 +144,17 @@ class FileSource:
         self, spark: SparkSession, root: str, filesystem: FileSystemFactory | None = None
     ):
         self.identity = f"files {root.rstrip('/')}"
-        self._root, self._filesystem = root, filesystem
-        self._listing = list_files(spark, root, filesystem)
+        self._spark, self._root, self._filesystem = spark, root, filesystem
 
-    def manifest(self) -> DataFrame:
-        return manifest(self._listing)
+    def listing(self) -> DataFrame:
+        """The files there are now."""
+        return list_files(self._spark, self._root, self._filesystem)
 
-    def read(self, paths: DataFrame | None) -> DataFrame:
-        """``path, stamp, text, source, reason`` of all files or the named ones."""
-        listing = self._listing
+    def manifest(self, listing: DataFrame) -> DataFrame:
+        return manifest(listing)
+
+    def read(self, listing: DataFrame, paths: DataFrame | None) -> DataFrame:
+        """``path, stamp, text, source, reason`` of all listed files or the named ones."""
         if paths is not None:
             listing = listing.join(paths, "path", "left_semi")
         stamped = decode(read_files(listing, self._root, self._filesystem))

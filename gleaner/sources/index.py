@@ -5,14 +5,20 @@ Layout under the index folder::
     commits/                        one row per refresh; the last one is current
     documents/<segment>/            the whole manifest after that refresh
     superseded/<segment>/           (path, segment) of passages no longer valid
-    passages/segment=<segment>/     passages of the documents read by that refresh
-    postings/segment=<segment>/bucket=<n>/
-
-A refresh compares manifests, reads and tokenizes only new and changed documents
-into a segment of their own, and adds a commit.  Nothing written earlier is
-touched: until the commit exists readers see the previous snapshot, and an
-interrupted refresh leaves only unreferenced files.  Refreshes of one index must
-not overlap.  ``rebuild`` reads everything again into a single segment.
+    passages/segment=<segment>/slot=<n>/      sorted by path and ordinal
+    postings/segment=<segment>/bucket=<n>/    sorted by term
+    terms/segment=<segment>/bucket=<n>/       document frequencies, as differences
+
+A refresh lists the source anew, compares manifests, reads and tokenizes only new and
+changed documents into a segment of their own, and adds a commit.  Nothing written
+earlier is touched: until the commit exists readers see the previous snapshot, and an
+interrupted refresh leaves only unreferenced files.  Refreshes of one index must not
+overlap.  ``rebuild`` reads everything again into a single segment; ``compact`` writes
+the live passages of all segments into one, without the source.
+
+Every segment has as many hash slots of paths and buckets of terms as its own size
+needs.  A term's frequency is the sum of its rows over all segments: a refresh that
+supersedes passages stores what they counted with a minus sign.
 """
 
 from __future__ import annotations
@@ -20,36 +26,37 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import text as T
 from gleaner.operators import changes as C
 from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.plans import corpus as corpora
-from gleaner.session import materialize
+from gleaner.session import materialize, scratch
 
-FORMAT = "1"
-POSTINGS_PER_BUCKET = 20_000_000
-MAX_BUCKETS = 16_384
-PATHS_PER_ROW_GROUP = 20_000
+FORMAT = "2"
+TOKENS_PER_BUCKET = 20_000_000
+DOCUMENTS_PER_SLOT = 50_000
+SEGMENT = "struct<name:string,buckets:int,slots:int>"
 COMMIT = (
-    "version long, settings string, segment string, segments array<string>, "
-    "documents_dir string, superseded_dir string, documents long, passages long, mean_length double, buckets int, "
-    "updated long, skipped long, removed long"
+    f"version long, settings string, segment string, segments array<{SEGMENT}>, "
+    "documents_dir string, superseded_dir string, documents long, passages long, "
+    "mean_length double, updated long, skipped long, removed long"
 )
 PASSAGES = (
     "path string, ordinal int, text string, digest string, source string, stamp string, "
-    "reason string, dl int, runs array<string>, segment string"
+    "reason string, dl int, runs array<string>, segment string, slot int"
 )
 POSTINGS = (
     "term string, path string, ordinal int, tf_path int, tf_text int, dl int, "
     "segment string, bucket int"
 )
+TERMS = "term string, df long, segment string, bucket int"
 MANIFEST = "path string, stamp string, source string, segment string, passages long, tokens long"
 
 
@@ -58,10 +65,13 @@ class Source(Protocol):
 
     identity: str
 
-    def manifest(self) -> DataFrame:
-        """``path, stamp`` of every document there is, read as cheaply as possible."""
+    def listing(self) -> DataFrame:
+        """What there is now, stored; the other two methods get it back."""
 
-    def read(self, paths: DataFrame | None) -> DataFrame:
+    def manifest(self, listing: DataFrame) -> DataFrame:
+        """``path, stamp`` of every document in the listing."""
+
+    def read(self, listing: DataFrame, paths: DataFrame | None) -> DataFrame:
         """``path, stamp, text, source, reason`` of the named documents, or of all."""
 
 
@@ -74,8 +84,8 @@ class Refresh:
     removed: int
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def bucket_of(value: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
 class Index:
@@ -108,12 +118,34 @@ class Index:
             raise ValueError(f"{self._folder} holds no index yet")
         return commit
 
-    def _segments(self, kind: str, schema: str, segments: list[str]) -> DataFrame:
-        if not segments:
-            return self._spark.createDataFrame([], schema)
+    def _segment(self, kind: str, schema: str, name: str) -> DataFrame:
         base = f"{self._folder}/{kind}"
         reader = self._spark.read.schema(schema).option("basePath", base)
-        return reader.parquet(*[f"{base}/segment={name}" for name in segments])
+        return reader.parquet(f"{base}/segment={name}")
+
+    def _segments(self, kind: str, schema: str, segments: list[Row]) -> DataFrame:
+        if not segments:
+            return self._spark.createDataFrame([], schema)
+        return reduce(
+            DataFrame.unionByName, (self._segment(kind, schema, s.name) for s in segments)
+        )
+
+    def _part(self, kind: str, schema: str, segments: list[Row], wanted: DataFrame) -> DataFrame:
+        """The rows of all segments in the slots or buckets of some paths or terms.
+
+        ``wanted`` has one column; what is collected are its hash values, of which a
+        segment has no more than it has folders.
+        """
+        column, parts = F.col(wanted.columns[0]), []
+        name, count = ("slot", "slots") if kind == "passages" else ("bucket", "buckets")
+        for segment in segments:
+            places = wanted.select(bucket_of(column, segment[count]).alias("place")).distinct()
+            numbers = [row.place for row in places.collect()]
+            rows = self._segment(kind, schema, segment.name)
+            parts.append(rows.where(F.col(name).isin(numbers)) if numbers else rows.where("false"))
+        if not parts:
+            return self._spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, parts)
 
     def _live(self, rows: DataFrame, commit: Row) -> DataFrame:
         if commit.superseded_dir is None:
@@ -130,11 +162,22 @@ class Index:
         return self._live(rows, commit)
 
     def _postings(self, commit: Row, terms: list[str] | None) -> DataFrame:
-        rows = self._segments("postings", POSTINGS, commit.segments)
-        if terms is not None:
-            slots = [bucket_of(F.lit(term), commit.buckets) for term in terms]
-            rows = rows.where(F.col("bucket").isin(slots) & F.col("term").isin(terms))
-        return self._live(rows, commit)
+        if terms is None:
+            return self._live(self._segments("postings", POSTINGS, commit.segments), commit)
+        parts = []
+        for segment in commit.segments:
+            rows = self._segment("postings", POSTINGS, segment.name)
+            slots = [bucket_of(F.lit(term), segment.buckets) for term in terms]
+            parts.append(rows.where(F.col("bucket").isin(slots) & F.col("term").isin(terms)))
+        if not parts:
+            return self._spark.createDataFrame([], POSTINGS)
+        return self._live(reduce(DataFrame.unionByName, parts), commit)
+
+    def _term_df(self, commit: Row, wanted: DataFrame) -> DataFrame:
+        """``term, df`` of the wanted terms that occur, from the stored frequencies."""
+        wanted = materialize(wanted.select("term").distinct(), "wanted-terms")
+        rows = self._part("terms", TERMS, commit.segments, wanted).join(wanted, "term", "left_semi")
+        return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def documents(self) -> DataFrame:
         return self._manifest(self._current())
@@ -146,38 +189,30 @@ class Index:
         """All live postings, or those of the given terms, pruned at the scan."""
         return self._postings(self._current(), terms)
 
+    def commits(self) -> DataFrame:
+        """One row for each refresh or compaction, with its counters."""
+        return self._spark.read.schema(COMMIT).parquet(f"{self._folder}/commits")
+
+    def term_df(self, wanted: DataFrame) -> DataFrame:
+        """``term, df``: in how many live passages each wanted term occurs."""
+        return self._term_df(self._current(), wanted)
+
     def skipped(self) -> DataFrame:
         """``path, reason`` of what the last refresh could not read."""
-        rows = self._segments("passages", PASSAGES, [self._current().segment])
+        rows = self._segment("passages", PASSAGES, self._current().segment)
         return rows.where("reason IS NOT NULL").select("path", "reason")
 
-    @staticmethod
-    def _at_paths(rows: DataFrame, paths: list[str]) -> DataFrame:
-        """Rows of a few paths, put into the scan as literals.
+    def _in_slots(self, commit: Row, paths: DataFrame) -> DataFrame:
+        """Live passages in the slots of some paths."""
+        rows = self._part("passages", PASSAGES, commit.segments, paths.select("path"))
+        return self._live(rows.where("reason IS NULL"), commit)
 
-        Groups of ten are small enough to be pushed down as equalities, which the
-        Bloom filters on ``path`` can answer.
-        """
-        groups = [F.col("path").isin(paths[i : i + 10]) for i in range(0, len(paths), 10)]
-        while len(groups) > 1:
-            pairs = [groups[i : i + 2] for i in range(0, len(groups), 2)]
-            groups = [pair[0] if len(pair) == 1 else pair[0] | pair[1] for pair in pairs]
-        return rows.where(groups[0] if groups else F.lit(False))
-
-    def _lookup(self, rows: DataFrame, keys: DataFrame, literal: bool) -> DataFrame:
-        """Passages by (path, ordinal); with ``literal`` the keys are few."""
-        if literal:
-            paths = [row.path for row in keys.select("path").distinct().collect()]
-            rows = self._at_paths(rows, paths)
-        return rows.join(keys, ["path", "ordinal"])
+    def _lookup(self, commit: Row, keys: DataFrame) -> DataFrame:
+        """Passages by (path, ordinal)."""
+        return self._in_slots(commit, keys).join(keys, ["path", "ordinal"])
 
     def _texts(self, commit: Row, paths: DataFrame) -> DataFrame:
-        rows = self._passages(commit)
-        if commit.passages > corpora.LITERAL_PASSAGES:
-            few = [row.path for row in paths.limit(corpora.LITERAL_KEYS + 1).collect()]
-            if len(few) <= corpora.LITERAL_KEYS:
-                rows = self._at_paths(rows, few)
-        wanted = rows.join(paths.select("path"), "path", "left_semi")
+        wanted = self._in_slots(commit, paths).join(paths.select("path"), "path", "left_semi")
         return P.rebuild(wanted, self._chunk_chars)
 
     def corpus(self) -> corpora.Corpus:
@@ -189,7 +224,8 @@ class Index:
             passages=passages,
             frequencies=passages,
             postings=lambda terms: self._postings(commit, terms),
-            fetch=lambda keys, literal: self._lookup(passages, keys, literal),
+            term_df=lambda wanted: self._term_df(commit, wanted),
+            fetch=lambda keys: self._lookup(commit, keys),
             texts=lambda paths: self._texts(commit, paths),
             document_count=commit.documents,
             passage_count=commit.passages,
@@ -198,53 +234,104 @@ class Index:
         )
 
     def refresh(self, source: Source, rebuild: bool = False) -> Refresh:
+        """Bring the index up to date with what the source holds now."""
         settings = self._settings(source.identity)
         before = self._last_commit()
         if before is not None and before.settings != settings:
-            raise ValueError("Index settings changed; use another folder")
-        segment = uuid.uuid4().hex[:12]
+            raise ValueError(f"{self._folder} was built from another source or chunk size")
+        with scratch(self._spark):
+            return self._refresh(source, settings, before, rebuild)
+
+    def _refresh(self, source: Source, settings: str, before: Row | None, rebuild: bool) -> Refresh:
+        name = uuid.uuid4().hex[:12]
+        listing = source.listing()
         known = None if before is None else self._manifest(before)
         diff = paths = None
         if known is not None and not rebuild:
-            diff = materialize(C.snapshot_diff(known, source.manifest()), "diff")
+            diff = materialize(C.snapshot_diff(known, source.manifest(listing)), "diff")
             paths = diff.where(F.col("class").isin(C.ADDED, C.CHANGED)).select("path")
+        new = (listing if paths is None else paths).count()
+        slots = 1 + new // DOCUMENTS_PER_SLOT
 
-        self._write_passages(source.read(paths), segment)
-        fresh = self._fresh_manifest(segment)
-        manifest, segments, superseded_dir = fresh, [], None
+        self._write_passages(source.read(listing, paths), name, slots)
+        fresh = self._fresh_manifest(name)
+        manifest, segments, superseded_dir, gone = fresh, [], None, None
         if diff is not None:
             same = diff.where(F.col("class") == C.KEPT)
-            gone = C.removed_docs(known, same).select("path", "segment")
-            superseded_dir = self._write_superseded(before, gone, segment)
+            gone = materialize(C.removed_docs(known, same).select("path", "segment"), "gone")
+            superseded_dir = self._write_superseded(before, gone, name)
             manifest, segments = C.cascade_keep(known, same).unionByName(fresh), before.segments
-        documents_dir = f"documents/{segment}"
-        manifest.write.parquet(f"{self._folder}/{documents_dir}")
-        manifest = self._spark.read.schema(MANIFEST).parquet(f"{self._folder}/{documents_dir}")
+        documents_dir, manifest = self._write_manifest(manifest, name)
+        totals = self._totals(manifest, name)
+        rows = self._segment("passages", PASSAGES, name)
+        skipped = rows.where("reason IS NOT NULL").count()
+        removed = 0 if known is None else C.removed_docs(known, manifest).count()
+        if totals.updated or (gone is not None and not gone.isEmpty()):
+            buckets = 1 + (totals.fresh_tokens or 0) // TOKENS_PER_BUCKET
+            self._write_postings(name, buckets)
+            self._write_terms(name, buckets, before, gone)
+            segments = [*segments, Row(name=name, buckets=buckets, slots=slots)]
+        self._commit(before, settings, name, segments, documents_dir, superseded_dir, totals, (totals.updated, skipped, removed))
+        return Refresh(totals.documents, totals.passages, totals.updated, skipped, removed)
+
+    def compact(self) -> None:
+        """Write the live passages into one segment; searches give the same results.
+
+        Slots and buckets are chosen anew.  Old segments stay for readers of earlier
+        snapshots until ``vacuum``.
+        """
+        before = self._current()
+        name = uuid.uuid4().hex[:12]
+        slots = 1 + before.documents // DOCUMENTS_PER_SLOT
+        live = self._passages(before).drop("segment", "slot")
+        self._store_passages(live, name, slots)
+        moved = self._manifest(before).withColumn("segment", F.lit(name))
+        documents_dir, manifest = self._write_manifest(moved, name)
+        totals = self._totals(manifest, name)
+        buckets = 1 + (totals.fresh_tokens or 0) // TOKENS_PER_BUCKET
+        self._write_postings(name, buckets)
+        self._write_terms(name, buckets, None, None)
+        segments = [Row(name=name, buckets=buckets, slots=slots)]
+        self._commit(before, before.settings, name, segments, documents_dir, None, totals, (0, 0, 0))
+
+    def vacuum(self) -> None:
+        """Delete the files of segments that the current snapshot does not use."""
+        commit = self._current()
+        used = {segment.name for segment in commit.segments} | {commit.segment}
+        hadoop = self._spark._jsc.hadoopConfiguration()
+        for kind in ("passages", "postings", "terms"):
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{kind}")
+            files = path.getFileSystem(hadoop)
+            for entry in files.listStatus(path) if files.exists(path) else []:
+                if entry.getPath().getName().removeprefix("segment=") not in used:
+                    files.delete(entry.getPath(), True)
+
+    def _commit(self, before, settings, name, segments, documents_dir, superseded_dir, totals, counts) -> None:
+        mean = totals.tokens / totals.passages if totals.tokens else 1.0
+        commit = (
+            (before.version + 1) if before else 1, settings, name, segments, documents_dir,
+            superseded_dir, totals.documents, totals.passages, mean, *counts,
+        )
+        row = self._spark.createDataFrame([commit], COMMIT).coalesce(1)
+        row.write.mode("append").parquet(f"{self._folder}/commits")
 
-        totals = manifest.agg(
+    def _write_manifest(self, manifest: DataFrame, name: str) -> tuple[str, DataFrame]:
+        folder = f"documents/{name}"
+        manifest.write.parquet(f"{self._folder}/{folder}")
+        return folder, self._spark.read.schema(MANIFEST).parquet(f"{self._folder}/{folder}")
+
+    @staticmethod
+    def _totals(manifest: DataFrame, name: str) -> Row:
+        own = F.col("segment") == name
+        return manifest.agg(
             F.count("*").alias("documents"),
             F.coalesce(F.sum("passages"), F.lit(0)).alias("passages"),
             F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-            F.count_if(F.col("segment") == segment).alias("updated"),
+            F.count_if(own).alias("updated"),
+            F.sum(F.when(own, F.col("tokens"))).alias("fresh_tokens"),
         ).first()
-        skipped = self._segments("passages", PASSAGES, [segment]).where("reason IS NOT NULL")
-        removed = 0 if known is None else C.removed_docs(known, manifest).count()
-        buckets = before.buckets if diff is not None else self._buckets(totals.tokens)
-        if totals.updated:
-            self._write_postings(segment, buckets)
-            segments = [*segments, segment]
-        commit = (
-            (before.version + 1) if before else 1,
-            settings, segment, segments, documents_dir, superseded_dir,
-            totals.documents, totals.passages,
-            totals.tokens / totals.passages if totals.tokens else 1.0,
-            buckets, totals.updated, skipped.count(), removed,
-        )
-        row = self._spark.createDataFrame([commit], COMMIT).coalesce(1)
-        row.write.mode("append").parquet(f"{self._folder}/commits")
-        return Refresh(*commit[6:8], *commit[10:])
 
-    def _write_passages(self, read: DataFrame, segment: str) -> None:
+    def _write_passages(self, read: DataFrame, name: str, slots: int) -> None:
         """One pass over the source: passages, and a row for each refusal."""
         refused = F.col("reason").isNotNull()
         body = F.when(~refused, F.col("text")).otherwise(F.lit(""))
@@ -252,12 +339,17 @@ class Index:
         rows = L.term_frequencies(
             cut, keep=["text", "digest", "source", "stamp", "reason"]
         ).withColumn("text", F.when(~refused, F.col("text")))
-        rows.write.option("parquet.bloom.filter.enabled#path", "true").option(
-            "parquet.bloom.filter.expected.ndv#path", str(PATHS_PER_ROW_GROUP)
-        ).parquet(f"{self._folder}/passages/segment={segment}")
+        self._store_passages(rows, name, slots)
+
+    def _store_passages(self, rows: DataFrame, name: str, slots: int) -> None:
+        """Passages in slots of their path, sorted, so a lookup reads few row groups."""
+        slotted = rows.withColumn("slot", bucket_of(F.col("path"), slots))
+        spread = slotted.hint("rebalance", F.col("slot"))
+        ordered = spread.sortWithinPartitions("slot", "path", "ordinal")
+        ordered.write.partitionBy("slot").parquet(f"{self._folder}/passages/segment={name}")
 
-    def _fresh_manifest(self, segment: str) -> DataFrame:
-        rows = self._segments("passages", PASSAGES, [segment]).where("reason IS NULL")
+    def _fresh_manifest(self, name: str) -> DataFrame:
+        rows = self._segment("passages", PASSAGES, name).where("reason IS NULL")
         per_document = rows.groupBy("path").agg(
             F.max("stamp").alias("stamp"),
             F.max("source").alias("source"),
@@ -265,29 +357,34 @@ class Index:
             F.sum("dl").alias("tokens"),
             F.count_if(F.col("ordinal") == 0).alias("copies"),
         )
-        repeated = F.raise_error(F.concat(F.lit("Two documents share the path "), F.col("path")))
-        path = F.when(F.col("copies") > 1, repeated.cast("string")).otherwise(F.col("path"))
         return per_document.select(
-            path.alias("path"), "stamp", "source", F.lit(segment).alias("segment"),
-            "passages", "tokens",
+            P.unique_path(F.col("path"), F.col("copies")).alias("path"), "stamp", "source",
+            F.lit(name).alias("segment"), "passages", "tokens",
         )
 
-    @staticmethod
-    def _buckets(tokens: int) -> int:
-        return max(8, min(MAX_BUCKETS, tokens // POSTINGS_PER_BUCKET))
-
-    def _write_postings(self, segment: str, buckets: int) -> None:
+    def _write_postings(self, name: str, buckets: int) -> None:
         """Postings sorted by term inside hash buckets of terms.
 
         Rebalancing lets the adaptive planner split the bucket of a very common
         term over several tasks and merge small buckets.
         """
-        rows = self._segments("passages", PASSAGES, [segment]).where("reason IS NULL")
+        rows = self._segment("passages", PASSAGES, name).where("reason IS NULL")
         entries = L.postings_of(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
         spread = entries.hint("rebalance", F.col("bucket"))
         ordered = spread.sortWithinPartitions("bucket", "term")
-        target = f"{self._folder}/postings/segment={segment}"
-        ordered.write.partitionBy("bucket").parquet(target)
+        ordered.write.partitionBy("bucket").parquet(f"{self._folder}/postings/segment={name}")
+
+    def _write_terms(self, name: str, buckets: int, before: Row | None, gone: DataFrame | None) -> None:
+        """How often each term occurs in the new passages, less in the superseded ones."""
+        counted = self._segment("postings", POSTINGS, name).groupBy("term").agg(F.count("*").alias("df"))
+        if before is not None and gone is not None and not gone.isEmpty():
+            rows = self._part("passages", PASSAGES, before.segments, gone.select("path"))
+            rows = rows.where("reason IS NULL").join(gone, ["path", "segment"], "left_semi")
+            lost = L.postings_of(rows).groupBy("term").agg((-F.count("*")).alias("df"))
+            counted = counted.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df"))
+        placed = counted.withColumn("bucket", bucket_of(F.col("term"), buckets))
+        spread = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
+        spread.write.partitionBy("bucket").parquet(f"{self._folder}/terms/segment={name}")
 
     def _write_superseded(self, before: Row, gone: DataFrame, segment: str) -> str | None:
         if before.superseded_dir is not None:

@@ -1,63 +1,79 @@
 """Judgements kept between searches.
 
-Scores are appended, never updated in place.  Files are grouped by the first two
-digits of the namespace (query, criteria and scorer), so a search reads only the
-folders its own queries can have written.
+Scores are appended, never updated in place.  Files are grouped by namespace (query,
+criteria and scorer), so a search reads only what was stored for its own queries.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "key string, score double, tokens long, run string, slot string"
+from gleaner.operators import judging as J
 
-
-def slot_of(namespace: Column) -> Column:
-    return F.substring(namespace, 1, 2)
+SCHEMA = (
+    "key string, score double, input_tokens long, output_tokens long, run string, "
+    "stored timestamp, namespace string"
+)
 
 
 class ScoreCache:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark, self._folder = spark, folder
 
-    def _stored(self) -> DataFrame:
+    def _stored(self, queries: DataFrame | None = None) -> DataFrame:
+        """What is stored, for the namespaces of these queries (one each) or for all."""
         try:
-            return self._spark.read.schema(SCHEMA).parquet(self._folder)
+            stored = self._spark.read.schema(SCHEMA).parquet(self._folder)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self._spark.createDataFrame([], SCHEMA)
+        if queries is None:
+            return stored
+        names = [row.namespace for row in queries.select("namespace").distinct().collect()]
+        return stored.where(F.col("namespace").isin(names))
 
-    def read(self, queries: DataFrame | None = None) -> DataFrame:
-        """``slot, key, score`` with one row per key.
+    @staticmethod
+    def _newest(stored: DataFrame) -> DataFrame:
+        """One row per key; of judgements stored twice the later one counts."""
+        last = F.max(F.struct("stored", "score")).alias("last")
+        return stored.groupBy("namespace", "key").agg(last).select(
+            "namespace", "key", F.col("last.score").alias("score")
+        )
 
-        ``queries`` carries the namespaces of interest; their slots (256 at most)
-        become a partition filter.  Two runs may have stored the same judgement
-        at the same time.
-        """
-        stored = self._stored()
-        if queries is not None:
-            slots = queries.select(slot_of(F.col("namespace")).alias("slot")).distinct()
-            stored = stored.where(F.col("slot").isin([row.slot for row in slots.collect()]))
-        return stored.groupBy("slot", "key").agg(F.max("score").alias("score"))
+    def read(self, queries: DataFrame | None = None) -> DataFrame:
+        """``namespace, key, score`` with one row per key."""
+        return self._newest(self._stored(queries))
 
     def lookup(self, keyed: DataFrame, queries: DataFrame | None = None) -> DataFrame:
         """Add ``score`` to judgements that carry ``namespace`` and ``key``."""
-        return keyed.withColumn("slot", slot_of(F.col("namespace"))).join(
-            self.read(queries), ["slot", "key"], "left"
-        )
+        return keyed.join(self.read(queries), ["namespace", "key"], "left")
 
     def append(self, scored: DataFrame, run: str) -> None:
         """Store scores under the name of the run that asked for them."""
         rows = scored.select(
-            "key", "score", "tokens", F.lit(run).alias("run"), slot_of(F.col("namespace")).alias("slot")
+            "key", "score", *J.TOKENS, F.lit(run).alias("run"),
+            F.current_timestamp().alias("stored"), "namespace",
         )
-        spread = rows.hint("rebalance", F.col("slot"))
-        spread.write.partitionBy("slot").mode("append").parquet(self._folder)
+        spread = rows.hint("rebalance", F.col("namespace"))
+        spread.write.partitionBy("namespace").mode("append").parquet(self._folder)
+
+    def usage(self, run: str, queries: DataFrame) -> Row:
+        """The tokens the scorer reported during one run, in and out."""
+        own = self._stored(queries).where(F.col("run") == run)
+        return own.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in J.TOKENS)).first()
 
-    def tokens(self, run: str) -> int:
-        """The tokens the scorer reported during one run."""
-        spent = self._stored().where(F.col("run") == run).agg(F.sum("tokens")).first()[0]
-        return spent or 0
+    def compact(self, folder: str) -> ScoreCache:
+        """Write one row per key to another folder and return the cache there.
+
+        The cache itself is left alone, so searches can go on until callers switch.
+        """
+        none = self._spark.createDataFrame([], "key string, score double")
+        kept = self.read()
+        merged = J.cache_merge(none, kept).join(kept.select("key", "namespace"), "key")
+        rows = merged.withColumns({name: F.lit(0).cast("long") for name in J.TOKENS})
+        compacted = ScoreCache(self._spark, folder)
+        compacted.append(rows, "compacted")
+        return compacted

@@ -54,6 +54,8 @@ def main(folder, *chosen):
     sql = contract.oracle_sql()
     failed = []
     for name, query in contract.queries().items():
+        if name.startswith("op") or name == "pipeline":  # checked in tests/llm
+            continue
         if chosen and name not in chosen:
             continue
         try:

@@ -1,3 +1,5 @@
+"""A tree of files as the source of an index."""
+
 from __future__ import annotations
 
 import os
@@ -11,8 +13,8 @@ from gleaner.sources.index import Index
 
 @pytest.fixture
 def tree(tmp_path):
-    root = tmp_path / "docs"
-    root.mkdir()
+    root = tmp_path / "library"
+    (root / "shelf" / "box").mkdir(parents=True)
     return root
 
 
@@ -21,89 +23,82 @@ def index(spark, tmp_path):
     return Index(spark, str(tmp_path / "index"), 256)
 
 
-def refresh(spark, index, root, **options):
-    return index.refresh(files.FileSource(spark, str(root)), **options)
-
-
 def texts(spark, root):
-    rows = files.FileSource(spark, str(root)).read(None).collect()
+    source = files.FileSource(spark, str(root))
+    rows = source.read(source.listing(), None).collect()
     return {r.path: r.text if r.reason is None else r.reason for r in rows}
 
 
-def test_which_files_are_documents(spark, tree):
-    (tree / "sub" / "deep").mkdir(parents=True)
-    (tree / ".hidden").mkdir()
-    (tree / "plain.txt").write_text("text")
-    (tree / "empty").write_bytes(b"")
-    (tree / "_under.txt").write_text("underscore")
-    (tree / "sub" / "deep" / "with space é.md").write_text("deep")
-    (tree / ".hidden" / "inner.txt").write_text("no")
-    (tree / ".hidden.txt").write_text("no")
-    (tree / "link.txt").symlink_to(tree / "plain.txt")
-    (tree / "linked").symlink_to(tree / "sub")
-    assert texts(spark, tree) == {
-        "plain.txt": "text", "empty": "", "_under.txt": "underscore",
-        "sub/deep/with space é.md": "deep",
-    }
-
-
-def test_decoding(spark, tree):
-    (tree / "bom.txt").write_bytes(b"\xef\xbb\xbfcaf\xc3\xa9")
-    (tree / "crlf.txt").write_bytes(b"a\r\nb\rc\n")
-    (tree / "nul.txt").write_bytes(b"x" * 1000 + b"\x00")
-    (tree / "bad.txt").write_bytes(b"\xff")
-    assert texts(spark, tree) == {
-        "bom.txt": "café", "crlf.txt": "a\nb\nc\n",
-        "nul.txt": "binary content (NUL bytes)", "bad.txt": "not valid UTF-8",
-    }
-
-
-def test_refresh_of_a_changing_tree(spark, index, tree):
-    (tree / "original.txt").write_text("alpha")
-    (tree / "deleted.txt").write_text("beta")
-    assert refresh(spark, index, tree).updated == 2
-    assert refresh(spark, index, tree).updated == 0
-    (tree / "original.txt").write_text("changed content")
-    (tree / "original.txt").rename(tree / "renamed.txt")
-    (tree / "deleted.txt").unlink()
-    (tree / "added.txt").write_text("new")
-    third = refresh(spark, index, tree)
-    assert (third.updated, third.removed, third.documents) == (2, 2, 2)
-    assert sorted(r.path for r in index.documents().collect()) == ["added.txt", "renamed.txt"]
-    assert refresh(spark, index, tree, rebuild=True).updated == 2
-
-
-def test_unchanged_files_are_not_read_again(spark, index, tree):
-    (tree / "a.txt").write_text("first")
-    refresh(spark, index, tree)
-    stamp = (tree / "a.txt").stat()
-    (tree / "a.txt").write_text("other")
-    os.utime(tree / "a.txt", ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
-    assert refresh(spark, index, tree).updated == 0
-    assert [r.text for r in index.passages().collect()] == ["first"]
-
-
-def test_a_file_that_turns_invalid_is_removed(spark, index, tree):
-    (tree / "file.txt").write_text("previously valid")
-    refresh(spark, index, tree)
-    (tree / "file.txt").write_bytes(b"\x00")
-    later = refresh(spark, index, tree)
-    assert (later.documents, later.skipped, later.removed) == (0, 1, 1)
-    assert [r.path for r in index.skipped().collect()] == ["file.txt"]
-
-
-def test_search_files_end_to_end(spark, index, tree):
-    (tree / "target.txt").write_text("Intro café\n" + "filler line\n" * 60 + "needlequartz")
-    (tree / "other.txt").write_text("something else")
-    refresh(spark, index, tree)
+def test_visible_regular_files_at_any_depth_are_documents(spark, tree):
+    names = ["_notes", "shelf/ü b.md", "shelf/box/c", "shelf/box/empty"]
+    for name in names:
+        (tree / name).write_text("" if name.endswith("empty") else name)
+    (tree / ".git").mkdir()
+    for name in (".git/config", "shelf/.draft"):
+        (tree / name).write_text("hidden")
+    (tree / "alias").symlink_to(tree / "_notes")
+    (tree / "again").symlink_to(tree / "shelf")
+    assert texts(spark, tree) == {n: "" if n.endswith("empty") else n for n in names}
+
+
+@pytest.mark.parametrize(
+    "content, result",
+    [
+        (b"\xef\xbb\xbfsm\xc3\xb8rrebr\xc3\xb8d", "smørrebrød"),
+        (b"one\r\n\rtwo\r", "one\n\ntwo\n"),
+        (b"ab\x00", "holds a NUL byte"),
+        (b"ok \xc3", "not valid UTF-8"),
+    ],
+)
+def test_decoding(spark, tree, content, result):
+    (tree / "file").write_bytes(content)
+    assert texts(spark, tree) == {"file": result}
+
+
+def test_one_kept_source_sees_every_change(spark, index, tree):
+    source = files.FileSource(spark, str(tree))
+
+    def counters(**options):
+        done = index.refresh(source, **options)
+        return done.documents, done.updated, done.skipped, done.removed
+
+    assert counters() == (0, 0, 0, 0)
+    for name in "abc":
+        (tree / name).write_text(f"harbour {name}")
+    assert counters() == (3, 3, 0, 0)
+    (tree / "a").write_text("harbour master")  # longer, so its stamp differs
+    (tree / "b").write_bytes(b"\x00")
+    (tree / "c").unlink()
+    (tree / "shelf" / "d").write_text("quay")
+    assert counters() == (2, 2, 1, 2)
+    assert [r.path for r in index.skipped().collect()] == ["b"]
+    assert sorted(r.path for r in index.documents().collect()) == ["a", "shelf/d"]
+    assert counters(rebuild=True) == (2, 2, 1, 0)
+
+
+def test_the_stamp_decides_what_is_read(spark, index, tree):
+    file = tree / "ledger"
+    file.write_text("1234")
+    source = files.FileSource(spark, str(tree))
+    index.refresh(source)
+    stamp = file.stat()
+    file.write_text("4321")
+    os.utime(file, ns=(stamp.st_atime_ns, stamp.st_mtime_ns))
+    assert index.refresh(source).updated == 0
+    assert [r.text for r in index.passages().collect()] == ["1234"]
+
+
+def test_a_late_passage_of_a_file_is_found_and_shown(spark, index, tree):
+    body = "".join(f"entry {i}: barley, hops\n" for i in range(40)) + "saffron"
+    (tree / "shelf" / "ledger").write_text(body)
+    (tree / "other").write_text("barley")
+    index.refresh(files.FileSource(spark, str(tree)))
     corpus = index.corpus()
-    found = S.search(corpus, S.one_query(spark, "needlequartz"), 1, single=True)
-    row = found.results.first()
-    assert found.exhaustive and (row.path, row.rank) == ("target.txt", 1) and row.passage > 0
-    shown = S.with_text(found.results, corpus).first()
-    assert shown.text == (tree / "target.txt").read_text()
+    found = S.search(corpus, S.one_query(spark, "saffron"), 1, single=True)
+    row = S.with_text(found.results, corpus).first()
+    assert found.exhaustive and row.path == "shelf/ledger" and row.passage > 0 and row.text == body
 
 
-def test_missing_root_fails(spark, tmp_path):
-    with pytest.raises(Exception, match="nowhere"):
-        files.FileSource(spark, str(tmp_path / "nowhere"))
+def test_a_missing_root_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="absent"):
+        files.FileSource(spark, str(tmp_path / "absent")).listing()

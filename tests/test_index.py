@@ -1,146 +1,185 @@
+"""The stored index, against what its documents say."""
+
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.plans import corpus as R
 from gleaner.plans import search as S
+from gleaner.session import materialize, scratch
 from gleaner.sources.fields import DocumentSource
 from gleaner.sources.index import Index
 
-
-def docs(spark, **texts):
-    rows = [(name + ".txt", text) for name, text in texts.items()]
-    return DocumentSource(spark.createDataFrame(rows, "path string, text string"), "test")
-
-
-def counters(refresh):
-    return (refresh.documents, refresh.updated, refresh.skipped, refresh.removed)
-
-
-def paths(frame):
-    return sorted({row.path for row in frame.collect()})
-
-
-def test_refresh_reads_only_what_changed(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    first = index.refresh(docs(spark, original="alpha", deleted="betabetabeta", same="kept"))
-    assert counters(first) == (3, 3, 0, 0)
-    again = index.refresh(docs(spark, original="alpha", deleted="betabetabeta", same="kept"))
-    assert counters(again) == (3, 0, 0, 0)
-    third = index.refresh(docs(spark, original="changed", added="new", same="kept"))
-    assert counters(third) == (3, 2, 0, 1)
-    assert paths(index.passages()) == ["added.txt", "original.txt", "same.txt"]
-    assert index.postings(["betabetabeta", "alpha"]).count() == 0
-    assert paths(index.postings(["changed"])) == ["original.txt"]
-    kept = index.documents().where("path = 'same.txt'").first().segment
-    assert index.passages().where(F.col("segment") == kept).count() == 1
-    back = index.refresh(docs(spark, original="alpha", deleted="betabetabeta", same="kept"))
-    assert counters(back) == (3, 2, 0, 1)
-    assert paths(index.postings(["betabetabeta", "alpha"])) == ["deleted.txt", "original.txt"]
-    rebuilt = index.refresh(
-        docs(spark, original="alpha", deleted="betabetabeta", same="kept"), rebuild=True
-    )
-    assert counters(rebuilt) == (3, 3, 0, 0)
-    assert index.corpus().document_count == 3
-
-
-def test_null_and_nul_values_leave_the_index(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    assert counters(index.refresh(docs(spark, a="one", b="", c=None))) == (2, 2, 1, 0)
-    assert [tuple(r) for r in index.skipped().collect()] == [("c.txt", "null value")]
-    later = index.refresh(docs(spark, a="one\x00", b="", c="three"))
-    assert counters(later) == (2, 1, 1, 1)
-    assert paths(index.passages()) == ["b.txt", "c.txt"]
-    gone = index.refresh(docs(spark, a=None, b=None, c=None))
-    assert counters(gone) == (0, 0, 3, 2)
-    assert index.passages().count() == 0
-
-
-def test_empty_corpus(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    nothing = DocumentSource(spark.createDataFrame([], "path string, text string"), "test")
-    assert counters(index.refresh(nothing)) == (0, 0, 0, 0)
-    found = S.search(index.corpus(), S.one_query(spark, "anything"), 3, single=True)
-    assert found.results.count() == 0
-    assert counters(index.refresh(docs(spark, a="one"))) == (1, 1, 0, 0)
-    found = S.search(index.corpus(), S.one_query(spark, "one"), 3, single=True)
-    assert [row.path for row in found.results.collect()] == ["a.txt"]
-
-
-def test_settings_must_match(spark, tmp_path):
-    folder = str(tmp_path / "index")
-    Index(spark, folder, 256).refresh(docs(spark, a="one"))
-    with pytest.raises(ValueError, match="settings changed"):
-        Index(spark, folder, 512).refresh(docs(spark, a="one"))
-    other = DocumentSource(spark.createDataFrame([("a", "b")], "path string, text string"), "x")
-    with pytest.raises(ValueError, match="settings changed"):
-        Index(spark, folder, 256).refresh(other)
+TOWNS = "oslo turin lyon ghent porto".split()
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(sorted(texts.items()), "path string, text string")
+
+
+class Shelf:
+    """A source that is kept while its documents change."""
+
+    def __init__(self, spark):
+        self.texts: dict[str, str | None] = {}
+        self.source = DocumentSource(lambda: frame(spark, self.texts), "shelf")
+
+
+@pytest.fixture
+def shelf(spark):
+    return Shelf(spark)
+
+
+@pytest.fixture
+def index(spark, tmp_path):
+    return Index(spark, str(tmp_path / "index"), 256)
+
+
+def town_words(seed, count=60):
+    rng = random.Random(seed)
+    return {f"{rng.choice(TOWNS)}/{i:02}": " ".join(rng.choices(TOWNS, k=rng.randrange(90))) for i in range(count)}
+
+
+def frequencies(texts):
+    """In how many documents each town occurs; every text here is one passage or more."""
+    found = {}
+    for path, text in texts.items():
+        for start in range(0, max(1, len(text) - 25), 231):
+            for word in {path.split("/")[0], *text[start : start + 256].split()}:
+                found[word] = found.get(word, 0) + 1
+    return found
+
+
+def test_random_changes_leave_the_index_of_the_final_state(spark, index, shelf, tmp_path):
+    rng = random.Random(4)
+    shelf.texts = town_words(1)
+    index.refresh(shelf.source)
+    for step in range(3):
+        gone = rng.sample(sorted(shelf.texts), 9)
+        for path in gone[:4]:
+            del shelf.texts[path]
+        for path in gone[4:]:
+            shelf.texts[path] = f"porto {step}"
+        shelf.texts[f"new/{step}"] = "lyon"
+        done = index.refresh(shelf.source)
+        assert (done.documents, done.updated, done.removed) == (len(shelf.texts), 6, 4)
+    fresh = Index(spark, str(tmp_path / "fresh"), 256)
+    fresh.refresh(shelf.source)
+    wanted = spark.createDataFrame([(t,) for t in [*TOWNS, "absent"]], "term string")
+    asked = S.one_query(spark, "oslo porto")
+    results = S.search(fresh.corpus(), asked, 5, 20, single=True).results.collect()
+    for _ in range(2):  # as refreshed, and compacted
+        for part in ("passages", "postings"):
+            names = [n for n in getattr(fresh, part)().columns if n not in ("segment", "slot", "bucket")]
+            mine, theirs = (sorted(map(str, getattr(i, part)().select(*names).collect())) for i in (index, fresh))
+            assert mine == theirs
+        assert sorted(index.term_df(wanted).collect()) == sorted(fresh.term_df(wanted).collect())
+        assert sorted(S.search(index.corpus(), asked, 5, 20, single=True).results.collect()) == sorted(results)
+        index.compact()
+        index.vacuum()
+    assert len(index.commits().orderBy(F.desc("version")).first().segments) == 1
+
+
+def test_refusals_leave_the_index_and_come_back(index, shelf):
+    def refreshed(**texts):
+        shelf.texts = texts
+        done = index.refresh(shelf.source)
+        return done.documents, done.updated, done.skipped, done.removed
+
+    assert refreshed(x=None, y="", z="dock") == (2, 2, 1, 0)
+    assert {r.path: r.reason for r in index.skipped().collect()} == {"x": "null value"}
+    assert refreshed(x="pier", y="", z="do\x00ck") == (2, 1, 1, 1)
+    assert refreshed(x="pier", y="", z="do\x00ck") == (2, 0, 1, 0)
+    assert refreshed(x=None, y=None) == (0, 0, 2, 2)
+    assert index.passages().isEmpty() and index.postings().isEmpty()
+    assert refreshed() == (0, 0, 0, 0)
+
+
+def test_an_index_belongs_to_one_source_and_passage_size(spark, index, shelf, tmp_path):
+    shelf.texts = {"a": "quay"}
+    index.refresh(shelf.source)
+    other = DocumentSource(frame(spark, shelf.texts), "elsewhere")
+    with pytest.raises(ValueError, match="another source"):
+        index.refresh(other)
+    with pytest.raises(ValueError, match="another source"):
+        Index(spark, str(tmp_path / "index"), 300).refresh(shelf.source)
     with pytest.raises(ValueError, match="no index"):
-        Index(spark, str(tmp_path / "nowhere"), 256).corpus()
-
-
-def test_a_failing_refresh_keeps_the_snapshot(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    index.refresh(docs(spark, original="old content"))
-    broken = spark.createDataFrame([("new.txt", "x")], "path string, text string")
-    fail = F.raise_error(F.lit("scan failed")).cast("string")
-    broken = broken.withColumn("text", F.when(F.col("text") == "x", fail))
-    with pytest.raises(Exception, match="scan failed"):
-        index.refresh(DocumentSource(broken, "test"))
-    assert paths(index.passages()) == ["original.txt"]
-    assert counters(index.refresh(docs(spark, original="old content"))) == (1, 0, 0, 0)
-
-
-def test_paths_must_be_unique(spark, tmp_path):
-    rows = [("a.txt", "one"), ("a.txt", "two")]
-    source = DocumentSource(spark.createDataFrame(rows, "path string, text string"), "test")
-    with pytest.raises(Exception, match="share the path"):
-        Index(spark, str(tmp_path / "index"), 256).refresh(source)
-
-
-def plan(frame):
-    return frame._jdf.queryExecution().executedPlan().toString()
-
-
-def test_postings_of_terms_are_pruned_at_the_scan(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    index.refresh(docs(spark, **{f"d{i}": f"word{i} shared" for i in range(50)}))
-    found = index.postings(["word3", "shared"])
-    scan = plan(found)
-    assert "bucket#" in scan.split("PartitionFilters: [")[1].split("]")[0]
-    assert "In(term, [shared,word3])" in scan
-    assert found.count() == 51
-
-
-@pytest.mark.parametrize("threshold", [0, 1_000_000])
-def test_stored_and_scanned_searches_agree(spark, tmp_path, monkeypatch, threshold):
-    monkeypatch.setattr(R, "LITERAL_PASSAGES", threshold)
-    words = "river stone cloud tree bird".split()
-    rows = [
-        (f"{words[i % 5]}/{i:03}.txt", " ".join(words[(i * j) % 5] for j in range(i % 60)))
-        for i in range(120)
-    ]
-    documents = spark.createDataFrame(rows, "path string, text string")
-    index = Index(spark, str(tmp_path / "index"), 256)
-    index.refresh(DocumentSource(documents, "test"))
-    query, corpus = "bird stone", index.corpus()
-    scanned = S.search_documents(documents, query, 5, candidates=40, chunk_chars=256).collect()
-    asked = S.one_query(spark, query)
-    offered = plan(corpus.candidates(asked, 40, single=True))
-    assert ("Or(" in offered and "In(path" in offered) == (threshold == 0)
+        Index(spark, str(tmp_path / "none"), 256).passages()
+
+
+def test_a_refresh_that_fails_changes_nothing(spark, index, shelf):
+    shelf.texts = {"a": "quay"}
+    index.refresh(shelf.source)
+    broken = F.when(F.col("path") == "b", F.raise_error(F.lit("disk gone")).cast("string")).otherwise("quay")
+    source = DocumentSource(frame(spark, {"a": "", "b": ""}).withColumn("text", broken), "shelf")
+    with pytest.raises(Exception, match="disk gone"):
+        index.refresh(source)
+    assert [r.text for r in index.passages().collect()] == ["quay"]
+    assert index.refresh(shelf.source).updated == 0
+
+
+def test_two_documents_of_one_path_fail_stored_or_not(spark, index):
+    rows = spark.createDataFrame([("a", "dock"), ("a", "pier")], "path string, text string")
+    with pytest.raises(Exception, match="More than one document"):
+        index.refresh(DocumentSource(rows, "twice"))
+    with pytest.raises(Exception, match="More than one document"):
+        S.search_documents(rows, "dock", 1).collect()
+
+
+def plan(found):
+    return found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_are_pruned_by_slot_and_bucket(spark, index, shelf):
+    shelf.texts = town_words(2)
+    index.refresh(shelf.source)
+    postings = plan(index.postings(["oslo"]))
+    assert "bucket#" in postings.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(term,oslo)" in postings
+    offered = plan(index.corpus().candidates(S.one_query(spark, "oslo"), 5, single=True))
+    assert "slot#" in offered.split("PartitionFilters: [")[1].split("]")[0]
+    single = index.corpus().shortlist(S.one_query(spark, "oslo"), 5, single=True)
+    assert "CartesianProduct" not in plan(single)
+
+
+def test_a_single_search_orders_and_cuts_before_it_numbers(spark, index, shelf):
+    shelf.texts = town_words(2)
+    index.refresh(shelf.source)
+    found = S.search(index.corpus(), S.one_query(spark, "oslo"), 5, 20, single=True).results
+    assert "TakeOrderedAndProject" in plan(found)
+
+
+def test_stored_and_scanned_searches_agree(spark, index, shelf):
+    shelf.texts = {**town_words(3, 90), "lost": "oslo\x00", "none": None}
+    index.refresh(shelf.source)
+    corpus, asked = index.corpus(), S.one_query(spark, "ghent turin")
+    scanned = S.search_documents(frame(spark, shelf.texts), "ghent turin", 6, candidates=30, chunk_chars=256)
     for single in (True, False):
-        stored = S.search(corpus, asked, 5, 40, single=single).results.collect()
-        assert sorted(stored) == sorted(scanned)
-    shown = S.with_text(S.search(corpus, asked, 5, 40).results, corpus).collect()
-    assert {r.path: r.text for r in shown}.items() <= dict(rows).items()
-    assert len(shown) == 5
-
-
-def test_exhaustive_and_small_corpora_offer_every_passage(spark, tmp_path):
-    index = Index(spark, str(tmp_path / "index"), 256)
-    done = index.refresh(docs(spark, long="a" * 2000, short="b"))
-    corpus, asked = index.corpus(), S.one_query(spark, "missing")
-    assert corpus.candidates(asked, 10).count() == done.passages == 10
-    assert corpus.candidates(asked, 0).count() == done.passages
-    assert corpus.candidates(asked, 1).count() == 1
+        stored = S.search(corpus, asked, 6, 30, single=single).results
+        assert sorted(stored.collect()) == sorted(scanned.collect())
+    shown = S.with_text(S.search(corpus, asked, 6, 30).results, corpus).collect()
+    assert all(shelf.texts[r.path] == r.text for r in shown) and len(shown) == 6
+
+
+def test_small_corpora_offer_every_passage(spark, index, shelf):
+    shelf.texts = {"long": "b" * 1500, "short": "c"}
+    passages = index.refresh(shelf.source).passages
+    corpus, asked = index.corpus(), S.one_query(spark, "zzz")
+    assert corpus.candidates(asked, 0, single=True).count() == passages
+    table = spark.createDataFrame([(1, "zzz"), (2, "c")], "query_id long, query string")
+    assert corpus.candidates(table, 2).count() == 2 * passages
+    assert corpus.candidates(table, 1).count() == 2
+    with pytest.raises(ValueError, match="single query"):
+        corpus.candidates(table, 0)
+
+
+def test_scratch_deletes_its_own_tables_only(spark):
+    outside = materialize(spark.range(3), "outside")
+    with scratch(spark):
+        inside = materialize(spark.range(4), "inside")
+        assert inside.count() == 4
+    assert outside.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inside.inputFiles()[0]).count()

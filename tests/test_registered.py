@@ -9,7 +9,11 @@ from tests.check_queries import compare
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = contract.oracle_sql()
-QUERIES = contract.queries()
+QUERIES = {
+    name: query
+    for name, query in contract.queries().items()
+    if not name.startswith("op") and name != "pipeline"  # these have tests of their own
+}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -19,7 +23,7 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(contract.queries())
 
 
 def test_entry_ranks_documents(spark):

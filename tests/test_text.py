@@ -97,3 +97,17 @@ def test_chunk_size_is_checked():
     for size in (255, 16001):
         with pytest.raises(ValueError, match="chunk_chars"):
             P.check_chunk_chars(size)
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("\U0002F800", ["丽"]),  # a compatibility ideograph beyond the first planes
+        ("a\U000E0100b", ["ab"]),  # a variation selector is a mark without width
+        ("का की", ["का", "की"]),  # spacing marks tell Indic words apart
+        ("ÇA ÇA", ["ca", "ca"]),
+    ],
+)
+def test_folding_covers_all_of_unicode(spark, text, words):
+    frame = spark.createDataFrame([(text,)], "text string")
+    assert frame.select(T.tokens(F.col("text")).alias("t")).first().t == words
