@@ -5,15 +5,20 @@ A document is the set of its distinct five-word shingles.  Two documents link wh
 
 1. *Groups.*  Sets that share one of a few min-hashes are compared with the smallest
    set of that min-hash; verified links join similar sets into groups.
-2. *Matrix.*  For each group the union of its members' index tokens is stored as
-   (token, group) rows.  Tokens of one group only are dropped.
-3. *Bound.*  A set meets the groups that hold its probe tokens; a group qualifies if
-   it holds enough of them for one member to reach the similarity.
-4. *Open.*  Only the members of qualifying groups are compared, by their whole sets.
-
-Tokens are ordered with the most frequent ones of a sample last; the order is the same
-for all sets, so the first tokens decide exactly: sets with similarity t share a token
-among the first n - ceil(t n) + 1 of each.  The sample steers cost, never results.
+2. *Matrix.*  For each group the union of its members' first tokens is stored as
+   (token, group) rows; a large group has a row for each part of about PART members.
+   Tokens of one group only are dropped.
+3. *Bound.*  A set meets the groups that hold its first tokens; a group qualifies if it
+   holds enough of them for one member to reach the similarity.
+4. *Open.*  Only the members of qualifying groups that are no larger than the set, and
+   not too small, are compared, by their whole sets.
+
+Tokens are ordered with the most frequent ones of a sample last, and the first ones of a
+set are n - ceil(t n) + 1 + EXTRA for the similarity t.  The order is the same for all
+sets.  So where two sets share a token that is among the first of only one of them, all
+first tokens of the other come before it, and what the two share is bounded by the
+shared first tokens and the rest of the larger set.  The sample steers cost, never
+results.
 
 A null, blank or empty text has an empty set and links with nothing, not even with
 another empty one.  Very long texts give long sets, nothing is cut.  Repeated rows fall
@@ -36,15 +41,18 @@ from gleaner.llm.graph import components
 
 SIZE = 5
 PERCENT = 75
-#: Sets that share two of these min-hashes are compared to form groups.
+#: Min-hashes of a set; sets that share one of the first BANDS are compared to form groups.
+SKETCH = 16
 BANDS = 4
-#: Probe tokens beyond the fewest that decide; they make the bound on groups stricter.
+#: First tokens beyond the fewest that decide; they make the bound on groups stricter.
 EXTRA = 2
+#: About so many members of a group share one row of the matrix; the fewer, the tighter.
+PART = 64
 #: The order of tokens: so many frequent ones of one document in SAMPLE go last.
 SAMPLE = 64
 FREQUENT = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SEEDS = np.random.default_rng(20).integers(1, 2**63, BANDS, dtype=np.uint64)
+SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCH, dtype=np.uint64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -82,31 +90,25 @@ def probe_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def index_size(n: int, percent: int = PERCENT) -> int:
-    """Fewer suffice for a set that is no larger than the one that probes."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1
-
-
-SET_FIELDS = "key binary, place long, n long, lows array<long>, tokens array<long>, n_index int, need int"
+SET_FIELDS = "key binary, place long, n long, lows array<long>, tokens array<long>"
 
 
 def _describe(frequent: np.ndarray):
     """Batches of (id, text) -> id and set description; ``frequent`` is sorted by hash."""
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def describe(tokens: np.ndarray) -> tuple:
         n = len(tokens)
         if not n:
-            return None, None, 0, None, None, 0, 0
+            return None, None, 0, None, None
         lows = [int(mix(tokens ^ seed).min() >> np.uint64(1)) for seed in SEEDS]
         at = np.searchsorted(frequent, tokens)
         common = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else at < 0
         ordered = np.concatenate([tokens[~common], tokens[common]])
         length = min(n, probe_size(n) + EXTRA)
-        need = 1 + length - probe_size(n)
         key = xxhash.xxh3_128_digest(tokens.tobytes())
         place = int.from_bytes(key[:8], "big", signed=True)
-        return key, place, n, lows, ordered[:length].view(np.int64), index_size(n) + EXTRA, need
+        return key, place, n, lows, ordered[:length].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +118,7 @@ def _describe(frequent: np.ndarray):
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(start, len(part)), *columns],
-                    names=["id", "key", "place", "n", "lows", "tokens", "n_index", "need"],
+                    names=["id", "key", "place", "n", "lows", "tokens"],
                 )
                 start += len(part)
 
@@ -182,19 +184,33 @@ def _similar_sizes(a: str, b: str) -> Column:
 
 
 def group_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between sets and the smallest set that shares two of their min-hashes."""
-    keyed = sets.select("key", "n", F.posexplode("lows").alias("band", "low"))
-    first = keyed.groupBy("band", "low").agg(
-        F.min(F.struct("n", "key")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b")
+    """Links between sets and the most typical set that shares one of their min-hashes.
+
+    The typical set of those that share a min-hash agrees most with their commonest
+    min-hashes; copies of one original are mostly linked with it.
+    """
+    keyed = sets.select("key", F.posexplode(F.slice("lows", 1, BANDS)).alias("band", "low"))
+    several = keyed.groupBy("band", "low").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = stored(several.where("a != b").select("band", "low"), "several")
+    keyed = stored(keyed.join(small(several), ["band", "low"], "left_semi"), "sharing")
+    keyed = stored(keyed.join(sets.select("key", "n", "lows"), "key"), "sharing-sketches")
+    common = [F.mode(F.get("lows", F.lit(i)), True) for i in range(SKETCH)]
+    typical = keyed.groupBy("band", "low").agg(F.array(*common).alias("common"))
+
+    def agreeing(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+
+    first = (
+        keyed.join(typical, ["band", "low"])
+        .withColumn("agreeing", agreeing("lows", "common"))
+        .groupBy("band", "low")
+        .agg(F.max(F.struct("agreeing", (-F.col("n")).alias("size"), "key", "n", "lows")).alias("first"))
     )
-    first = first.where("a != b").select("band", "low", "first")
     pairs = (
         keyed.join(first, ["band", "low"])
         .where((F.col("key") != F.col("first.key")) & _similar_sizes("n", "first.n"))
-        .groupBy(F.col("key").alias("a"), F.col("first.key").alias("b"))
-        .agg(F.count("*").alias("shared"))
-        .where("shared > 1")
-        .select("a", "b")
+        .where(2 * agreeing("lows", "first.lows") >= SKETCH)
+        .select(F.col("key").alias("a"), F.col("first.key").alias("b"))
     )
     return _verified(stored(_ordered_pairs(pairs), "group-pairs"), sets, docs)
 
@@ -206,38 +222,54 @@ def matrix_pairs(described: DataFrame, sets: DataFrame, roots: DataFrame) -> Dat
     pairs are compared.  Tokens are dealt out once: finding the tokens of several
     groups, the matrix and the bound all work on the same exchange.
     """
-    grouped = described.where("n > 0").join(
-        small(roots.select(F.col("node").alias("key"), _place("root").alias("root_place"))), "key", "left"
+    sizes = roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / PART).alias("parts"))
+    roots = roots.join(sizes, "root").select(
+        F.col("node").alias("key"),
+        _place("root").alias("root_place"),
+        F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("root_part"),
     )
+    roots = stored(roots, "group-parts")
+    group = F.coalesce("root_place", "place").alias("group")
+    part = F.coalesce("root_part", F.lit(0)).alias("part")
+    grouped = described.where("n > 0").join(small(roots), "key", "left")
     tokens = grouped.select(
-        "place", "n", "n_index", "need",
-        F.coalesce("root_place", "place").alias("group"),
-        F.posexplode("tokens").alias("at", "token"),
-    ).select("token", "group", "place", "n", "need", (F.col("at") < F.col("n_index")).alias("indexed"))
+        "place", "n", (F.col("n") - F.size("tokens")).alias("rest"),
+        group, part, F.posexplode("tokens").alias("at", "token"),
+    )
     same = Window.partitionBy("token")
     shared = tokens.select("*", F.min("group").over(same).alias("low"), F.max("group").over(same).alias("high"))
     shared = shared.where("low != high").drop("low", "high")
-    matrix = shared.where("indexed").groupBy("token", F.col("group").alias("other")).agg(
+    matrix = shared.groupBy("token", F.col("group").alias("other"), "part").agg(
         F.min("n").alias("smallest"), F.max("n").alias("largest")
     )
-    probes = shared.groupBy("token", "place").agg(*(F.first(name).alias(name) for name in ("group", "n", "need")))
+    probes = shared.groupBy("token", "place").agg(*(F.first(name).alias(name) for name in ("group", "n", "rest", "at")))
     qualifying = (
         probes.join(matrix, "token")
         .where((F.col("other") != F.col("group")) & (F.col("smallest") <= F.col("n")) & (F.col("largest") * 100 >= F.col("n") * PERCENT))
-        .groupBy("place", "n", "other", "need")
-        .agg(F.count("*").alias("held"))
-        .where("held >= need")
+        .groupBy("place", "n", "rest", "other", "part")
+        .agg(F.count("*").alias("held"), F.min("at").alias("first_at"), F.min("smallest").alias("smallest"))
+    )
+    # A member of m tokens links only if the two share PERCENT / (100 + PERCENT) of n + m.
+    # Of the set's tokens beyond its first ones at most `rest` are shared; of the first
+    # ones at most those that the group holds, and none before the first of these.
+    bound = F.least(F.col("held") + F.col("rest"), F.col("n") - F.col("first_at"))
+    least = F.greatest(F.col("smallest"), F.ceil(F.col("n") * PERCENT / 100))
+    qualifying = qualifying.withColumn("bound", bound).where(_reaches("bound", F.col("n") + least))
+    qualifying = stored(qualifying.select("place", "n", "other", "part", "bound"), "qualifying")
+    members = sets.join(small(roots), "key", "left").select(
+        F.col("key").alias("b"), F.col("n").alias("m"), group.alias("other"), part
     )
-    qualifying = stored(qualifying, "qualifying")
-    named = sets.join(roots, sets["key"] == roots["node"], "left")
-    members = named.select(
-        F.col("key").alias("b"), F.col("n").alias("m"), F.coalesce(_place("root"), "place").alias("other")
+    opened = qualifying.join(members, ["other", "part"]).where(
+        (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * PERCENT) & _reaches("bound", F.col("n") + F.col("m"))
     )
-    # The smaller set of a pair is the indexed one; of equal sizes either may be.
-    opened = qualifying.join(members, "other").where((F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * PERCENT))
     return _ordered_pairs(opened.select("place", "b").join(sets.select("place", F.col("key").alias("a")), "place"))
 
 
+def _reaches(shared: str, sizes: Column) -> Column:
+    """Whether so many shared tokens can make sets of these sizes in all similar."""
+    return (100 + PERCENT) * F.col(shared) >= PERCENT * sizes
+
+
 def _place(key: str) -> Column:
     """The 64 bits of a key that name it in the matrix: its first bytes."""
     return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
