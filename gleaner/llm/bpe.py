@@ -30,8 +30,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm.common import let
 
-NO_RANK = 1 << 30
-BUCKETS = 8191
+BUCKETS = 8192
 CHUNK_BYTES = 32 << 20
 #: Java writes Unicode white space, which the pattern of the rank files means by \s, otherwise.
 JAVA_SPACES = ((r"[^\s", r"[^\p{IsWhite_Space}"), (r"\s", r"\p{IsWhite_Space}"), (r"\S", r"\P{IsWhite_Space}"))
@@ -68,16 +67,22 @@ def java_pattern(pattern: str) -> str:
     return pattern
 
 
-def _bucket(left, right):
-    return (left * 31 + right) % BUCKETS
+def _bucket(left: int, right: int) -> int:
+    return (left << 4 ^ right) & (BUCKETS - 1)
+
+
+def _signed(left: int, right: int) -> int:
+    """A pair as one 32-bit number, as the shifts of Spark's integers give it."""
+    pair = left << 16 | right
+    return pair - (1 << 32) if pair >= 1 << 31 else pair
 
 
 @lru_cache(maxsize=4)
 def _rank_map_sql(path: str) -> str:
-    buckets: list[list[str]] = [["-1:0"] for _ in range(BUCKETS)]
+    buckets: list[list[str]] = [["-1:-1"] for _ in range(BUCKETS)]
     for left, right, rank in vocabulary(path).pairs:
-        buckets[_bucket(left, right)].append(f"{left << 16 | right}:{rank}")
-    maps = (f"cast(str_to_map('{','.join(entries)}') as map<bigint,int>)" for entries in buckets)
+        buckets[_bucket(left, right)].append(f"{_signed(left, right)}:{rank}")
+    maps = (f"cast(str_to_map('{','.join(entries)}') as map<int,int>)" for entries in buckets)
     return f"array({','.join(maps)})"
 
 
@@ -87,9 +92,9 @@ def rank_map(path: str) -> Column:
 
 
 def _rank(ranks: Column, left: Column, right: Column) -> Column:
-    place = _bucket(left, right) + 1
-    pair = F.shiftleft(left.cast("long"), 16) + right
-    return F.coalesce(F.element_at(F.element_at(ranks, place), pair), F.lit(NO_RANK))
+    """The rank of a pair, NULL if it joins to no piece; the same sums as above."""
+    place = F.shiftleft(left, 4).bitwiseXOR(right).bitwiseAND(BUCKETS - 1)
+    return F.element_at(F.get(ranks, place), F.shiftleft(left, 16).bitwiseOR(right))
 
 
 def _merge(state: Column, ranks: Column) -> Column:
@@ -114,7 +119,7 @@ def _merge(state: Column, ranks: Column) -> Column:
     return let(
         F.array_min(pair_ranks),
         lambda low: F.when(
-            low < NO_RANK,
+            low.isNotNull(),
             let(F.array_position(pair_ranks, low).cast("int") - 1, lambda at: joined(at, low)),
         ).otherwise(state),
     )

@@ -62,6 +62,7 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+OUTSIDE_BODY = frozenset("html head body title meta link base script style noscript".split())
 LEAST_TEXT = 20
 RANKED = 50
 
@@ -137,6 +138,8 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self._close_implied(tag)
+        if not self.open and tag not in OUTSIDE_BODY:
+            self.handle_starttag("body", [])
         if tag == "br":
             if self.current:
                 self.current.pieces.append(" ")

@@ -4,7 +4,7 @@ Only DataFrame functions are used.  Detection is one regular expression with a g
 for each kind: e-mail, secret, IBAN, IP address, phone, social security number, card,
 and the given and family names that follow a form of address.  The same entity always
 gets the same replacement, in every document, and written forms of one number ("+1
-(386) 555-3733", "13865553733") count as one entity.
+(386) 555-3733", "+13865553733") count as one entity.
 
 A replacement comes from a keyed hash of the kind, the entity and an attempt number:
 letters become letters, digits digits, separators and case stay, cards keep a valid
