@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_parts, small, stored
+from gleaner.llm.common import free_name, in_parts, small, stored
 from gleaner.llm.graph import components
 
 SIZE = 5
@@ -308,5 +308,6 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     only where no linked row has one.
     """
     found = jaccard_components(docs, id, text).where(F.col(f"`{id}`").eqNullSafe(F.col("component_id")))
-    kept = stored(found.select(F.col(f"`{id}`").alias("kept_id")).distinct(), "kept")
-    return docs.join(small(kept), docs[id].eqNullSafe(F.col("kept_id")), "left_semi")
+    name = free_name(docs, "kept_id")
+    kept = stored(found.select(F.col(f"`{id}`").alias(name)).distinct(), "kept")
+    return docs.join(small(kept), docs[id].eqNullSafe(kept[name]), "left_semi")
