@@ -62,9 +62,9 @@ KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?<!-)",
     "secret": (
         r"(?<=[=:\"' \t])(?=[A-Za-z0-9+/_.-]{8})(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)"
-        r"[A-Za-z0-9+/_.-]{7,512}[A-Za-z0-9+/_-]"
-        r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,255})(?![A-Za-z0-9])"
-        r"|(?<![A-Za-z0-9])(?=[0-9a-f]{0,39}[a-f])(?=[a-f]{0,39}[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
+        r"[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]"
+        r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"
+        r"|(?<![A-Za-z0-9])(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])"
     ),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
@@ -181,8 +181,8 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
 def _restyled(value: Column, stream: Column) -> Column:
     """Each letter becomes a letter of its case, each digit a digit; the rest stays."""
 
-    def char(i: Column) -> Column:
-        old, number = F.substring(value, i, F.lit(1)), _number(stream, i)
+    def char(old: Column, i: Column) -> Column:
+        number = _number(stream, i + 1)
         return (
             F.when(old.rlike("[0-9]"), (number % 10).cast("string"))
             .when(old.rlike("[a-z]"), F.char(number % 26 + 97))
@@ -190,7 +190,8 @@ def _restyled(value: Column, stream: Column) -> Column:
             .otherwise(old)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(value)), char), "")
+    # Split at once: a substring for each place takes time with the square of a long secret.
+    return F.array_join(F.transform(F.split(value, ""), char), "")
 
 
 def _hexadecimal(value: Column, stream: Column) -> Column:
@@ -264,12 +265,18 @@ def _name(kind: Column, entity: Column, stream: Column, attempt: Column) -> Colu
 
 def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
     """``kind, entity, attempt`` -> the same with ``surrogate``."""
-    rows = entities.withColumn("stream", _keyed(key, F.col("kind"), F.col("entity"), F.col("attempt")))
-    kind, entity, stream = F.col("kind"), F.col("entity"), F.col("stream")
+    # Bound by let(): the optimizer copies a column into the filters on the surrogate, and
+    # there the hashes of the entity would be taken anew for each of its characters.
+    stream = _keyed(key, F.col("kind"), F.col("entity"), F.col("attempt"))
+    return entities.withColumn("surrogate", let(stream, _surrogate))
+
+
+def _surrogate(stream: Column) -> Column:
+    kind, entity = F.col("kind"), F.col("entity")
     local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
     octets = [(_number(stream, i) % 256).cast("string") for i in range(4)]
-    surrogate = (
+    return (
         F.when(kind == "email", F.concat(
             _restyled(local, stream), F.lit("@"),
             _restyled(F.expr("left(substring_index(entity, '@', -1), char_length(substring_index(entity, '@', -1)) - char_length(substring_index(entity, '.', -1)))"), F.reverse(stream)),
@@ -287,7 +294,6 @@ def with_surrogate(entities: DataFrame, key: str) -> DataFrame:
         .when(kind == "ssn", _restyled(entity, stream))
         .otherwise(_name(kind, entity, stream, F.col("attempt")))
     )
-    return rows.withColumn("surrogate", surrogate).drop("stream")
 
 
 #: Kinds whose replacements must differ from each other, named by the space they share.

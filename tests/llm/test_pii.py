@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,21 @@ def test_empty_tables_and_clashing_names(docs, nothing, clashing):
 @pytest.mark.parametrize("text", ["", " ", "no entity", "1.2.3", "a@b", "Mr", "999.1.1.1", "version 1.2.3.4.5"])
 def test_what_is_no_entity_stays(spark, text):
     assert replaced(spark, text) == [text]
+
+
+def test_long_secrets_are_replaced_as_a_whole(spark):
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    make = lambda n, chars: "".join(rng.choice(chars) for _ in range(n))
+    secrets = [
+        make(800, letters), make(2000, letters), make(700, letters) + "." + make(900, letters) + "." + make(400, letters),
+        "sk-" + make(2000, letters), "ghp_" + make(2000, letters), make(2000, "0123456789abcdef"), "1" * 60 + "a" * 60, make(50_000, letters),
+    ]
+    texts = [f'token = "{secret}".' if secret[:3] not in ("sk-", "ghp") else f"see {secret} here" for secret in secrets[:5]]
+    texts += [f"see {secrets[5]} here", f"see {secrets[6]} here", f"password: {secrets[7]}. End"]
+    for old, new, secret in zip(texts, replaced(spark, *texts), secrets, strict=True):
+        at = old.index(secret)
+        assert len(new) == len(old) and new[:at] == old[:at] and new[at + len(secret) :] == old[at + len(secret) :]
+        kept = 4 if secret.startswith("ghp_") else 3 if secret.startswith("sk-") else 0
+        for start in range(at + kept, at + len(secret) - 12, 97):
+            assert new[start : start + 12] != old[start : start + 12]
