@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """Write a result to the shared folder and read it back; this cuts its lineage."""
     spark = df.sparkSession
     folder = new_folder(spark, label)
-    df.write.parquet(folder)
+    df.write.partitionBy(*partitions).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -57,6 +60,19 @@ def in_parts(texts: list[str | None], limit: int = 4 << 20) -> Iterator[list[str
         yield part
 
 
+def batch_parts(batch: pa.RecordBatch, column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with about ``limit`` bytes of a text column each; a
+    longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def let(value: Column, body) -> Column:
     """Evaluate a value once for a body that uses it several times or in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

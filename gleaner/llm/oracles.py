@@ -2,6 +2,28 @@
 
 from __future__ import annotations
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP11 = f"""
+WITH lines AS (
+  SELECT row, doc_id, ord, split[ord] AS line,
+         translate(trim(split[ord], {SPACES}), '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT row, doc_id, split, unnest(range(1, len(split) + 1)) AS ord
+        FROM (SELECT row_number() OVER () AS row, doc_id,
+                     string_split(coalesce(text, ''), chr(10)) AS split FROM documents))
+), settled AS (
+  SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT row, doc_id, ord, line, coalesce(doc_id <> last, false) AS gone
+  FROM lines LEFT JOIN settled USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row, doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_dedup": OP11}

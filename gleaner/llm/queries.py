@@ -13,6 +13,7 @@ from gleaner.llm import (
     decontamination,
     html_extraction,
     language_id,
+    line_dedup,
     ngram_join,
     pii,
     quality_classifier,
@@ -118,6 +119,13 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that a document with a larger id keeps."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -130,4 +138,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_toxicity_crf": op9_toxicity_crf,
         "op10_bpe": op10_bpe,
+        "op11_line_dedup": op11_line_dedup,
     }
