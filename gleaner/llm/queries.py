@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from gleaner.llm import (
     html_extraction,
     language_id,
     line_dedup,
+    merkle,
     ngram_join,
     pii,
     quality_classifier,
@@ -126,6 +128,12 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, with a fifth of the texts tampered with."""
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    return merkle.manifest(read(spark, folder, "documents"), remainder("doc_id", 5) == 0, lowered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -139,4 +147,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity_crf": op9_toxicity_crf,
         "op10_bpe": op10_bpe,
         "op11_line_dedup": op11_line_dedup,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
