@@ -14,6 +14,7 @@ from gleaner.llm import (
     decontamination,
     html_extraction,
     language_id,
+    lexical_search,
     line_dedup,
     merkle,
     ngram_join,
@@ -134,6 +135,12 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(read(spark, folder, "documents"), remainder("doc_id", 5) == 0, lowered)
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = lexical_search.ImpactIndex(read(spark, folder, "documents"))
+    return index.search(read(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -148,4 +155,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "op11_line_dedup": op11_line_dedup,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_lexical_search": op13_lexical_search,
     }
