@@ -393,6 +393,11 @@ def oracle_sql() -> dict[str, str]:
             CASE run WHEN 1 THEN count(*) ELSE 0 END AS scorer_calls,
             0::BIGINT AS input_tokens, 0::BIGINT AS output_tokens
             FROM candidates CROSS JOIN (SELECT unnest([1, 2]) AS run) GROUP BY run"""),
+        "scorer_usage": select(CORPUS, f"""SELECT run::INT AS run, count(*) AS judged,
+            CASE run WHEN 1 THEN 0 ELSE count(*) END AS known, CASE run WHEN 1 THEN count(*) ELSE 0 END AS asked,
+            CASE run WHEN 1 THEN sum(length({STATE})) ELSE 0 END::BIGINT AS input_tokens,
+            CASE run WHEN 1 THEN count(*) ELSE 0 END AS output_tokens
+            FROM passages CROSS JOIN (SELECT unnest([1, 2]) AS run) GROUP BY run"""),
         "max_passage_score": select(
             exhaustive(ask(criteria=True)), "SELECT path, score, passage FROM pooled"
         ),

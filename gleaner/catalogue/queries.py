@@ -104,7 +104,7 @@ def report_json(spark, folder):
     corpus, asked = D.corpus(spark, folder), probe(spark, criteria=True)
     cache = ScoreCache(spark, new_folder(spark, "scores"))
     found = S.search(corpus, asked, D.TOP, cache=cache, single=True)
-    stats = {"documents": corpus.document_count, "scored": found.stats.scored}
+    stats = {"documents": corpus.document_count, "scored": found.effort.judged}
     name = J.TOKEN_OVERLAP.name
     return report.report_json(found.results, asked, "documents", name, found.exhaustive, stats)
 
@@ -189,8 +189,12 @@ def score_keys(spark, folder):
 
 
 def snapshot_diff(spark, folder):
-    before = D.manifest(D.documents(spark, folder))
-    return C.snapshot_diff(before, D.manifest(D.takedown(spark, folder)))
+    """Two manifests stored in the same buckets of their paths, compared where they lie."""
+    states = [D.documents(spark, folder), D.takedown(spark, folder)]
+    stored = [
+        C.store_manifest(D.manifest(rows), new_folder(spark, "manifest"), D.MANIFEST_BUCKETS) for rows in states
+    ]
+    return C.snapshot_diff(*stored)
 
 
 def removed_docs(spark, folder):
@@ -209,32 +213,26 @@ def refresh_stats(spark, folder):
 
 
 def refresh_cycle(spark, folder):
-    """One source, refreshed four times: built, unchanged, changed, and rebuilt.
-
-    The counters are those of the index's own commits.
-    """
+    """One source, refreshed four times: built, unchanged, changed, and rebuilt."""
     state = [D.damaged(spark, folder)]
     source = DocumentSource(lambda: state[-1], "documents")
     index = Index(spark, new_folder(spark, "index-cycle"))
-    index.refresh(source)
-    index.refresh(source)
+    done = [index.refresh(source), index.refresh(source)]
     state.append(D.damaged_takedown(spark, folder))
-    index.refresh(source)
-    index.refresh(source, rebuild=True)
+    done += [index.refresh(source), index.refresh(source, rebuild=True)]
     counters = ("documents", "passages", "updated", "skipped", "removed")
-    return index.commits().select(F.col("version").cast("int").alias("step"), *counters)
+    rows = [(step, *astuple(counted)) for step, counted in enumerate(done, 1)]
+    return spark.createDataFrame(rows, "step int, " + ", ".join(f"{name} long" for name in counters))
 
 
 def compacted_cycle(spark, folder):
-    """A search after two refreshes and a compaction."""
+    """A search after a refresh that wrote the slots of changed documents again."""
     state = [D.damaged(spark, folder)]
     source = DocumentSource(lambda: state[-1], "documents")
-    index = Index(spark, new_folder(spark, "index-compacted"))
+    index = Index(spark, new_folder(spark, "index-changed"))
     index.refresh(source)
     state.append(D.damaged_takedown(spark, folder))
     index.refresh(source)
-    index.compact()
-    index.vacuum()
     found = S.search(index.corpus(), probe(spark), D.TOP, single=True).results
     return found.select("rank", "path", "score", "passage")
 
@@ -370,12 +368,31 @@ def ranking_stats(spark, folder):
     cache = ScoreCache(spark, new_folder(spark, "scores"))
     rows = []
     for run in (1, 2):
-        stats = S.search(corpus, asked, D.TOP, D.SHORTLIST, cache=cache, single=True).stats
-        rows.append((run, *astuple(stats)))
+        effort = S.search(corpus, asked, D.TOP, D.SHORTLIST, cache=cache, single=True).effort
+        rows.append((run, *astuple(effort)))
     counters = ("scored", "cache_hits", "scorer_calls", "input_tokens", "output_tokens")
     return spark.createDataFrame(rows, "run int, " + ", ".join(f"{name} long" for name in counters))
 
 
+def _sized(batch):
+    """A scorer that bills every code point it reads and one for its answer."""
+    sizes = batch["state"].str.len()
+    return batch.assign(score=sizes % 11 / 10, input_tokens=sizes, output_tokens=1)
+
+
+def scorer_usage(spark, folder):
+    """What judging every passage took, as reported by the scorer: first without, then
+    with the judgements of the first run."""
+    corpus, asked = D.corpus(spark, folder), probe(spark)
+    cache, scorer = ScoreCache(spark, new_folder(spark, "scores")), J.BatchScorer("sized", "1", lambda: _sized)
+    rows = []
+    for run in (1, 2):
+        found = S.search(corpus, asked, D.TOP, 0, scorer, cache, single=True, batch_rows=50_000)
+        rows.append((run, *astuple(found.effort)))
+    counters = ("judged", "known", "asked", "input_tokens", "output_tokens")
+    return spark.createDataFrame(rows, "run int, " + ", ".join(f"{name} long" for name in counters))
+
+
 def max_passage_score(spark, folder):
     scored = S.score(_judged(spark, folder), J.TOKEN_OVERLAP)
     return K.max_passage_score(scored).select("path", "score", "passage")
@@ -458,7 +475,7 @@ REGISTERED = (
     term_df, corpus_stats, term_matches, bm25_scores, best_passage, bm25_shortlist, shortlist,
     shortlist_fill, lexical_reach, candidates, exhaustive_candidates, index_counts,
     first_passages, passages_with_source,
-    cache_lookup, cache_merge, ranking_stats, max_passage_score, top_k, ranked_results,
+    cache_lookup, cache_merge, ranking_stats, scorer_usage, max_passage_score, top_k, ranked_results,
     label_separation, rerank, search_documents, search_index, search_fields, batch_search,
     document_text, results_with_text,
 )

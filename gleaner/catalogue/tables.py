@@ -16,6 +16,7 @@ PROBE_YES = "heoron thereer ouerion"
 PROBE_NO = "eroning einber und"
 SHORTLIST = 500
 TOP = 10
+MANIFEST_BUCKETS = 16
 DATABASE = "tables"
 FIELDS = [
     "documents.text", "conversations.text", "part.p_name", "part.p_type",

@@ -1,7 +1,10 @@
 """Judging passages: what a scorer sees, cache keys and score validity.
 
 Judgements carry ``query_id, query, yes, no, path, ordinal, text, digest,
-source``: one row per query and candidate passage.
+source``: one row per query and candidate passage.  Passages that come from an index
+have their token runs stored with them.  A scorer that rests on tokens alone turns the
+runs into counted terms once a passage, before it meets its queries, and such judgements
+carry ``judged`` instead of the text: no text is copied, tokenized or measured per query.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from gleaner.fixed import STATE_LIMIT
 from gleaner.functions import relevance as R
 from gleaner.functions import text as T
+from gleaner.operators import lexical as L
 
 TOKENS = ("input_tokens", "output_tokens")
 KEPT = ("query_id", "path", "ordinal", "source", "key", "namespace")
@@ -26,14 +30,26 @@ DEFAULT_NO = "The text is about something else, even if it shares words with the
 
 @dataclass(frozen=True)
 class ColumnScorer:
-    """A scorer written as one Column expression; it stays inside the JVM."""
+    """A scorer written as one Column expression; it stays inside the JVM.
+
+    ``stored`` is the same judgement from the distinct terms of the query and its
+    criteria and from ``judged``, for a scorer that needs only tokens.
+    """
 
     name: str
     version: str
     expression: Callable[[Column, Column, Column, Column], Column]
+    stored: Callable[[Column, Column, Column, Column], Column] | None = None
+
+    def prepare(self, passages: DataFrame) -> DataFrame:
+        """Count the terms of every passage, where its token runs are stored."""
+        return counted_passages(passages) if self.stored and "runs" in passages.columns else passages
 
     def score(self, judgements: DataFrame) -> DataFrame:
-        value = self.expression(*(F.col(c) for c in ("query", "yes", "no", "state")))
+        if self.stored and "judged" in judgements.columns:
+            value = self.stored(*(F.col(f"asked.{c}") for c in ("query", "yes", "no")), F.col("judged"))
+        else:
+            value = self.expression(*(F.col(c) for c in ("query", "yes", "no", "state")))
         return judgements.withColumns(
             {"score": value.cast("double")} | {name: F.lit(0).cast("long") for name in TOKENS}
         )
@@ -54,6 +70,9 @@ class BatchScorer:
     open: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
     parallelism: int = 16
 
+    def prepare(self, passages: DataFrame) -> DataFrame:
+        return passages
+
     def score(self, judgements: DataFrame) -> DataFrame:
         seen = ["query", "yes", "no", "state"]
         kept = [name for name in KEPT if name in judgements.columns]
@@ -76,9 +95,13 @@ class BatchScorer:
         return sent.repartition(self.parallelism).mapInPandas(run, schema)
 
 
+def _is_default(yes: Column, no: Column) -> Column:
+    """With the default criteria the judgement rests on the query alone."""
+    return (yes == DEFAULT_YES) & (no == DEFAULT_NO)
+
+
 def _overlap_judgement(query: Column, yes: Column, no: Column, state: Column) -> Column:
-    # With the default criteria the judgement rests on the query alone.
-    default = (yes == DEFAULT_YES) & (no == DEFAULT_NO)
+    default = _is_default(yes, no)
     return R.lexical_judgement(
         query,
         F.when(~default, yes),
@@ -87,7 +110,51 @@ def _overlap_judgement(query: Column, yes: Column, no: Column, state: Column) ->
     )
 
 
-TOKEN_OVERLAP = ColumnScorer("token-overlap", "1", _overlap_judgement)
+TOKEN_OVERLAP = ColumnScorer("token-overlap", "1", _overlap_judgement, R.stored_judgement)
+
+
+def asked_terms() -> Column:
+    """The distinct terms of a query and of its criteria (none for the default ones),
+    and the bytes the query takes up in a request."""
+    default = _is_default(F.col("yes"), F.col("no"))
+    return F.struct(
+        T.distinct_terms(F.col("query")).alias("query"),
+        *(F.when(~default, T.distinct_terms(F.col(name))).alias(name) for name in ("yes", "no")),
+        json_bytes(F.col("query")).alias("bytes"),
+    )
+
+
+def counted_passages(passages: DataFrame) -> DataFrame:
+    """``judged`` in place of text and runs: the terms of the text a judge would see in
+    groups of equal counts, its number of tokens, and its bytes in a request.
+
+    The runs count the tokens of the whole path; a judge sees the name of a file only.
+    """
+    named = F.col("source").isNull()
+    rows = passages.withColumns(
+        {
+            "path_words": F.size(T.tokens(F.col("path"))),
+            "name_words": F.when(named, T.tokens(T.basename(F.col("path")))).otherwise(F.array().cast("array<string>")),
+        }
+    )
+
+    def entry(run: Column) -> Column:
+        term = L.run_term(run)
+        in_name = F.size(F.filter("name_words", lambda word: word == term))
+        return F.struct(term.alias("term"), (L.run_counts(run, term)[1] + in_name).alias("n"))
+
+    def group(entries: Column, n: Column) -> Column:
+        equal = F.filter(entries, lambda counted: counted["n"] == n)
+        return F.struct(n.alias("n"), F.transform(equal, lambda counted: counted["term"]).alias("terms"))
+
+    def groups(entries: Column) -> Column:
+        counts = F.array_distinct(F.transform(entries, lambda counted: counted["n"]))
+        return F.transform(counts, lambda n: group(entries, n))
+
+    terms = F.filter(F.transform("runs", entry), lambda counted: counted["n"] > 0)
+    length = F.col("dl") - F.col("path_words") + F.size("name_words")
+    judged = F.struct(T.let(terms, groups).alias("groups"), length.alias("length"), json_bytes(state_text()).alias("bytes"))
+    return rows.withColumn("judged", judged).drop("text", "runs", "path_words", "name_words")
 
 
 def effective_criteria(queries: DataFrame) -> DataFrame:
@@ -107,10 +174,18 @@ def state_text() -> Column:
     return F.when(F.col("source").isNull(), named).otherwise(F.col("text"))
 
 
+def json_bytes(text: Column) -> Column:
+    """Size of a text as a JSON string, with its quotes."""
+    return F.octet_length(F.to_json(F.array(text))) - 2
+
+
+#: The same request without its two strings.
+EMPTY_REQUEST = len('{"query": , "text": }')
+
+
 def state_bytes() -> Column:
     """Size of ``{"query": ..., "text": ...}`` written with spaced separators."""
-    packed = F.to_json(F.struct("query", F.col("state").alias("text")))
-    return F.octet_length(packed) + 3
+    return json_bytes(F.col("query")) + json_bytes(F.col("state")) + EMPTY_REQUEST
 
 
 def with_state(judgements: DataFrame) -> DataFrame:
@@ -129,6 +204,10 @@ def checked_states(judgements: DataFrame) -> DataFrame:
         F.lit("Cannot judge "), F.col("path"),
         F.lit(": query and passage exceed one request; lower chunk_chars or shorten the query"),
     )
+    if "judged" in judgements.columns:
+        size = F.col("asked.bytes") + F.col("judged.bytes") + EMPTY_REQUEST
+        failed = F.raise_error(message).cast(judgements.schema["judged"].dataType)
+        return judgements.withColumn("judged", F.when(size > STATE_LIMIT, failed).otherwise(F.col("judged")))
     checked = F.when(state_bytes() > STATE_LIMIT, F.raise_error(message)).otherwise(
         F.col("state")
     )
@@ -171,12 +250,3 @@ def cache_merge(scores: DataFrame, fresh: DataFrame) -> DataFrame:
     )
     newest = F.max_by("score", "age").alias("score")
     return both.groupBy("key").agg(newest)
-
-
-def ranking_stats(looked_up: DataFrame) -> DataFrame:
-    """Counters of one run from its cache lookup."""
-    return looked_up.agg(
-        F.count("*").alias("scored"),
-        F.count_if(F.col("score").isNotNull()).alias("cache_hits"),
-        F.count_if(F.col("score").isNull()).alias("scorer_calls"),
-    )

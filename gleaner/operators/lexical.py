@@ -2,24 +2,33 @@
 
 Frequencies are counted inside each passage's own row, so turning passages into
 postings needs no shuffle.  Scores join the (small) query terms to postings and
-are summed by ``(query_id, path, ordinal)``.  Postings taken straight from
-passages keep each passage's terms together, so its sum is complete before the
-shuffle; postings sorted by term suit one query, which reads few of them.
+are summed by ``(query_id, path, ordinal)``.
+
+Many queries at a time are answered in two passes over bounds.  A term's stored greatest
+frequency and shortest passage bound what it can add to any passage.  A query's rarest
+terms give a floor under the score of its last result; terms whose bounds, taken together,
+stay under the floor cannot bring in a passage, so the postings of the most common words
+are looked up for surviving passages only and never multiplied by all queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.fixed import MAX_QUERY_TERMS
 from gleaner.functions import relevance as R
 from gleaner.functions import text as T
 from gleaner.operators.ranking import top_per_group
+from gleaner.session import materialize
 
 PASSAGE = ("path", "ordinal")
+#: A floor comes from terms that occur in this many times the wanted number of passages.
+SEED_SHARE = 4
+#: Scores are rounded to six digits; a bound this far below a floor cannot reach it.
+SLACK = 2e-6
 # Equal tokens of the text, then of the path (marked by a slash), or of the path alone.
 FIELD_RUN = r"(([^ /]+) )\1*(?:(\2/ )\3*)?|([^ /]+/ )\4*"
 
@@ -53,16 +62,22 @@ def term_frequencies(
     return words.select(*PASSAGE, *keep, length, runs.alias("runs"))
 
 
-def postings_of(frequencies: DataFrame) -> DataFrame:
-    run = F.col("run")
+def run_term(run: Column) -> Column:
+    return F.substring_index(F.substring_index(run, " ", 1), "/", 1)
+
+
+def run_counts(run: Column, term: Column) -> tuple[Column, Column]:
+    """How often the term of a run stands in the path and in the text."""
     in_path = F.char_length(run) - F.char_length(F.replace(run, F.lit("/")))
-    term = F.substring_index(F.substring_index(run, " ", 1), "/", 1)
-    tokens = (F.char_length(run) - F.col("tf_path")) / (F.char_length("term") + 1)
-    counted = frequencies.select(*PASSAGE, "dl", F.explode("runs").alias("run")).withColumns(
-        {"term": term, "tf_path": in_path}
-    )
-    in_text = tokens.cast("int") - F.col("tf_path")
-    return counted.select("term", *PASSAGE, "tf_path", in_text.alias("tf_text"), "dl")
+    tokens = ((F.char_length(run) - in_path) / (F.char_length(term) + 1)).cast("int")
+    return in_path, tokens - in_path
+
+
+def postings_of(frequencies: DataFrame, *keep: str) -> DataFrame:
+    counted = frequencies.select(*PASSAGE, "dl", *keep, F.explode("runs").alias("run"))
+    named = counted.withColumn("term", run_term(F.col("run")))
+    in_path, in_text = run_counts(F.col("run"), F.col("term"))
+    return named.select("term", *PASSAGE, in_path.alias("tf_path"), in_text.alias("tf_text"), "dl", *keep)
 
 
 def postings(passages: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
@@ -99,6 +114,15 @@ def term_df(entries: DataFrame, query_terms: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_stats(entries: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """``term, df, most, shortest``: frequency, and what bounds a term's part of a score."""
+    found = entries.join(query_terms.select("term").distinct(), "term", "left_semi")
+    weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text"))
+    return found.groupBy("term").agg(
+        F.count("*").alias("df"), F.max(weighted).cast("double").alias("most"), F.min("dl").alias("shortest")
+    )
+
+
 def term_weights(frequencies: DataFrame, query_terms: DataFrame, passages: Column) -> DataFrame:
     """``query_id, term, idf`` of the query terms that occur at all."""
     return query_terms.join(frequencies, "term").select(
@@ -111,17 +135,82 @@ def term_matches(entries: DataFrame, weights: DataFrame) -> DataFrame:
     return entries.join(weights, "term")
 
 
+def _part(mean_length: Column) -> Column:
+    """What one posting of a weighted term adds to its passage."""
+    weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text"))
+    return R.bm25_term(F.col("idf"), weighted, F.col("dl"), mean_length)
+
+
 def bm25_scores(matches: DataFrame, mean_length: Column) -> DataFrame:
     """``query_id, path, ordinal, bm25`` for every passage holding a query term."""
-    part = R.bm25_term(
-        F.col("idf"),
-        R.weighted_frequency(F.col("tf_path"), F.col("tf_text")),
-        F.col("dl"),
-        mean_length,
-    )
+    part = _part(mean_length)
     return matches.groupBy("query_id", *PASSAGE).agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
+def bounded_weights(
+    stats: DataFrame, query_terms: DataFrame, passages: Column, mean_length: Column
+) -> DataFrame:
+    """``query_id, term, idf, before, rest`` of the query terms that occur.
+
+    ``stats`` has each term's ``df``, greatest weighted frequency ``most`` and
+    ``shortest`` passage.  Terms are taken from the one that can add most to the one that
+    can add least: ``before`` is the number of postings of the terms ahead, ``rest`` what
+    a term and all behind it can add together.
+    """
+    weight = R.idf(passages, F.col("df"))
+    bound = R.bm25_term(weight, F.col("most"), F.col("shortest"), mean_length)
+    own = query_terms.join(stats, "term").select("query_id", "term", "df", weight.alias("idf"), bound.alias("bound"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    behind = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return own.select(
+        "query_id", "term", "idf",
+        F.coalesce(F.sum("df").over(ahead), F.lit(0)).alias("before"),
+        F.sum("bound").over(behind).alias("rest"),
+    )
+
+
+def _partial(entries: DataFrame, weights: DataFrame, mean_length: Column) -> DataFrame:
+    matches = term_matches(entries, weights.select("query_id", "term", "idf"))
+    return matches.groupBy("query_id", *PASSAGE).agg(F.sum(_part(mean_length)).alias("bm25"))
+
+
+def _floors(partial: DataFrame, limit: int) -> DataFrame:
+    """``query_id, floor``: the ``limit``-th best document has at least this score, as it
+    has it by some of its query's terms alone."""
+    best = best_passage(partial)
+    last = top_per_group(best, "query_id", [F.desc("bm25"), F.asc("path")], limit).where(F.col("rank") == limit)
+    return last.select("query_id", (F.col("bm25") - SLACK).alias("floor"))
+
+
+def pruned_scores(
+    postings: Callable[[DataFrame], DataFrame], weights: DataFrame, mean_length: Column, limit: int
+) -> DataFrame:
+    """``query_id, path, ordinal, bm25`` of every passage that can be in a document among
+    the ``limit`` best of its query, and of no passage that a bound rules out.
+
+    ``postings`` gives the postings of a frame of terms; ``weights`` is a stored
+    ``bounded_weights``.
+    """
+    seeds = weights.where(F.col("before") < SEED_SHARE * limit)
+    floors = materialize(_floors(_partial(postings(seeds), seeds, mean_length), limit), "floors")
+    judged = weights.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    judged = materialize(judged, "floored")
+    essential, others = judged.where("rest >= floor"), judged.where("rest < floor")
+
+    first = materialize(_partial(postings(essential), essential, mean_length), "first")
+    # More terms, higher floors: what cannot reach them needs no look-up.
+    more = others.groupBy("query_id").agg(F.max("rest").alias("more"))
+    higher = _floors(first, limit).join(more, "query_id")
+    first = first.join(higher, "query_id", "left").where("floor IS NULL OR bm25 + more >= floor")
+    first = materialize(first.select("query_id", *PASSAGE, "bm25"), "survivors")
+    # Common words: one look-up for each surviving passage, whatever their postings.
+    probes = first.select("query_id", *PASSAGE).join(others.select("query_id", "term", "idf"), "query_id")
+    found = probes.join(postings(others), ["term", *PASSAGE])
+    rest = found.select("query_id", *PASSAGE, _part(mean_length).alias("bm25"))
+    return first.unionByName(rest).groupBy("query_id", *PASSAGE).agg(F.round(F.sum("bm25"), 6).alias("bm25"))
+
+
 def best_passage(scores: DataFrame) -> DataFrame:
     """The best passage of each document; an earlier one wins a tie."""
     best = F.max(F.struct("bm25", (-F.col("ordinal")).alias("back"))).alias("best")

@@ -14,22 +14,33 @@ from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.session import materialize
 
+#: What a scorer makes of passages before they meet the queries.
+Prepare = Callable[[DataFrame], DataFrame]
+#: Up to so many distinct words of a batch go to the scan as literals, to prune it.
+LITERAL_TERMS = 5_000
+#: Candidates judged by one task.
+PAIRS_PER_TASK = 20_000
+
+
+def as_they_are(passages: DataFrame) -> DataFrame:
+    return passages
+
+
 @dataclass(frozen=True)
 class Corpus:
     """``documents(path)`` and ``passages`` with their statistics.
 
-    ``postings`` gives the postings of some terms or of all, ``frequencies`` the token
-    runs of every passage, and ``term_df`` the document frequencies of a frame of terms;
-    ``fetch`` turns ``(path, ordinal, ...)`` rows into passages with their text, and
+    ``postings`` gives the postings of some terms or of all, and ``term_stats`` the
+    document frequency, greatest weighted frequency and shortest passage of a frame of
+    terms; ``fetch`` turns ``(path, ordinal, ...)`` rows into prepared passages, and
     ``texts`` distinct paths into whole documents.
     """
 
     documents: DataFrame
     passages: DataFrame
-    frequencies: DataFrame
     postings: Callable[[list[str] | None], DataFrame]
-    term_df: Callable[[DataFrame], DataFrame]
-    fetch: Callable[[DataFrame], DataFrame]
+    term_stats: Callable[[DataFrame], DataFrame]
+    fetch: Callable[[DataFrame, Prepare], DataFrame]
     texts: Callable[[DataFrame], DataFrame]
     document_count: int
     passage_count: int
@@ -39,6 +50,20 @@ class Corpus:
     def is_exhaustive(self, limit: int) -> bool:
         return limit == 0 or self.document_count <= limit
 
+    def _postings_of(self, terms: DataFrame) -> DataFrame:
+        """Postings of a frame of terms: at the scan if they are few, else by the join."""
+        words = [row.term for row in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+        return self.postings(words if len(words) <= LITERAL_TERMS else None)
+
+    def _scores(self, terms: DataFrame, limit: int, single: bool) -> DataFrame:
+        mean, count = F.lit(self.mean_length), F.lit(self.passage_count)
+        if single:
+            entries = self.postings([row.term for row in terms.collect()])
+            weights = L.term_weights(L.term_df(entries, terms), terms, count)
+            return L.bm25_scores(L.term_matches(entries, weights), mean)
+        weights = L.bounded_weights(self.term_stats(terms), terms, count, mean)
+        return L.pruned_scores(self._postings_of, materialize(weights, "weights"), mean, limit)
+
     def shortlist(
         self,
         queries: DataFrame,
@@ -49,20 +74,12 @@ class Corpus:
         """``query_id, path, ordinal, bm25, tier``: ``limit`` documents per query.
 
         ``single`` says that ``queries`` has one row: its terms become literals, so that
-        the postings scan reads nothing else.  The distinct terms of many queries are
-        weighed with the stored frequencies and matched with the passages' token runs.
-        ``max_terms`` bounds the terms of a query (None: all of them count).
+        the postings scan reads nothing else.  Many queries are answered by bounds first
+        and exact scores second.  ``max_terms`` bounds the terms of a query (None: all
+        of them count).
         """
         terms = L.explode_terms(queries, max_terms)
-        if single:
-            entries = self.postings([row.term for row in terms.collect()])
-            frequencies = L.term_df(entries, terms)
-        else:
-            entries = L.postings_of(self.frequencies)
-            frequencies = self.term_df(terms.select("term").distinct())
-        weights = L.term_weights(frequencies, terms, F.lit(self.passage_count))
-        matches = L.term_matches(entries, weights)
-        scores = L.bm25_scores(matches, F.lit(self.mean_length))
+        scores = self._scores(terms, limit, single)
         lexical = L.lexical_shortlist(L.best_passage(scores), limit, single)
         # Short rows without text; both the fill and the final union read them.
         lexical = materialize(lexical, "lexical")
@@ -74,28 +91,38 @@ class Corpus:
         limit: int,
         single: bool = False,
         max_terms: int | None = MAX_QUERY_TERMS,
+        prepare: Prepare = as_they_are,
     ) -> DataFrame:
-        """``query_id, path, ordinal, text, digest, source`` to be judged.
+        """``query_id, path, ordinal, digest, source`` and the text to be judged, or what
+        ``prepare`` makes of it; a passage is prepared once for all its queries.
 
         A corpus within the limit offers every passage to every query.  Judging a whole
         corpus (``limit`` 0) is for one query at a time; a table of queries would pair
         all of them with all passages.
         """
-        columns = ["query_id", "path", "ordinal", "text", "digest", "source"]
+
+        def offered(rows: DataFrame) -> DataFrame:
+            kept = [name for name in ("text", "judged") if name in rows.columns]
+            return rows.select("query_id", "path", "ordinal", *kept, "digest", "source")
+
         if not self.is_exhaustive(limit):
             keys = self.shortlist(queries, limit, single, max_terms)
             keys = materialize(keys.select("query_id", "path", "ordinal"), "shortlist")
-            return self.fetch(keys).select(*columns)
+            # Keys are small, judging them is not: their bytes must not decide the tasks.
+            tasks = keys.sparkSession.sparkContext.defaultParallelism
+            tasks = max(tasks, -(-keys.count() // PAIRS_PER_TASK))
+            return offered(self.fetch(keys.repartition(tasks, "path", "ordinal"), prepare))
+        passages = prepare(self.passages)
         if single:
             only = queries.select("query_id").first().query_id
-            return self.passages.withColumn("query_id", F.lit(only).cast("long")).select(*columns)
+            return offered(passages.withColumn("query_id", F.lit(only).cast("long")))
         if limit == 0:
             raise ValueError("Judging every passage needs a single query; give a shortlist size")
         # At most `limit` documents: queries meet them on their numbered places.
         places = F.sequence(F.lit(0), F.lit(max(self.document_count, 1) - 1))
         asked = queries.select("query_id", F.explode(places).alias("place"))
         numbered = L.numbered_paths(self.documents, limit)
-        return asked.join(numbered, "place").join(self.passages, "path").select(*columns)
+        return offered(asked.join(numbered, "place").join(passages, "path"))
 
 
 def _statistics(frequencies: DataFrame) -> Row:
@@ -136,10 +163,9 @@ def scan(
     return Corpus(
         documents=documents.select("path"),
         passages=passages,
-        frequencies=frequencies,
         postings=lambda _: L.postings_of(frequencies),
-        term_df=lambda wanted: L.term_df(L.postings_of(frequencies), wanted),
-        fetch=lambda keys: P.cut_selected(documents, keys, chunk_chars),
+        term_stats=lambda wanted: L.term_stats(L.postings_of(frequencies), wanted),
+        fetch=lambda keys, prepare: prepare(P.cut_selected(documents, keys, chunk_chars)),
         texts=lambda paths: documents.join(paths, "path").select("path", "text"),
         document_count=counts.documents,
         passage_count=counts.passages,

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.fixed import MAX_QUERY_TERMS, MIN_SHORTLIST, SHORTLIST_PER_RESULT
@@ -14,7 +15,7 @@ from gleaner.operators import passages as P
 from gleaner.operators import query_specs as Q
 from gleaner.operators import ranking as K
 from gleaner.plans.corpus import Corpus, scan
-from gleaner.session import materialize
+from gleaner.session import materialize, materialize_counted
 from gleaner.sources.scores import ScoreCache
 
 #: Judgements stored at a time; what a failing scorer can lose.
@@ -24,24 +25,31 @@ Scorer = J.ColumnScorer | J.BatchScorer
 
 
 @dataclass(frozen=True)
-class RankingStats:
-    scored: int
-    cache_hits: int
-    scorer_calls: int
-    input_tokens: int
-    output_tokens: int
+class Effort:
+    """What a ranking took: passages judged in all, of them known from the cache and asked
+    of the scorer, and the tokens the scorer reported."""
+
+    judged: int = 0
+    known: int = 0
+    asked: int = 0
+    input_tokens: int = 0
+    output_tokens: int = 0
+
+
+#: Called with the effort so far, each time judgements have been stored.
+Progress = Callable[[Effort], None]
 
 
 @dataclass(frozen=True)
 class Ranking:
-    """Results as ``query_id, rank, score, path, passage, source``, and counters."""
+    """Results as ``query_id, rank, score, path, passage, source``, and their effort."""
 
     results: DataFrame
-    stats: RankingStats
+    effort: Effort
     exhaustive: bool = False
 
 
-def default_candidates(k: int) -> int:
+def shortlist_size(k: int) -> int:
     return max(MIN_SHORTLIST, SHORTLIST_PER_RESULT * k)
 
 
@@ -50,7 +58,7 @@ def check_limits(k: int, candidates: int | None) -> int:
     if k < 1:
         raise ValueError("k must be positive")
     if candidates is None:
-        return default_candidates(k)
+        return shortlist_size(k)
     if candidates < 0 or 0 < candidates < k:
         raise ValueError("candidates must be at least k, or 0 for all")
     return candidates
@@ -88,13 +96,25 @@ def asked_of(queries: DataFrame, scorer: Scorer) -> DataFrame:
 def judgements(
     candidates: DataFrame, queries: DataFrame, scorer: Scorer = J.TOKEN_OVERLAP
 ) -> DataFrame:
-    return J.with_state(candidates.join(asked_of(queries, scorer), "query_id"))
+    return _judgements(candidates, asked_of(queries, scorer))
+
+
+def _judgements(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+    """Candidates with their queries: with the text to judge, or with counted terms."""
+    if "judged" in candidates.columns:
+        return candidates.join(asked.withColumn("asked", J.asked_terms()), "query_id")
+    return J.with_state(candidates.join(asked, "query_id"))
 
 
 def score(judged: DataFrame, scorer: Scorer) -> DataFrame:
     return J.checked_scores(scorer.score(J.checked_states(judged)))
 
 
+def _usage() -> dict[str, Column]:
+    """Counters of a writing job: rows, and the tokens their scorer reported."""
+    return {"asked": F.count("*")} | {name: F.coalesce(F.sum(name), F.lit(0)) for name in J.TOKENS}
+
+
 def rerank(
     candidates: DataFrame,
     queries: DataFrame,
@@ -103,47 +123,62 @@ def rerank(
     cache: ScoreCache | None = None,
     batch_rows: int = BATCH_ROWS,
     single: bool = False,
+    progress: Progress | None = None,
 ) -> Ranking:
     """Judge candidates and keep the k best documents of each query.
 
     Judgements are stored before anything is ranked.  With a cache only unknown ones go
     to the scorer, in writes of about ``batch_rows``, so a failing scorer loses at most
     one of them; no ranking comes out of a failed run.  Passage texts are read for the
-    judgements that the scorer has to make, and only once.
+    judgements that the scorer has to make, and only once.  The jobs that store judgements
+    count them as they go, and ``progress`` gets the sums after each.
     """
     asked = asked_of(queries, scorer)
     if cache is None:
-        scored = score(judgements(candidates, queries, scorer), scorer)
-        scored = materialize(scored.select("query_id", "path", "ordinal", "source", "score", *J.TOKENS), "scored")
-        total = scored.agg(
-            F.count("*").alias("scored"), *(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in J.TOKENS)
-        ).first()
-        stats = RankingStats(total.scored, 0, total.scored, total.input_tokens, total.output_tokens)
-        return Ranking(K.top_k(K.max_passage_score(scored), k, single), stats)
+        scored = score(_judgements(candidates, asked), scorer)
+        scored = scored.select("query_id", "path", "ordinal", "source", "score", *J.TOKENS)
+        scored, counted = materialize_counted(scored, "scored", **_usage())
+        effort = Effort(judged=counted["asked"], **counted)
+        if progress:
+            progress(effort)
+        return Ranking(K.top_k(K.max_passage_score(scored), k, single), effort)
 
     # The keys need no text: digests are stored with the passages.
-    keyed = J.with_keys(candidates.drop("text").join(asked, "query_id"))
+    keyed = J.with_keys(candidates.drop("text", "judged").join(asked, "query_id"))
     keyed = keyed.select("query_id", "path", "ordinal", "source", "key", "namespace")
-    keyed = materialize(cache.lookup(keyed, asked), "keyed")
-    counted = J.ranking_stats(keyed).first()
-    run = uuid.uuid4().hex
-    tokens = (0, 0)
+    known = F.count_if(F.col("score").isNotNull())
+    keyed, counted = materialize_counted(cache.lookup(keyed, asked), "keyed", judged=F.count("*"), known=known)
+    effort = Effort(**counted)
+    if progress:
+        progress(effort)
+    missing = effort.judged - effort.known
     scored = keyed
-    if counted.scorer_calls:
-        batches = -(-counted.scorer_calls // batch_rows)
-        missing = keyed.where("score IS NULL").select(
+    if missing:
+        run = uuid.uuid4().hex
+        batches = -(-missing // batch_rows)
+        wanted = keyed.where("score IS NULL").select(
             "query_id", "path", "ordinal", "key", "namespace",
             F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"),
         )
-        unknown = candidates.join(missing, ["query_id", "path", "ordinal"])
-        unknown = J.with_state(unknown.join(asked.drop("namespace"), "query_id")).drop("text")
+        unknown = candidates.join(wanted, ["query_id", "path", "ordinal"])
+        unknown = _judgements(unknown, asked.drop("namespace")).drop("text")
         unknown = materialize(unknown, "unknown") if batches > 1 else unknown
         for batch in range(batches):
-            cache.append(score(unknown.where(F.col("batch") == batch), scorer), run)
-        tokens = tuple(cache.usage(run, asked))
+            rows = unknown.where(F.col("batch") == batch)
+            if batches > 1 and rows.isEmpty():
+                continue
+            seen = Observation()
+            counters = [value.alias(name) for name, value in _usage().items()]
+            cache.append(score(rows, scorer).observe(seen, *counters), run)
+            more = seen.get
+            effort = Effort(
+                effort.judged, effort.known,
+                *(getattr(effort, name) + more[name] for name in ("asked", *J.TOKENS)),
+            )
+            if progress:
+                progress(effort)
         scored = cache.lookup(keyed.drop("score"), asked)
-    results = K.top_k(K.max_passage_score(scored), k, single)
-    return Ranking(results, RankingStats(counted.scored, counted.cache_hits, counted.scorer_calls, *tokens))
+    return Ranking(K.top_k(K.max_passage_score(scored), k, single), effort)
 
 
 def search(
@@ -156,6 +191,7 @@ def search(
     batch_rows: int = BATCH_ROWS,
     single: bool = False,
     max_terms: int | None = MAX_QUERY_TERMS,
+    progress: Progress | None = None,
 ) -> Ranking:
     """Rank a corpus for every row of a query table.
 
@@ -163,9 +199,9 @@ def search(
     ``terms_left_out`` tells which queries have more.
     """
     limit = check_limits(k, candidates)
-    offered = corpus.candidates(queries, limit, single, max_terms)
-    ranking = rerank(offered, queries, k, scorer, cache, batch_rows, single)
-    return Ranking(ranking.results, ranking.stats, corpus.is_exhaustive(limit))
+    offered = corpus.candidates(queries, limit, single, max_terms, scorer.prepare)
+    ranking = rerank(offered, queries, k, scorer, cache, batch_rows, single, progress)
+    return Ranking(ranking.results, ranking.effort, corpus.is_exhaustive(limit))
 
 
 def search_documents(

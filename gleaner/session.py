@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -25,19 +25,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
 _open_scope: ContextVar[list[str] | None] = ContextVar("open_scope", default=None)
 
 
+def passing_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that goes when the open ``scratch`` scope ends, if there is one."""
+    folder = new_folder(spark, label)
+    scope = _open_scope.get()
+    if scope is not None:
+        scope.append(folder)
+    return folder
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a result once and read it back, so later steps do not repeat it.
 
     Frames built on it need the files until they have run.  Inside ``scratch`` the
     files go when the scope ends; outside any scope they stay in the shared folder.
     """
-    spark = df.sparkSession
-    folder = new_folder(spark, label)
+    folder = passing_folder(df.sparkSession, label)
     df.write.parquet(folder)
-    scope = _open_scope.get()
-    if scope is not None:
-        scope.append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def materialize_counted(df: DataFrame, label: str, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize``, and aggregates of the rows from the job that writes them.
+
+    The planner may leave out the counting of a result that it finds to be empty; an
+    empty result has counters of zero.
+    """
+    seen = Observation()
+    stored = materialize(df.observe(seen, *(value.alias(name) for name, value in counters.items())), label)
+    return stored, dict.fromkeys(counters, 0) if stored.isEmpty() else seen.get
 
 
 @contextmanager

@@ -1,63 +1,61 @@
-"""A stored snapshot of a corpus, refreshed incrementally.
+"""A stored snapshot of a corpus, refreshed incrementally, as plain Parquet tables.
 
 Layout under the index folder::
 
-    commits/                        one row per refresh; the last one is current
-    documents/<segment>/            the whole manifest after that refresh
-    superseded/<segment>/           (path, segment) of passages no longer valid
-    passages/segment=<segment>/slot=<n>/      sorted by path and ordinal
-    postings/segment=<segment>/bucket=<n>/    sorted by term
-    terms/segment=<segment>/bucket=<n>/       document frequencies, as differences
-
-A refresh lists the source anew, compares manifests, reads and tokenizes only new and
-changed documents into a segment of their own, and adds a commit.  Nothing written
-earlier is touched: until the commit exists readers see the previous snapshot, and an
-interrupted refresh leaves only unreferenced files.  Refreshes of one index must not
-overlap.  ``rebuild`` reads everything again into a single segment; ``compact`` writes
-the live passages of all segments into one, without the source.
-
-Every segment has as many hash slots of paths and buckets of terms as its own size
-needs.  A term's frequency is the sum of its rows over all segments: a refresh that
-supersedes passages stores what they counted with a minus sign.
+    state/                              one row per refresh; the last one counts
+    <data>/passages/slot=<n>/           sorted by path and ordinal
+    <data>/postings/slot=<n>/           sorted by term
+    <data>/terms/slot=<n>/              per term: its frequency and what bounds its score
+    manifests/<name>/                   path, stamp, ...; bucketed and sorted by path
+    skipped/<name>/                     what a refresh could not read
+
+A path's hash names its slot; their number is chosen when an index is built.  A refresh
+lists the source anew and compares manifests, which lie in the same buckets of the path,
+so the comparison moves neither side.  Only new and changed documents are read and
+tokenized; then the slots of all paths that were added, changed or removed are written
+again by dynamic partition overwrite, and the state comes last.  A source that fails
+leaves everything as it was.  A state without a manifest says that slots are being
+written; if writing breaks off, the next refresh finds it and rebuilds.  Open the corpus
+anew after a refresh, and don't let refreshes of one index overlap.  ``rebuild`` reads
+everything again into a new data folder.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from typing import Protocol
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import relevance as R
 from gleaner.operators import changes as C
 from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.plans import corpus as corpora
-from gleaner.session import materialize, scratch
-
-FORMAT = "2"
-TOKENS_PER_BUCKET = 20_000_000
-DOCUMENTS_PER_SLOT = 50_000
-SEGMENT = "struct<name:string,buckets:int,slots:int>"
-COMMIT = (
-    f"version long, settings string, segment string, segments array<{SEGMENT}>, "
-    "documents_dir string, superseded_dir string, documents long, passages long, "
-    "mean_length double, updated long, skipped long, removed long"
+from gleaner.session import materialize, materialize_counted, passing_folder, scratch
+
+FORMAT = "3"
+#: Slots of an index, from its number of documents: a bounded number of folders.
+DOCUMENTS_PER_SLOT, FEWEST_SLOTS, MOST_SLOTS = 50_000, 16, 1024
+DOCUMENTS_PER_TASK = 20_000
+STATE = (
+    "version long, settings string, data string, slots int, manifest string, skipped string, "
+    "documents long, passages long, tokens long"
 )
 PASSAGES = (
-    "path string, ordinal int, text string, digest string, source string, stamp string, "
-    "reason string, dl int, runs array<string>, segment string, slot int"
+    "path string, ordinal int, text string, digest string, source string, dl int, "
+    "runs array<string>, slot int"
 )
-POSTINGS = (
-    "term string, path string, ordinal int, tf_path int, tf_text int, dl int, "
-    "segment string, bucket int"
-)
-TERMS = "term string, df long, segment string, bucket int"
-MANIFEST = "path string, stamp string, source string, segment string, passages long, tokens long"
+POSTINGS = "term string, path string, ordinal int, tf_path int, tf_text int, dl int, slot int"
+TERMS = "term string, df long, most double, shortest int, slot int"
+MANIFEST = "path string, stamp string, source string, passages long, tokens long"
+
+Progress = Callable[[str, dict], None]
 
 
 class Source(Protocol):
@@ -84,8 +82,8 @@ class Refresh:
     removed: int
 
 
-def bucket_of(value: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
+def slot_of(path: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(slots)).cast("int")
 
 
 class Index:
@@ -100,84 +98,71 @@ class Index:
             sort_keys=True,
         )
 
-    def _last_commit(self) -> Row | None:
+    def _last_state(self) -> tuple[Row | None, bool]:
+        """The last complete state, and whether a later refresh broke off."""
         try:
-            commits = self._spark.read.schema(COMMIT).parquet(f"{self._folder}/commits")
-            last = commits.orderBy(F.desc("version")).limit(2).collect()
+            states = self._spark.read.schema(STATE).parquet(f"{self._folder}/state")
+            last = states.orderBy(F.desc("version")).limit(2).collect()
+            whole = states.where("manifest IS NOT NULL").orderBy(F.desc("version")).first()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
+            return None, False
         if len(last) == 2 and last[0].version == last[1].version:
             raise RuntimeError(f"Two refreshes of {self._folder} overlapped; rebuild it")
-        return last[0] if last else None
+        return whole, bool(last) and last[0].manifest is None
 
     def _current(self) -> Row:
-        commit = self._last_commit()
-        if commit is None:
+        state, _ = self._last_state()
+        if state is None:
             raise ValueError(f"{self._folder} holds no index yet")
-        return commit
-
-    def _segment(self, kind: str, schema: str, name: str) -> DataFrame:
-        base = f"{self._folder}/{kind}"
-        reader = self._spark.read.schema(schema).option("basePath", base)
-        return reader.parquet(f"{base}/segment={name}")
-
-    def _segments(self, kind: str, schema: str, segments: list[Row]) -> DataFrame:
-        if not segments:
-            return self._spark.createDataFrame([], schema)
-        return reduce(
-            DataFrame.unionByName, (self._segment(kind, schema, s.name) for s in segments)
+        return state
+
+    def _add_state(self, *values) -> None:
+        row = self._spark.createDataFrame([values], STATE).coalesce(1)
+        row.write.mode("append").parquet(f"{self._folder}/state")
+
+    # Reading
+
+    def _table(self, state: Row, kind: str, schema: str) -> DataFrame:
+        """One table; the row that marks a slot as written has no values."""
+        rows = self._spark.read.schema(schema).parquet(f"{self._folder}/{state.data}/{kind}")
+        return rows.where(F.col(schema.split()[0]).isNotNull())
+
+    def _passages(self, state: Row) -> DataFrame:
+        return self._table(state, "passages", PASSAGES)
+
+    def _postings(self, state: Row, terms: list[str] | None) -> DataFrame:
+        rows = self._table(state, "postings", POSTINGS)
+        # The term's row groups are found by their least and greatest terms.
+        return rows if terms is None else rows.where(F.col("term").isin(terms))
+
+    def _term_stats(self, state: Row, wanted: DataFrame) -> DataFrame:
+        """``term, df, most, shortest`` of the wanted terms, summed up over the slots."""
+        rows = self._table(state, "terms", TERMS).join(wanted.select("term").distinct(), "term", "left_semi")
+        return rows.groupBy("term").agg(
+            F.sum("df").alias("df"), F.max("most").alias("most"), F.min("shortest").alias("shortest")
         )
 
-    def _part(self, kind: str, schema: str, segments: list[Row], wanted: DataFrame) -> DataFrame:
-        """The rows of all segments in the slots or buckets of some paths or terms.
+    def _in_slots(self, state: Row, paths: DataFrame) -> DataFrame:
+        """Passages in the slots of some paths; what is collected are numbers of slots."""
+        rows = paths.select(slot_of(F.col("path"), state.slots).alias("slot")).distinct()
+        numbers = [row.slot for row in rows.collect()]
+        found = self._passages(state)
+        return found.where(F.col("slot").isin(numbers)) if numbers else found.where("false")
+
+    def _lookup(self, state: Row, keys: DataFrame, prepare: corpora.Prepare) -> DataFrame:
+        """Passages by (path, ordinal), prepared once however many keys name them."""
+        wanted = keys.select("path", "ordinal").distinct()
+        found = self._in_slots(state, keys).join(wanted, ["path", "ordinal"], "left_semi")
+        return prepare(found).join(keys, ["path", "ordinal"])
+
+    def _texts(self, state: Row, paths: DataFrame) -> DataFrame:
+        wanted = self._in_slots(state, paths).join(paths.select("path"), "path", "left_semi")
+        return P.rebuild(wanted, self._chunk_chars)
 
-        ``wanted`` has one column; what is collected are its hash values, of which a
-        segment has no more than it has folders.
-        """
-        column, parts = F.col(wanted.columns[0]), []
-        name, count = ("slot", "slots") if kind == "passages" else ("bucket", "buckets")
-        for segment in segments:
-            places = wanted.select(bucket_of(column, segment[count]).alias("place")).distinct()
-            numbers = [row.place for row in places.collect()]
-            rows = self._segment(kind, schema, segment.name)
-            parts.append(rows.where(F.col(name).isin(numbers)) if numbers else rows.where("false"))
-        if not parts:
-            return self._spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, parts)
-
-    def _live(self, rows: DataFrame, commit: Row) -> DataFrame:
-        if commit.superseded_dir is None:
-            return rows
-        gone = self._spark.read.parquet(f"{self._folder}/{commit.superseded_dir}")
-        return rows.join(gone, ["path", "segment"], "left_anti")
-
-    def _manifest(self, commit: Row) -> DataFrame:
-        folder = f"{self._folder}/{commit.documents_dir}"
-        return self._spark.read.schema(MANIFEST).parquet(folder)
-
-    def _passages(self, commit: Row) -> DataFrame:
-        rows = self._segments("passages", PASSAGES, commit.segments).where("reason IS NULL")
-        return self._live(rows, commit)
-
-    def _postings(self, commit: Row, terms: list[str] | None) -> DataFrame:
-        if terms is None:
-            return self._live(self._segments("postings", POSTINGS, commit.segments), commit)
-        parts = []
-        for segment in commit.segments:
-            rows = self._segment("postings", POSTINGS, segment.name)
-            slots = [bucket_of(F.lit(term), segment.buckets) for term in terms]
-            parts.append(rows.where(F.col("bucket").isin(slots) & F.col("term").isin(terms)))
-        if not parts:
-            return self._spark.createDataFrame([], POSTINGS)
-        return self._live(reduce(DataFrame.unionByName, parts), commit)
-
-    def _term_df(self, commit: Row, wanted: DataFrame) -> DataFrame:
-        """``term, df`` of the wanted terms that occur, from the stored frequencies."""
-        wanted = materialize(wanted.select("term").distinct(), "wanted-terms")
-        rows = self._part("terms", TERMS, commit.segments, wanted).join(wanted, "term", "left_semi")
-        return rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    def _manifest(self, state: Row) -> DataFrame:
+        return C.open_manifest(self._spark, f"{self._folder}/manifests/{state.manifest}", MANIFEST, state.slots)
 
     def documents(self) -> DataFrame:
         return self._manifest(self._current())
@@ -186,211 +171,182 @@ class Index:
         return self._passages(self._current())
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
-        """All live postings, or those of the given terms, pruned at the scan."""
+        """All postings, or those of the given terms, pruned at the scan."""
         return self._postings(self._current(), terms)
 
-    def commits(self) -> DataFrame:
-        """One row for each refresh or compaction, with its counters."""
-        return self._spark.read.schema(COMMIT).parquet(f"{self._folder}/commits")
-
     def term_df(self, wanted: DataFrame) -> DataFrame:
-        """``term, df``: in how many live passages each wanted term occurs."""
-        return self._term_df(self._current(), wanted)
+        """``term, df``: in how many passages each wanted term occurs."""
+        return self._term_stats(self._current(), wanted).select("term", "df")
 
     def skipped(self) -> DataFrame:
         """``path, reason`` of what the last refresh could not read."""
-        rows = self._segment("passages", PASSAGES, self._current().segment)
-        return rows.where("reason IS NOT NULL").select("path", "reason")
-
-    def _in_slots(self, commit: Row, paths: DataFrame) -> DataFrame:
-        """Live passages in the slots of some paths."""
-        rows = self._part("passages", PASSAGES, commit.segments, paths.select("path"))
-        return self._live(rows.where("reason IS NULL"), commit)
-
-    def _lookup(self, commit: Row, keys: DataFrame) -> DataFrame:
-        """Passages by (path, ordinal)."""
-        return self._in_slots(commit, keys).join(keys, ["path", "ordinal"])
-
-    def _texts(self, commit: Row, paths: DataFrame) -> DataFrame:
-        wanted = self._in_slots(commit, paths).join(paths.select("path"), "path", "left_semi")
-        return P.rebuild(wanted, self._chunk_chars)
+        folder = f"{self._folder}/skipped/{self._current().skipped}"
+        return self._spark.read.schema("path string, reason string").parquet(folder)
 
     def corpus(self) -> corpora.Corpus:
-        """The current snapshot; a later refresh does not change it."""
-        commit = self._current()
-        passages = self._passages(commit)
+        """The corpus as it is stored now."""
+        state = self._current()
         return corpora.Corpus(
-            documents=self._manifest(commit),
-            passages=passages,
-            frequencies=passages,
-            postings=lambda terms: self._postings(commit, terms),
-            term_df=lambda wanted: self._term_df(commit, wanted),
-            fetch=lambda keys: self._lookup(commit, keys),
-            texts=lambda paths: self._texts(commit, paths),
-            document_count=commit.documents,
-            passage_count=commit.passages,
-            mean_length=commit.mean_length,
+            documents=self._manifest(state),
+            passages=self._passages(state),
+            postings=lambda terms: self._postings(state, terms),
+            term_stats=lambda wanted: self._term_stats(state, wanted),
+            fetch=lambda keys, prepare: self._lookup(state, keys, prepare),
+            texts=lambda paths: self._texts(state, paths),
+            document_count=state.documents,
+            passage_count=state.passages,
+            mean_length=state.tokens / state.passages if state.tokens else 1.0,
             chunk_chars=self._chunk_chars,
         )
 
-    def refresh(self, source: Source, rebuild: bool = False) -> Refresh:
-        """Bring the index up to date with what the source holds now."""
+    # Refreshing
+
+    def refresh(self, source: Source, rebuild: bool = False, progress: Progress | None = None) -> Refresh:
+        """Bring the index up to date with what the source holds now.
+
+        ``progress`` is called with the name of each finished step and its counters,
+        which the step's own job has observed.
+        """
         settings = self._settings(source.identity)
-        before = self._last_commit()
+        before, broken_off = self._last_state()
         if before is not None and before.settings != settings:
             raise ValueError(f"{self._folder} was built from another source or chunk size")
         with scratch(self._spark):
-            return self._refresh(source, settings, before, rebuild)
-
-    def _refresh(self, source: Source, settings: str, before: Row | None, rebuild: bool) -> Refresh:
-        name = uuid.uuid4().hex[:12]
-        listing = source.listing()
-        known = None if before is None else self._manifest(before)
-        diff = paths = None
-        if known is not None and not rebuild:
-            diff = materialize(C.snapshot_diff(known, source.manifest(listing)), "diff")
+            return self._refresh(source, settings, before, rebuild or broken_off, progress or (lambda *_: None))
+
+    def _refresh(self, source: Source, settings: str, before: Row | None, rebuild: bool, progress: Progress) -> Refresh:
+        name, listing = uuid.uuid4().hex[:12], source.listing()
+        if before is None or rebuild:
+            listed = listing.count()
+            slots = min(MOST_SLOTS, max(FEWEST_SLOTS, -(-listed // DOCUMENTS_PER_SLOT)))
+            data, paths, diff = f"data-{name}", None, None
+        else:
+            slots, data = before.slots, before.data
+            new = C.store_manifest(source.manifest(listing), passing_folder(self._spark, "listed"), slots)
+            diff, counted = materialize_counted(
+                C.snapshot_diff(self._manifest(before), new), "diff",
+                removed=F.count_if(F.col("class") == C.REMOVED), listed=F.count("*"),
+            )
+            listed = counted["listed"]
+            progress("compared", counted)
             paths = diff.where(F.col("class").isin(C.ADDED, C.CHANGED)).select("path")
-        new = (listing if paths is None else paths).count()
-        slots = 1 + new // DOCUMENTS_PER_SLOT
-
-        self._write_passages(source.read(listing, paths), name, slots)
-        fresh = self._fresh_manifest(name)
-        manifest, segments, superseded_dir, gone = fresh, [], None, None
-        if diff is not None:
-            same = diff.where(F.col("class") == C.KEPT)
-            gone = materialize(C.removed_docs(known, same).select("path", "segment"), "gone")
-            superseded_dir = self._write_superseded(before, gone, name)
-            manifest, segments = C.cascade_keep(known, same).unionByName(fresh), before.segments
-        documents_dir, manifest = self._write_manifest(manifest, name)
-        totals = self._totals(manifest, name)
-        rows = self._segment("passages", PASSAGES, name)
-        skipped = rows.where("reason IS NOT NULL").count()
-        removed = 0 if known is None else C.removed_docs(known, manifest).count()
-        if totals.updated or (gone is not None and not gone.isEmpty()):
-            buckets = 1 + (totals.fresh_tokens or 0) // TOKENS_PER_BUCKET
-            self._write_postings(name, buckets)
-            self._write_terms(name, buckets, before, gone)
-            segments = [*segments, Row(name=name, buckets=buckets, slots=slots)]
-        self._commit(before, settings, name, segments, documents_dir, superseded_dir, totals, (totals.updated, skipped, removed))
-        return Refresh(totals.documents, totals.passages, totals.updated, skipped, removed)
-
-    def compact(self) -> None:
-        """Write the live passages into one segment; searches give the same results.
-
-        Slots and buckets are chosen anew.  Old segments stay for readers of earlier
-        snapshots until ``vacuum``.
-        """
-        before = self._current()
-        name = uuid.uuid4().hex[:12]
-        slots = 1 + before.documents // DOCUMENTS_PER_SLOT
-        live = self._passages(before).drop("segment", "slot")
-        self._store_passages(live, name, slots)
-        moved = self._manifest(before).withColumn("segment", F.lit(name))
-        documents_dir, manifest = self._write_manifest(moved, name)
-        totals = self._totals(manifest, name)
-        buckets = 1 + (totals.fresh_tokens or 0) // TOKENS_PER_BUCKET
-        self._write_postings(name, buckets)
-        self._write_terms(name, buckets, None, None)
-        segments = [Row(name=name, buckets=buckets, slots=slots)]
-        self._commit(before, before.settings, name, segments, documents_dir, None, totals, (0, 0, 0))
-
-    def vacuum(self) -> None:
-        """Delete the files of segments that the current snapshot does not use."""
-        commit = self._current()
-        used = {segment.name for segment in commit.segments} | {commit.segment}
-        hadoop = self._spark._jsc.hadoopConfiguration()
-        for kind in ("passages", "postings", "terms"):
-            path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder}/{kind}")
-            files = path.getFileSystem(hadoop)
-            for entry in files.listStatus(path) if files.exists(path) else []:
-                if entry.getPath().getName().removeprefix("segment=") not in used:
-                    files.delete(entry.getPath(), True)
-
-    def _commit(self, before, settings, name, segments, documents_dir, superseded_dir, totals, counts) -> None:
-        mean = totals.tokens / totals.passages if totals.tokens else 1.0
-        commit = (
-            (before.version + 1) if before else 1, settings, name, segments, documents_dir,
-            superseded_dir, totals.documents, totals.passages, mean, *counts,
-        )
-        row = self._spark.createDataFrame([commit], COMMIT).coalesce(1)
-        row.write.mode("append").parquet(f"{self._folder}/commits")
-
-    def _write_manifest(self, manifest: DataFrame, name: str) -> tuple[str, DataFrame]:
-        folder = f"documents/{name}"
-        manifest.write.parquet(f"{self._folder}/{folder}")
-        return folder, self._spark.read.schema(MANIFEST).parquet(f"{self._folder}/{folder}")
-
-    @staticmethod
-    def _totals(manifest: DataFrame, name: str) -> Row:
-        own = F.col("segment") == name
-        return manifest.agg(
-            F.count("*").alias("documents"),
-            F.coalesce(F.sum("passages"), F.lit(0)).alias("passages"),
-            F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-            F.count_if(own).alias("updated"),
-            F.sum(F.when(own, F.col("tokens"))).alias("fresh_tokens"),
-        ).first()
-
-    def _write_passages(self, read: DataFrame, name: str, slots: int) -> None:
-        """One pass over the source: passages, and a row for each refusal."""
+
+        staged, counted = self._staged(source.read(listing, paths), slots)
+        progress("read", counted)
+        fresh = self._fresh_documents(staged)
+        refused = staged.where("reason IS NOT NULL").select("path", "reason")
+        refused.write.parquet(f"{self._folder}/skipped/{name}")
+
+        accepted = staged.where("reason IS NULL").drop("reason", "stamp")
+        version = before.version + 1 if before else 1
+        touched = None
+        if diff is None:
+            self._write_slots(data, accepted, slots, None, listed)
+        else:
+            moved = materialize(diff.where(F.col("class") != C.KEPT).select("path"), "moved")
+            places = moved.select(slot_of(F.col("path"), slots).alias("slot")).distinct()
+            touched = [row.slot for row in places.collect()]
+            if touched:
+                self._add_state(version, settings, data, slots, None, None, 0, 0, 0)
+                stored = self._passages(before).where(F.col("slot").isin(touched))
+                kept = stored.join(moved, "path", "left_anti")
+                self._write_slots(data, kept.unionByName(accepted), slots, touched, listed)
+        progress("written", {"slots": slots if touched is None else len(touched)})
+
+        found = self._write_manifest(name, slots, fresh, None if diff is None else (before, new))
+        updated, skipped = counted["documents"], counted["skipped"]
+        removed = self._removed(before, name, slots)
+        self._add_state(
+            version + 1, settings, data, slots, name, name, found["documents"], found["passages"], found["tokens"]
+        )
+        done = Refresh(found["documents"], found["passages"], updated, skipped, removed)
+        progress("done", vars(done))
+        return done
+
+    def _write_manifest(self, name: str, slots: int, fresh: DataFrame, both: tuple[Row, DataFrame] | None) -> dict:
+        """Unchanged rows, bucket by bucket, and fresh ones; the writing jobs sum them up."""
+        folder = f"{self._folder}/manifests/{name}"
+        totals = {"documents": 0, "passages": 0, "tokens": 0}
+        sums = [F.coalesce(F.sum(column), F.lit(0)).alias(column) for column in ("passages", "tokens")]
+        if both is not None:
+            before, new = both
+            same = new.select("path", F.col("stamp").alias("listed"))
+            kept = self._manifest(before).join(same.hint("merge"), "path").where("stamp <=> listed").drop("listed")
+            seen = Observation()
+            stored = C.store_manifest(kept.observe(seen, F.count("*").alias("documents"), *sums), folder, slots, True)
+            if not stored.isEmpty():
+                totals = seen.get
+        seen, empty = Observation(), fresh.isEmpty()
+        C.store_manifest(fresh if empty else fresh.observe(seen, F.count("*").alias("documents"), *sums), folder, slots)
+        return totals if empty else {key: totals[key] + value for key, value in seen.get.items()}
+
+    def _removed(self, before: Row | None, name: str, slots: int) -> int:
+        """How many documents of the state before are not in the new manifest."""
+        if before is None:
+            return 0
+        new = C.open_manifest(self._spark, f"{self._folder}/manifests/{name}", MANIFEST, slots)
+        return C.removed_docs(self._manifest(before), new).count()
+
+    def _staged(self, read: DataFrame, slots: int) -> tuple[DataFrame, dict]:
+        """One pass over the source: passages with their token runs, and a row for each
+        refusal; the same job counts them."""
         refused = F.col("reason").isNotNull()
         body = F.when(~refused, F.col("text")).otherwise(F.lit(""))
         cut = P.chunk(read.withColumn("text", body), self._chunk_chars)
-        rows = L.term_frequencies(
-            cut, keep=["text", "digest", "source", "stamp", "reason"]
-        ).withColumn("text", F.when(~refused, F.col("text")))
-        self._store_passages(rows, name, slots)
-
-    def _store_passages(self, rows: DataFrame, name: str, slots: int) -> None:
-        """Passages in slots of their path, sorted, so a lookup reads few row groups."""
-        slotted = rows.withColumn("slot", bucket_of(F.col("path"), slots))
-        spread = slotted.hint("rebalance", F.col("slot"))
-        ordered = spread.sortWithinPartitions("slot", "path", "ordinal")
-        ordered.write.partitionBy("slot").parquet(f"{self._folder}/passages/segment={name}")
-
-    def _fresh_manifest(self, name: str) -> DataFrame:
-        rows = self._segment("passages", PASSAGES, name).where("reason IS NULL")
-        per_document = rows.groupBy("path").agg(
+        rows = L.term_frequencies(cut, keep=["text", "digest", "source", "stamp", "reason"])
+        rows = rows.withColumn("slot", slot_of(F.col("path"), slots))
+        first = F.col("ordinal") == 0
+        return materialize_counted(
+            rows, "staged",
+            documents=F.count_if(first & ~refused), skipped=F.count_if(first & refused),
+            passages=F.count_if(~refused),
+        )
+
+    def _fresh_documents(self, staged: DataFrame) -> DataFrame:
+        per_document = staged.where("reason IS NULL").groupBy("path").agg(
             F.max("stamp").alias("stamp"),
             F.max("source").alias("source"),
             F.count("*").alias("passages"),
             F.sum("dl").alias("tokens"),
             F.count_if(F.col("ordinal") == 0).alias("copies"),
         )
-        return per_document.select(
-            P.unique_path(F.col("path"), F.col("copies")).alias("path"), "stamp", "source",
-            F.lit(name).alias("segment"), "passages", "tokens",
-        )
+        checked = per_document.withColumn("path", P.unique_path(F.col("path"), F.col("copies"))).drop("copies")
+        return materialize(checked, "fresh")
 
-    def _write_postings(self, name: str, buckets: int) -> None:
-        """Postings sorted by term inside hash buckets of terms.
+    def _write_slots(self, data: str, passages: DataFrame, slots: int, touched: list[int] | None, documents: int) -> None:
+        """Write whole slots of the three tables, each from the one before.
 
-        Rebalancing lets the adaptive planner split the bucket of a very common
-        term over several tasks and merge small buckets.
+        A path's hash gives a place, and the place its slot, so that large slots are
+        written by several tasks and small ones by one.
         """
-        rows = self._segment("passages", PASSAGES, name).where("reason IS NULL")
-        entries = L.postings_of(rows).withColumn("bucket", bucket_of(F.col("term"), buckets))
-        spread = entries.hint("rebalance", F.col("bucket"))
-        ordered = spread.sortWithinPartitions("bucket", "term")
-        ordered.write.partitionBy("bucket").parquet(f"{self._folder}/postings/segment={name}")
-
-    def _write_terms(self, name: str, buckets: int, before: Row | None, gone: DataFrame | None) -> None:
-        """How often each term occurs in the new passages, less in the superseded ones."""
-        counted = self._segment("postings", POSTINGS, name).groupBy("term").agg(F.count("*").alias("df"))
-        if before is not None and gone is not None and not gone.isEmpty():
-            rows = self._part("passages", PASSAGES, before.segments, gone.select("path"))
-            rows = rows.where("reason IS NULL").join(gone, ["path", "segment"], "left_semi")
-            lost = L.postings_of(rows).groupBy("term").agg((-F.count("*")).alias("df"))
-            counted = counted.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df"))
-        placed = counted.withColumn("bucket", bucket_of(F.col("term"), buckets))
-        spread = placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term")
-        spread.write.partitionBy("bucket").parquet(f"{self._folder}/terms/segment={name}")
-
-    def _write_superseded(self, before: Row, gone: DataFrame, segment: str) -> str | None:
-        if before.superseded_dir is not None:
-            earlier = self._spark.read.parquet(f"{self._folder}/{before.superseded_dir}")
-            gone = earlier.unionByName(gone)
-        folder = f"superseded/{segment}"
-        gone.write.parquet(f"{self._folder}/{folder}")
-        empty = self._spark.read.parquet(f"{self._folder}/{folder}").isEmpty()
-        return None if empty else folder
+        per_slot = -(-max(documents, 1) // (slots * DOCUMENTS_PER_TASK))
+        places = slots * per_slot
+        numbers = list(range(slots)) if touched is None else touched
+        dealt = passages.repartitionById(places, slot_of(F.col("path"), places))
+        self._overwrite(data, "passages", dealt, PASSAGES, numbers, "path", "ordinal")
+
+        # A task reads passages of few slots, in their order: no shuffle.
+        rows = self._written(data, "passages", PASSAGES, numbers)
+        self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
+
+        entries = self._written(data, "postings", POSTINGS, numbers)
+        weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text"))
+        counted = entries.groupBy("slot", "term").agg(
+            F.count("*").alias("df"), F.max(weighted).cast("double").alias("most"), F.min("dl").alias("shortest")
+        )
+        spread = F.col("slot") + slots * F.pmod(F.xxhash64("term"), F.lit(per_slot))
+        self._overwrite(data, "terms", counted.repartitionById(places, spread.cast("int")), TERMS, numbers, "term")
+
+    def _written(self, data: str, kind: str, schema: str, numbers: list[int]) -> DataFrame:
+        rows = self._table(Row(data=data), kind, schema)
+        return rows.where(F.col("slot").isin(numbers))
+
+    def _overwrite(self, data: str, kind: str, rows: DataFrame, schema: str, numbers: list[int], *order: str) -> None:
+        """Replace the named slots; each gets a row without values, so that an empty one
+        is replaced too."""
+        names = [field.split()[0] for field in schema.split(", ")]
+        marks = self._spark.createDataFrame([(n,) for n in numbers], "slot int").coalesce(1)
+        both = rows.select(*names).unionByName(marks, allowMissingColumns=True)
+        ordered = both.sortWithinPartitions("slot", *order)
+        writer = ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("slot").parquet(f"{self._folder}/{data}/{kind}")

@@ -7,7 +7,7 @@ criteria and scorer), so a search reads only what was stored for its own queries
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import judging as J
@@ -60,20 +60,16 @@ class ScoreCache:
         spread = rows.hint("rebalance", F.col("namespace"))
         spread.write.partitionBy("namespace").mode("append").parquet(self._folder)
 
-    def usage(self, run: str, queries: DataFrame) -> Row:
-        """The tokens the scorer reported during one run, in and out."""
-        own = self._stored(queries).where(F.col("run") == run)
-        return own.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in J.TOKENS)).first()
-
     def compact(self, folder: str) -> ScoreCache:
-        """Write one row per key to another folder and return the cache there.
+        """Write one row per key, the newest as it was stored, to another folder.
 
-        The cache itself is left alone, so searches can go on until callers switch.
+        The cache itself is left alone, so searches can go on until callers switch to
+        the one returned.
         """
-        none = self._spark.createDataFrame([], "key string, score double")
-        kept = self.read()
-        merged = J.cache_merge(none, kept).join(kept.select("key", "namespace"), "key")
-        rows = merged.withColumns({name: F.lit(0).cast("long") for name in J.TOKENS})
-        compacted = ScoreCache(self._spark, folder)
-        compacted.append(rows, "compacted")
-        return compacted
+        rest = ("score", *J.TOKENS, "run")
+        last = F.max(F.struct("stored", *rest)).alias("last")
+        kept = self._stored().groupBy("namespace", "key").agg(last)
+        rows = kept.select("key", *(f"last.{name}" for name in rest), "last.stored", "namespace")
+        spread = rows.hint("rebalance", F.col("namespace"))
+        spread.write.partitionBy("namespace").mode("append").parquet(folder)
+        return ScoreCache(self._spark, folder)

@@ -7,6 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import changes as C
+from gleaner.operators import judging as J
+from gleaner.operators import lexical as L
 from gleaner.plans import search as S
 from gleaner.session import materialize, scratch
 from gleaner.sources.fields import DocumentSource
@@ -33,7 +36,8 @@ def shelf(spark):
 
 
 @pytest.fixture
-def index(spark, tmp_path):
+def index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gleaner.sources.index.FEWEST_SLOTS", 4)  # small corpora, few folders
     return Index(spark, str(tmp_path / "index"), 256)
 
 
@@ -70,16 +74,82 @@ def test_random_changes_leave_the_index_of_the_final_state(spark, index, shelf,
     wanted = spark.createDataFrame([(t,) for t in [*TOWNS, "absent"]], "term string")
     asked = S.one_query(spark, "oslo porto")
     results = S.search(fresh.corpus(), asked, 5, 20, single=True).results.collect()
-    for _ in range(2):  # as refreshed, and compacted
-        for part in ("passages", "postings"):
-            names = [n for n in getattr(fresh, part)().columns if n not in ("segment", "slot", "bucket")]
-            mine, theirs = (sorted(map(str, getattr(i, part)().select(*names).collect())) for i in (index, fresh))
-            assert mine == theirs
-        assert sorted(index.term_df(wanted).collect()) == sorted(fresh.term_df(wanted).collect())
-        assert sorted(S.search(index.corpus(), asked, 5, 20, single=True).results.collect()) == sorted(results)
-        index.compact()
-        index.vacuum()
-    assert len(index.commits().orderBy(F.desc("version")).first().segments) == 1
+    for part in ("passages", "postings"):
+        mine, theirs = (sorted(map(str, getattr(i, part)().collect())) for i in (index, fresh))
+        assert mine == theirs
+    assert sorted(index.term_df(wanted).collect()) == sorted(fresh.term_df(wanted).collect())
+    assert sorted(S.search(index.corpus(), asked, 5, 20, single=True).results.collect()) == sorted(results)
+    documents = [sorted(map(str, i.documents().drop("stamp").collect())) for i in (index, fresh)]
+    assert documents[0] == documents[1]
+
+
+def test_only_the_slots_of_changed_documents_are_written_again(index, shelf):
+    shelf.texts = town_words(6, 90)
+    index.refresh(shelf.source)
+
+    def files():
+        return {f.rsplit("/", 2)[-2]: f for f in sorted(index.passages().inputFiles())}
+
+    before = files()
+    shelf.texts["lyon/00x"] = "a new one"
+    index.refresh(shelf.source)
+    after = files()
+    assert len(before) == 4 and sum(before[slot] != after[slot] for slot in before) == 1
+
+
+def test_a_slot_that_loses_its_last_document_is_emptied(index, shelf):
+    shelf.texts = {f"town/{i}": f"oslo {i}" for i in range(5)}
+    index.refresh(shelf.source)
+    for left in (2, 0):
+        shelf.texts = dict(list(shelf.texts.items())[:left])
+        index.refresh(shelf.source)
+        assert index.passages().count() == index.documents().count() == left
+        assert index.postings(["oslo"]).count() == left
+
+
+def test_an_interrupted_refresh_is_repaired_by_the_next(index, shelf, monkeypatch):
+    shelf.texts = town_words(7, 40)
+    index.refresh(shelf.source)
+    shelf.texts = {**town_words(8, 40), "extra/0": "ghent"}
+    whole = Index._overwrite
+
+    def broken(self, data, kind, *rest):
+        if kind == "postings":
+            raise OSError("connection lost")
+        whole(self, data, kind, *rest)
+
+    monkeypatch.setattr(Index, "_overwrite", broken)
+    with pytest.raises(OSError, match="lost"):
+        index.refresh(shelf.source)
+    monkeypatch.undo()
+    del shelf.texts["extra/0"]  # what was written half is not listed any more
+    shelf.texts["extra/1"] = "ghent"
+    index.refresh(shelf.source)
+    assert {r.path for r in index.passages().collect()} == set(shelf.texts)
+    assert {r.path for r in index.postings(["ghent"]).collect()} <= set(shelf.texts)
+
+
+def test_manifests_are_compared_without_an_exchange(spark, tmp_path):
+    def stored(name, count):
+        rows = spark.range(count).selectExpr("cast(id as string) as path", "cast(id % 7 as string) as stamp")
+        return C.store_manifest(rows, str(tmp_path / name), 8)
+
+    diff = C.snapshot_diff(stored("one", 5000), stored("two", 6000))
+    assert "Exchange" not in plan(diff)
+    assert {r["class"]: r.n for r in diff.groupBy("class").agg(F.count("*").alias("n")).collect()} == {
+        "new": 1000, "unchanged": 5000,
+    }
+    again = C.open_manifest(spark, str(tmp_path / "one"), "path string, stamp string", 8)
+    assert again.count() == 5000
+
+
+def test_refresh_reports_its_progress(index, shelf):
+    shelf.texts = {"a": "oslo", "b": None}
+    told = []
+    done = index.refresh(shelf.source, progress=lambda step, counters: told.append((step, counters)))
+    assert [step for step, _ in told] == ["read", "written", "done"]
+    assert told[0][1] == {"documents": 1, "skipped": 1, "passages": 1}
+    assert told[-1][1] == vars(done)
 
 
 def test_refusals_leave_the_index_and_come_back(index, shelf):
@@ -132,12 +202,10 @@ def plan(found):
     return found._jdf.queryExecution().executedPlan().toString()
 
 
-def test_reads_are_pruned_by_slot_and_bucket(spark, index, shelf):
+def test_reads_are_pruned_by_slot_and_term(spark, index, shelf):
     shelf.texts = town_words(2)
     index.refresh(shelf.source)
-    postings = plan(index.postings(["oslo"]))
-    assert "bucket#" in postings.split("PartitionFilters: [")[1].split("]")[0]
-    assert "EqualTo(term,oslo)" in postings
+    assert "EqualTo(term,oslo)" in plan(index.postings(["oslo"]))
     offered = plan(index.corpus().candidates(S.one_query(spark, "oslo"), 5, single=True))
     assert "slot#" in offered.split("PartitionFilters: [")[1].split("]")[0]
     single = index.corpus().shortlist(S.one_query(spark, "oslo"), 5, single=True)
@@ -183,3 +251,72 @@ def test_scratch_deletes_its_own_tables_only(spark):
     assert outside.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(inside.inputFiles()[0]).count()
+
+
+def test_pruned_scores_are_those_of_all_postings(spark, index, shelf):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(80)]
+    chances = [1 / (1 + i) for i in range(80)]
+    shelf.texts = {f"{i:03}": " ".join(rng.choices(words, chances, k=rng.randrange(5, 300))) for i in range(300)}
+    index.refresh(shelf.source)
+    corpus = index.corpus()
+    asked = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 12)))) for i in range(30)] + [(99, "absent")]
+    terms = L.explode_terms(spark.createDataFrame(asked, "query_id long, query string"))
+    mean, count = F.lit(corpus.mean_length), F.lit(corpus.passage_count)
+    every = L.term_weights(L.term_df(corpus.postings(None), terms), terms, count)
+    scores = materialize(L.bm25_scores(L.term_matches(corpus.postings(None), every), mean), "scores")
+    for limit in (1, 5, 40, 500):
+        exact = L.lexical_shortlist(L.best_passage(scores), limit)
+        weights = materialize(L.bounded_weights(corpus.term_stats(terms), terms, count, mean), "weights")
+        pruned = L.pruned_scores(corpus._postings_of, weights, mean, limit)
+        found = L.lexical_shortlist(L.best_passage(pruned), limit)
+        assert sorted(found.collect()) == sorted(exact.collect())
+        if limit == 1:
+            assert pruned.count() < scores.count() / 2
+
+
+def test_stored_terms_give_the_judgements_of_the_text(spark, index):
+    rng = random.Random(11)
+    words = ["Harbour", "TIDE", "été", "oslo", "txt", "3", "sea-wall", "日本"]
+    rows = []
+    for i in range(40):
+        source = None if i % 2 else '{"table":"t"}'
+        rows.append((f"Oslo/tide {i}/harbour {i}.txt", " ".join(rng.choices(words, k=rng.randrange(120))), source))
+    frame_of = spark.createDataFrame(rows, "path string, text string, source string")
+    index.refresh(DocumentSource(frame_of, "mixed"))
+    table = spark.createDataFrame(
+        [(1, "tide txt oslo 3", None, None), (2, "harbour", "été tide tide", "日本 sea"), (3, "---", "---", "x")],
+        "query_id long, query string, yes string, no string",
+    )
+    corpus = index.corpus()
+    found = []
+    for prepare in (lambda passages: passages, J.TOKEN_OVERLAP.prepare):
+        offered = corpus.candidates(table, 1000, prepare=prepare)
+        assert ("judged" in offered.columns) != ("text" in offered.columns)
+        scored = S.score(S._judgements(offered, S.asked_of(table, J.TOKEN_OVERLAP)), J.TOKEN_OVERLAP)
+        found.append(sorted(map(tuple, scored.select("query_id", "path", "ordinal", "score").collect())))
+    assert found[0] == found[1] and len({row[3] for row in found[0]}) > 20
+
+
+def test_stored_terms_know_the_size_of_a_request(spark, index):
+    index.refresh(DocumentSource(frame(spark, {"a": '"' * 250}), "quotes"))
+    offered = index.corpus().candidates(S.one_query(spark, "q"), 0, single=True, prepare=J.TOKEN_OVERLAP.prepare)
+    for extra, fits in ((0, True), (1, False)):
+        # {"query": "...", "text": "a\n\n" and 250 escaped quotes}
+        room = 28_000 - len('{"query": "", "text": ""}') - len("a") - 4 - 500 + extra
+        asked = S.asked_of(S.one_query(spark, "q" * room), J.TOKEN_OVERLAP)
+        judged = S.score(S._judgements(offered, asked), J.TOKEN_OVERLAP)
+        if fits:
+            assert judged.count() == 1 and judged.select("score").first().score == 0
+        else:
+            with pytest.raises(Exception, match="exceed one request"):
+                judged.select("score").collect()
+
+
+def test_candidates_are_judged_in_many_tasks(spark, index, shelf):
+    shelf.texts = town_words(2)
+    index.refresh(shelf.source)
+    asked = spark.createDataFrame([(1, "oslo"), (2, "ghent porto")], "query_id long, query string")
+    asked = asked.selectExpr("query_id", "query", "cast(null as string) as yes", "cast(null as string) as no")
+    keys = index.corpus().candidates(asked, 20).select("query_id", "path", "ordinal")
+    assert "REPARTITION_BY_NUM" in plan(keys)
