@@ -10,20 +10,24 @@ Lines that fail are removed, and a document is kept if it passes the base rules
 lost at most ``max_lost`` of the characters in its words.
 
 A null text counts as having no words; it and an empty text fail the base rules.
-Very long texts are read whole.  Repeated rows get the same verdict, an empty table
-gives an empty one, and other columns pass through whatever their names.
+Very long texts are read whole.  Repeated rows get the same verdict, so ties cannot
+arise; an empty table gives an empty one, and other columns pass through whatever their
+names.
 """
 
 from __future__ import annotations
 
 import re
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import free_name
+from gleaner.llm.common import batch_parts
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -50,7 +54,7 @@ MAX_LOST = 0.4
 
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, text string, n_lines long, n_bad_lines long"
+    "base_failed boolean, kept boolean, n_lines long, n_bad_lines long"
 )
 
 
@@ -105,8 +109,8 @@ def bad_line(line: str, n_words: int) -> bool:
     return any(phrase in lowered for phrase in STOCK_PHRASES)
 
 
-def judge(text: str | None, max_lost: float = MAX_LOST) -> tuple:
-    """All of ``FIELDS`` for one text."""
+def judge(text: str | None, max_lost: float = MAX_LOST) -> tuple[tuple, list[str]]:
+    """All of ``FIELDS`` for one text, and its good lines."""
     text = text or ""
     words = words_of(text)
     word_chars = word_chars_of(text)
@@ -128,10 +132,8 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> tuple:
     repeated = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * len(words)
     kept = not failed and lost <= max_lost * word_chars
-    return (
-        len(words), word_chars, count_symbols(text), n_repeated, repeated,
-        failed, kept, "\n".join(good), n_lines, n_bad,
-    )
+    symbols = count_symbols(text)
+    return (len(words), word_chars, symbols, n_repeated, repeated, failed, kept, n_lines, n_bad), good
 
 
 def rules(max_lost: float = MAX_LOST):
@@ -140,17 +142,30 @@ def rules(max_lost: float = MAX_LOST):
 
     @F.pandas_udf(FIELDS)
     def verdict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(text, max_lost) for text in texts], columns=names)
+        return pd.DataFrame([judge(text, max_lost)[0] for text in texts], columns=names)
 
     # Nondeterministic for the planner, so that a filter on the verdict runs it only once.
     return verdict.asNondeterministic()
 
 
 def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """The kept documents, without their bad lines and with the same columns."""
-    verdict = free_name(docs, "verdict")
-    judged = docs.withColumn(verdict, rules(max_lost)(F.col(f"`{text}`")))
-    kept = judged.where(F.col(f"`{verdict}`.kept"))
-    return kept.withColumn(text, F.col(f"`{verdict}`.text")).select(
-        *(F.col(f"`{name}`") for name in docs.columns)
-    )
+    """The kept documents, without their bad lines and with the same columns.
+
+    A task holds the cleaned texts of a few megabytes of documents at a time.
+    """
+    place, kept = docs.columns.index(text), FIELDS.split(", ").index("kept boolean")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch_parts(batch, place):
+                rows, texts = [], []
+                for row, value in enumerate(part.column(place).to_pylist()):
+                    verdict, good = judge(value, max_lost)
+                    if verdict[kept]:
+                        rows.append(row)
+                        texts.append("\n".join(good))
+                columns = part.take(pa.array(rows, pa.int64())).columns
+                columns[place] = pa.array(texts, part.column(place).type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return docs.mapInArrow(cleaned, docs.schema)

@@ -23,7 +23,7 @@ def test_every_stage_works_on_all_its_predecessor_kept(spark):
 
     judged = {r.doc_id: quality_rules.judge(r.text) for r in docs.collect()}
     cleaned = {r.doc_id: r.text for r in frames[1].collect()}
-    assert cleaned == {doc_id: verdict[7] for doc_id, verdict in judged.items() if verdict[6]}
+    assert cleaned == {doc_id: "\n".join(good) for doc_id, (verdict, good) in judged.items() if verdict[6]}
 
     single = {r.doc_id for r in ngram_join.jaccard_components(frames[1]).collect() if r.doc_id == r.component_id}
     assert {r.doc_id for r in frames[2].collect()} == single

@@ -52,7 +52,7 @@ def test_line_rules(line, bad):
 
 
 def test_documents_are_cleaned_or_rejected(spark):
-    good = "\n".join(SENTENCE.replace("town", f"town{i}").replace("storm", f"storm{i}") for i in range(6))
+    good = "\n".join(f"Place{i} was seen by guest{i} on day{i} after rain{i} fell over hill{i} and lake{i}." for i in range(6))
     mixed = good + "\nHome | News | Sport | Weather."
     lost = "\n".join(f"menu{i} | item{i} | more{i}" for i in range(60)) + "\n" + good
     rows = [(1, good), (2, mixed), (3, lost), (4, SENTENCE), (5, None)]
@@ -60,6 +60,13 @@ def test_documents_are_cleaned_or_rejected(spark):
     assert {r.doc_id: r.text for r in Q.clean(frame).collect()} == {1: good, 2: good}
 
 
+def test_very_long_texts(spark):
+    lines = [f"Place{i} was seen by guest{i} on day{i} after rain{i} fell." for i in range(40_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:20_000], "menu | of | links", *lines[:5]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in Q.clean(frame).collect()} == {1: rows[0][1], 2: "\n".join(lines[:20_000])}
+
+
 def test_empty_tables_and_clashing_names(nothing, clashing, docs):
     assert Q.clean(nothing).collect() == []
     cleaned = Q.clean(clashing)
