@@ -1,10 +1,12 @@
 """Byte-level BPE: ranked merges folded by higher-order functions over distinct words.
 
-A task packs the documents of one Arrow batch into a chunk: its distinct words as
-arrays of byte ids, and for every document the places of its words.  Spark folds the
-merges over each distinct word once, looking pairs up in a literal rank map, and the
-chunk is unpacked into one row of ids per document.  There is no shuffle, and no task
-holds more than one chunk.  Decoding concatenates the binary pieces of the ids.
+A task packs documents of ``CHUNK_BYTES`` into a chunk: its distinct words as arrays of
+byte ids, and for every document the places of its words.  Texts are split into words a
+few megabytes at a time, before anything is copied per word.  Spark folds the merges over
+each distinct word once, looking pairs up in a literal rank map, and the chunk is unpacked
+into one row of ids per document, with their digest if asked for.  There is no shuffle,
+and no task holds more than one chunk.  Decoding concatenates the binary pieces of the ids.
+A rank file may have 65,536 pieces at most, as a pair of ids is one 32-bit number.
 
 Null texts count as empty and get an empty array; any other text, however long,
 round-trips byte for byte.  Repeated rows stay repeated, and an empty table gives an
@@ -21,21 +23,19 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import let
+from gleaner.llm.common import batch_parts, let
 
 BUCKETS = 8192
-CHUNK_BYTES = 32 << 20
-#: Java writes Unicode white space, which the pattern of the rank files means by \s, otherwise.
-JAVA_SPACES = ((r"[^\s", r"[^\p{IsWhite_Space}"), (r"\s", r"\p{IsWhite_Space}"), (r"\S", r"\P{IsWhite_Space}"))
-
-
+CHUNK_BYTES = 16 << 20
+#: Bytes of text split into words at a time.
+PART_BYTES = 2 << 20
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by rank, and the rank of every pair of pieces that join to a piece."""
@@ -50,6 +50,8 @@ def vocabulary(path: str) -> Vocabulary:
     """Read a rank file: one base64 piece and its rank on each line."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError(f"{path} has ids above 65,535")
     pieces = [b""] * (max(ranks.values()) + 1)
     pairs = []
     for piece, rank in ranks.items():
@@ -61,12 +63,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tuple(pieces), tuple(pairs), tuple(ranks[bytes([i])] for i in range(256)))
 
 
-def java_pattern(pattern: str) -> str:
-    for python, java in JAVA_SPACES:
-        pattern = pattern.replace(python, java)
-    return pattern
-
-
 def _bucket(left: int, right: int) -> int:
     return (left << 4 ^ right) & (BUCKETS - 1)
 
@@ -142,74 +138,98 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     )
 
 
-def _pack(byte_ids: np.ndarray):
-    """Arrow batches of rows with words -> chunks with each distinct word once."""
+class _Chunk:
+    """Documents as places of distinct words."""
+
+    def __init__(self):
+        self.kept, self.lengths, self.places = [], [], []
+        self.words: dict[bytes, int] = {}
+        self.bytes = 0
+
+    def add(self, kept: pa.Array, texts: pa.Array, split: regex.Pattern) -> None:
+        self.kept.append(kept)
+        known = self.words
+        for text in texts.to_pylist():
+            words = split.findall(text) if text else []
+            self.lengths.append(len(words))
+            self.places.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+
+    def row(self, byte_ids: np.ndarray) -> pa.RecordBatch:
+        spelled = [word.encode() for word in self.words]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        data = np.frombuffer(b"".join(spelled), np.uint8)
+        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[data]))
+        kept = pa.concat_arrays(self.kept)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
+                pa.array([np.array(self.lengths, "<i4").tobytes()]),
+                pa.array([np.concatenate(self.places).astype("<i4").tobytes()]),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+            ],
+            names=["kept", "lengths", "places", "words"],
+        )
 
-    def slices(words: pa.ListArray) -> Iterator[tuple[int, int]]:
-        lengths = pc.binary_length(words.flatten()).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[
-            np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
-        ]
-        start = 0
-        while start < len(words):
-            stop = int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, "right")) - 1
-            stop = min(max(stop, start + 1), len(words))
-            yield start, stop
-            start = stop
+
+def _pack(byte_ids: np.ndarray, pattern: str):
+    """Arrow batches of documents -> chunks with each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, chunk = regex.compile(pattern), _Chunk()
         for batch in batches:
-            all_words = batch.column("words")
-            for start, stop in slices(all_words) if batch.num_rows else ():
-                rows = batch.slice(start, stop - start)
-                words = rows.column("words")
-                coded = words.flatten().cast(pa.binary()).dictionary_encode()
-                distinct = coded.dictionary
-                sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                data = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8)
-                spelled = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[data]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("kept")),
-                        pa.array([words.value_lengths().to_numpy(zero_copy_only=False).astype("<i4").tobytes()]),
-                        pa.array([coded.indices.to_numpy().astype("<i4").tobytes()]),
-                        pa.ListArray.from_arrays(pa.array([0, len(spelled)], pa.int32()), spelled),
-                    ],
-                    names=["kept", "lengths", "places", "words"],
-                )
+            for part in batch_parts(batch, "text", min(PART_BYTES, CHUNK_BYTES)):
+                size = pc.sum(pc.binary_length(part["text"])).as_py() or 0
+                if chunk.kept and chunk.bytes + size > CHUNK_BYTES:
+                    yield chunk.row(byte_ids)
+                    chunk = _Chunk()
+                chunk.add(part["kept"], part["text"], split)
+                chunk.bytes += size
+        if chunk.kept:
+            yield chunk.row(byte_ids)
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(digest: bool):
     """Chunks with encoded distinct words -> one row of ids for each document."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            chunk = batch.slice(row, 1)
-            kept, words = chunk.column("kept").flatten(), chunk.column("words").flatten()
-            lengths = np.frombuffer(chunk.column("lengths")[0].as_buffer(), "<i4")
-            places = np.frombuffer(chunk.column("places")[0].as_buffer(), "<i4")
-            sizes = words.value_lengths().to_numpy(zero_copy_only=False)[places]
-            ids = words.take(pa.array(places)).flatten()
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            offsets = before[np.concatenate([[0], np.cumsum(lengths)])]
-            yield pa.RecordBatch.from_arrays(
-                [kept, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)],
-                names=["kept", "ids"],
-            )
-
-
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns but ``text``, and ``ids array<int>``: what the rank file makes of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk = batch.slice(row, 1)
+                kept, words = chunk.column("kept").flatten(), chunk.column("words").flatten()
+                lengths = np.frombuffer(chunk.column("lengths")[0].as_buffer(), "<i4")
+                places = np.frombuffer(chunk.column("places")[0].as_buffer(), "<i4")
+                sizes = words.value_lengths().to_numpy(zero_copy_only=False)[places]
+                ids = words.take(pa.array(places)).flatten()
+                before = np.concatenate([[0], np.cumsum(sizes)])
+                offsets = before[np.concatenate([[0], np.cumsum(lengths)])]
+                columns = [kept, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)]
+                if digest:
+                    packed = ids.to_numpy(zero_copy_only=False).astype("<u4")
+                    ends = zip(offsets[:-1], offsets[1:], strict=True)
+                    columns.append(pa.array([hashlib.sha256(packed[a:b].tobytes()).hexdigest() for a, b in ends], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["kept", "ids", "digest"][: len(columns)])
+
+    return run
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", digest: str | None = None
+) -> DataFrame:
+    """All columns but ``text``, and ``ids array<int>``: what the rank file makes of the text.
+
+    ``digest`` names a column for the SHA-256 of the ids as little-endian unsigned 32-bit
+    integers, in lower-case hex.
+    """
     others = [name for name in docs.columns if name != text]
-    if ids.lower() in {name.lower() for name in others}:
-        raise ValueError(f"The documents have a column {ids} already; name another")
-    words = F.regexp_extract_all(
-        F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0)
-    )
+    added = [name for name in (ids, digest) if name]
+    for name in added:
+        if name.lower() in {other.lower() for other in others}:
+            raise ValueError(f"The documents have a column {name} already; name another")
     kept = F.struct(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(others)), F.lit(0).alias("last"))
-    rows = docs.select(kept.alias("kept"), words.alias("words"))
+    rows = docs.select(kept.alias("kept"), F.col(f"`{text}`").alias("text"))
     byte_ids = np.array(vocabulary(path).byte_ids, np.int32)
     kept_type = rows.schema["kept"].dataType
     chunk = T.StructType(
@@ -220,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
-    chunks = rows.mapInArrow(_pack(byte_ids), chunk)
+    chunks = rows.mapInArrow(_pack(byte_ids, pattern), chunk)
     encoded = chunks.withColumn(
         "words",
         let(rank_map(path), lambda ranks: F.transform("words", lambda w: fold_merges(w, ranks))),
@@ -228,8 +248,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     result = T.StructType(
         [T.StructField("kept", kept_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     )
-    return encoded.mapInArrow(_unpack, result).select(
-        *(F.col(f"kept.c{i}").alias(name) for i, name in enumerate(others)), F.col("ids").alias(ids)
+    if digest:
+        result = result.add("digest", T.StringType())
+    return encoded.mapInArrow(_unpack(bool(digest)), result).select(
+        *(F.col(f"kept.c{i}").alias(name) for i, name in enumerate(others)),
+        *(F.col(found).alias(name) for found, name in zip(("ids", "digest"), added)),
     )
 
 
@@ -240,9 +263,3 @@ def decode(ids: Column, path: str) -> Column:
         written,
         lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")),
     )
-
-
-@F.pandas_udf(T.StringType())
-def ids_digest(ids: pd.Series) -> pd.Series:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, in lower-case hex."""
-    return ids.map(lambda row: hashlib.sha256(np.asarray(row, "<u4").tobytes()).hexdigest())

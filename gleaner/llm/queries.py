@@ -113,11 +113,11 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, digest="ids_sha256")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest("ids").alias("ids_sha256"),
+        "ids_sha256",
         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
     )
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import public_tokenizers
@@ -30,8 +31,8 @@ def encoded(frame, **options):
 def test_ids_are_those_of_the_library_and_decode_to_the_bytes(spark, docs, library):
     odd = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     frame = docs.union(odd)
-    found = encoded(frame.withColumn("copy", F.col("text"))).select(
-        "copy", "ids", bpe.decode(F.col("ids"), PATH).alias("bytes"), bpe.ids_digest("ids").alias("digest")
+    found = encoded(frame.withColumn("copy", F.col("text")), digest="digest").select(
+        "copy", "ids", bpe.decode(F.col("ids"), PATH).alias("bytes"), "digest"
     )
     rows = found.collect()
     assert len(rows) == frame.count()
@@ -62,6 +63,13 @@ def test_small_chunks_give_the_same(docs, monkeypatch):
     assert {r.doc_id: r.ids for r in encoded(docs).collect()} == whole
 
 
+def test_rank_files_with_too_many_pieces_are_refused(tmp_path):
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(b"%d" % i) + b" %d\n" % i for i in (0, 1 << 16)))
+    with pytest.raises(ValueError, match="65,535"):
+        bpe.vocabulary(str(path))
+
+
 def test_empty_tables_and_clashing_names(nothing, clashing):
     assert encoded(nothing).collect() == []
     assert set(encoded(clashing).columns) == {*clashing.columns, "ids"} - {"text"}
