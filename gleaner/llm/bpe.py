@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from gleaner.llm.common import batch_parts, let
 
 BUCKETS = 8192
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 32 << 20
 #: Bytes of text split into words at a time.
 PART_BYTES = 2 << 20
 @dataclass(frozen=True)
@@ -143,16 +143,20 @@ class _Chunk:
 
     def __init__(self):
         self.kept, self.lengths, self.places = [], [], []
-        self.words: dict[bytes, int] = {}
+        self.words: dict[str, int] = {}
         self.bytes = 0
 
     def add(self, kept: pa.Array, texts: pa.Array, split: regex.Pattern) -> None:
         self.kept.append(kept)
-        known = self.words
+        words: list[str] = []
         for text in texts.to_pylist():
-            words = split.findall(text) if text else []
-            self.lengths.append(len(words))
-            self.places.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            found = split.findall(text) if text else []
+            self.lengths.append(len(found))
+            words += found
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        known, distinct = self.words, coded.dictionary.to_pylist()
+        places = np.fromiter((known.setdefault(word, len(known)) for word in distinct), np.int32, len(distinct))
+        self.places.append(places[coded.indices.to_numpy()])
 
     def row(self, byte_ids: np.ndarray) -> pa.RecordBatch:
         spelled = [word.encode() for word in self.words]
