@@ -24,7 +24,7 @@ from gleaner.llm import (
     substring_dedup,
     toxicity_crf,
 )
-from gleaner.llm.common import read, remainder
+from gleaner.llm.common import read, remainder, small, stored
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 KEY = "surrogate-key"
@@ -71,8 +71,11 @@ def op9_toxicity_crf(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity of every document with its offending spans, learned from four fifths."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
-    train = labelled(spark, folder, "toxic", docs.where(~held_out))
-    model = toxicity_crf.fit(train, "text", "toxic", F.col("doc_id"))
+    labels = read(spark, folder, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.where(remainder("doc_id", 5) != 0)
+    chosen, shares = toxicity_crf.choose(labels, "toxic", F.col("doc_id"))
+    train = docs.join(small(stored(chosen, "toxic-labels")), "doc_id")
+    model = toxicity_crf.fit(train, "text", "toxic", F.col("doc_id"), shares=shares)
     found = docs.select("doc_id", held_out.alias("held_out"), toxicity_crf.predict(model, F.col("text")).alias("found"))
     return found.select(
         "doc_id",

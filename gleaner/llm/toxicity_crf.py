@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import in_parts
+from gleaner.llm.common import in_parts, stored
 from gleaner.llm.linear import logistic_fit, probability
 
 BITS = 18
@@ -69,8 +69,10 @@ def sentences(text: str | None) -> list[list[str]]:
     return [words for part in parts if (words := WORD.findall(part))]
 
 
-def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state of each token; sentences lie one after another.
+def messages(
+    emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight, forward and backward message of each token; sentences lie one after another.
 
     With two states a message is one ratio, so all sentences move a word at a time
     together, the longest first.
@@ -103,22 +105,38 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarra
         else:
             ratio = np.ones(active[0])
         backward[at] = ratio
+    return weight, forward, backward
+
+
+def marginals(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Probability of the toxic state of each token."""
+    _, forward, backward = messages(emissions, lengths, transitions)
     odds = forward * backward
     return odds / (1 + odds)
 
 
-def pair_counts(emissions: np.ndarray, toxic: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Expected share of each pair of states, approximated by neighbours' marginals."""
-    inner = np.ones(len(toxic), bool)
+def _inner(lengths: np.ndarray) -> np.ndarray:
+    """Places of the tokens that have a next one in their sentence."""
+    inner = np.ones(int(lengths.sum()), bool)
     inner[np.cumsum(lengths) - 1] = False
-    at = np.flatnonzero(inner)
-    left, right = np.stack([1 - toxic[at], toxic[at]]), np.stack([1 - toxic[at + 1], toxic[at + 1]])
+    return np.flatnonzero(inner)
+
+
+def pair_expectations(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Expected number of each pair of neighbouring states, from the same messages."""
+    weight, forward, backward = messages(emissions, lengths, transitions)
+    at = _inner(lengths)
+    left = np.stack([np.ones(len(at)), forward[at]])
+    right = np.stack([np.ones(len(at)), weight[at + 1] * backward[at + 1]])
     tied = np.exp(transitions)[:, :, None] * left[:, None] * right[None]
-    # Fit each pair's table to its two marginals, as iterative scaling does.
-    for _ in range(4):
-        tied *= (left / np.maximum(tied.sum(1), 1e-300))[:, None]
-        tied *= (right / np.maximum(tied.sum(0), 1e-300))[None]
-    return tied.sum(2)
+    return (tied / tied.sum((0, 1))).sum(2)
+
+
+def pair_counts(truth: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each pair of neighbouring states stands in the labels."""
+    at = _inner(lengths)
+    pairs = truth[at].astype(int) * 2 + truth[at + 1].astype(int)
+    return np.bincount(pairs, minlength=4).reshape(2, 2).astype(float)
 
 
 @dataclass
@@ -215,8 +233,7 @@ def train(rows: list[tuple[list[str], list[int]]], seed: int = 5) -> tuple[np.nd
             slope -= 1e-5 * weights
             square += slope * slope
             weights += 0.5 * slope / np.sqrt(square)
-            wanted = pair_counts(emissions, truth, lengths, np.zeros((2, 2)))
-            pairs = (wanted - pair_counts(emissions, toxic, lengths, transitions)) / len(chosen)
+            pairs = (pair_counts(truth, lengths) - pair_expectations(emissions, lengths, transitions)) / len(chosen)
             pairs -= 1e-3 * transitions
             square_pairs += pairs * pairs
             transitions += 0.1 * pairs / np.sqrt(square_pairs)
@@ -248,26 +265,48 @@ def toxic_units(labelled: DataFrame, text: str, label: str) -> set[str]:
     return {row.unit for row in sure.select("unit").toLocalIterator()}
 
 
-def fit(labelled: DataFrame, text: str, label: str, order: Column, max_rows: int = MAX_ROWS, max_sentences: int = MAX_SENTENCES) -> Model:
-    """Fit on rows with a label; ``order`` is what the choice of rows hashes.
+def choose(labels: DataFrame, label: str, order: Column, max_rows: int = MAX_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """Some rows of a table of labels, and the share of each label that they are.
 
-    The driver gets the toxic units and the chosen sentences, never the documents.
+    Each label gets up to about half of ``max_rows``, by the hash of ``order``; no text
+    is needed for that, so texts can be joined to the chosen rows alone.
     """
-    spark = labelled.sparkSession
-    labelled = labelled.where(F.col(label).isin(0, 1))
-    by_label = {row[label]: row["count"] for row in labelled.groupBy(label).count().collect()}
+    labels = labels.where(F.col(label).isin(0, 1))
+    by_label = {row[label]: row["count"] for row in labels.groupBy(label).count().collect()}
+    shares = {value: min(1.0, max_rows / 2 / count) for value, count in by_label.items()}
     place = F.pmod(F.xxhash64(order), F.lit(1 << 30))
-    sizes = {value: min(1.0, max_rows / 2 / count) for value, count in by_label.items()}
     wanted = F.lit(False)
-    for value, part in sizes.items():
-        wanted = wanted | ((F.col(label) == value) & (place < int(part * (1 << 30))))
-    chosen = labelled.where(wanted).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
+    for value, share in shares.items():
+        wanted = wanted | ((F.col(label) == value) & (place < int(share * (1 << 30))))
+    return labels.where(wanted), shares
+
+
+def fit(
+    labelled: DataFrame,
+    text: str,
+    label: str,
+    order: Column,
+    max_rows: int = MAX_ROWS,
+    max_sentences: int = MAX_SENTENCES,
+    shares: dict[int, float] | None = None,
+) -> Model:
+    """Fit on rows with a label; ``order`` is what the choice of rows hashes.
+
+    With ``shares`` the rows have been chosen already.  The chosen texts, a bounded
+    number, are stored once and read for each step.  The driver gets the toxic units and
+    the chosen sentences, never the documents.
+    """
+    spark = labelled.sparkSession
+    if shares is None:
+        labelled, shares = choose(labelled, label, order, max_rows)
+    chosen = stored(labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")), "toxic-sample")
+    by_label = {row.label: row["count"] for row in chosen.groupBy("label").count().collect()}
     blank = np.zeros(1 << BITS), np.zeros((2, 2))
     if len(by_label) < 2:
         share = (by_label.get(1, 0) + 1) / (sum(by_label.values()) + 2)
         return Model(*blank, np.array([0.0, 0.0, np.log(share / (1 - share))]))
     # Rarer classes are taken whole, so the shares of the sample differ from the table's.
-    shift = np.log(sizes[1] / sizes[0])
+    shift = np.log(shares[1] / shares[0])
     marks = spark.sparkContext.broadcast(toxic_units(chosen, "text", "label"))
 
     @F.pandas_udf("array<struct<words:array<string>,labels:array<int>,place:bigint>>")
@@ -282,6 +321,7 @@ def fit(labelled: DataFrame, text: str, label: str, order: Column, max_rows: int
         return pd.Series(rows, dtype=object)
 
     every = chosen.select(F.inline(tagged("text", "label"))).withColumn("toxic", F.array_max("labels"))
+    every = stored(every, "toxic-sentences")
     kinds = {row.toxic: row["count"] for row in every.groupBy("toxic").count().collect()}
     if 1 not in kinds:
         model = Model(*blank, np.zeros(3))

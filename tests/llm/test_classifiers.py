@@ -62,6 +62,30 @@ def test_marginals_match_enumeration():
         start += size
 
 
+def test_pair_expectations_match_enumeration():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        transitions, lengths = rng.normal(size=(2, 2)), np.array([1, 5, 2, 6])
+        emissions = 2 * rng.normal(size=lengths.sum())
+        expected, start = np.zeros((2, 2)), 0
+        for size in lengths:
+            own, weights, counts = emissions[start : start + size], [], []
+            for i in range(2**size):
+                path = [i >> k & 1 for k in range(size)]
+                pairs = list(zip(path, path[1:]))
+                score = sum(e for e, s in zip(own, path) if s) + sum(transitions[a, b] for a, b in pairs)
+                weights.append(np.exp(score))
+                counts.append(np.bincount([2 * a + b for a, b in pairs], minlength=4).reshape(2, 2))
+            expected += np.tensordot(np.array(weights) / sum(weights), np.array(counts), 1)
+            start += size
+        assert np.allclose(toxicity_crf.pair_expectations(emissions, lengths, transitions), expected)
+
+
+def test_pairs_of_labels_are_counted_within_sentences():
+    found = toxicity_crf.pair_counts(np.array([0, 1, 1, 1, 0, 1.0]), np.array([3, 1, 2]))
+    assert found.tolist() == [[0, 2], [0, 1]]
+
+
 def test_families_come_first():
     assert language_id.family_of("de-AT") == language_id.family_of("en") != language_id.family_of("fr")
     assert language_id.family_of("xx") == "only xx"
