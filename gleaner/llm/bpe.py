@@ -1,11 +1,13 @@
 """Byte-level BPE: ranked merges folded by higher-order functions over distinct words.
 
-A task packs documents of ``CHUNK_BYTES`` into a chunk: its distinct words as arrays of
-byte ids, and for every document the places of its words.  Texts are split into words a
-few megabytes at a time, before anything is copied per word.  Spark folds the merges over
-each distinct word once, looking pairs up in a literal rank map, and the chunk is unpacked
-into one row of ids per document, with their digest if asked for.  There is no shuffle,
-and no task holds more than one chunk.  Decoding concatenates the binary pieces of the ids.
+A task packs documents of ``CHUNK_BYTES`` into a chunk: the distinct words that no earlier
+chunk of the task had, as arrays of byte ids, and for every document the places of its
+words.  Texts are split into words a few megabytes at a time, before anything is copied per
+word.  Spark folds the merges over each of these words, looking pairs up in a literal rank
+map, and the chunk is unpacked into one row of ids per document, with their digest if asked
+for.  There is no shuffle; a task holds one chunk and the words it knows, about
+``KNOWN_WORDS`` of them, after which it starts anew.  A word of over ``LONG_BYTES`` bytes is
+merged by a heap of its pairs instead, with the same result.  Decoding concatenates the binary pieces of the ids.
 A rank file may have 65,536 pieces at most, as a pair of ids is one 32-bit number.
 
 Null texts count as empty and get an empty array; any other text, however long,
@@ -18,14 +20,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +38,17 @@ from pyspark.sql import types as T
 from gleaner.llm.common import batch_parts, let
 
 BUCKETS = 8192
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+#: A task starts its list of known words anew once it has so many.
+KNOWN_WORDS = 1 << 20
+#: Words of more bytes are merged by a heap of pairs, as the fold takes the square of their length.
+LONG_BYTES = 256
 #: Bytes of text split into words at a time.
 PART_BYTES = 2 << 20
+#: Above every rank: a pair that joins to no piece.
+NONE = 1 << 16
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces by rank, and the rank of every pair of pieces that join to a piece."""
@@ -93,57 +106,86 @@ def _rank(ranks: Column, left: Column, right: Column) -> Column:
     return F.element_at(F.get(ranks, place), F.shiftleft(left, 16).bitwiseOR(right))
 
 
+def _packed(rank: Column, piece: Column) -> Column:
+    """An id with the rank of its pair with the next id above it; ``NONE`` without one."""
+    return F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("long"), 16).bitwiseOR(piece)
+
+
+def _id(packed: Column) -> Column:
+    return packed.bitwiseAND(0xFFFF).cast("int")
+
+
 def _merge(state: Column, ranks: Column) -> Column:
-    """Join the leftmost pair of the lowest rank; the rank is the id of the joined piece."""
-    ids, pair_ranks = state["ids"], state["ranks"]
+    """Join the leftmost pair of the lowest rank; the rank is the id of the joined piece.
+
+    Equal ranks are equal pairs, so the least item is the lowest rank's, and its first
+    place is the leftmost pair.
+    """
 
     def joined(at: Column, new: Column) -> Column:
-        left = F.transform(
-            ids, lambda x, i: F.when(i == at, new).when(i == at + 1, F.lit(-1)).otherwise(x)
-        )
-        around = F.transform(
-            pair_ranks,
-            lambda x, i: F.when(i == at, F.lit(-1))
-            .when(i == at - 1, _rank(ranks, F.get(ids, at - 1), new))
-            .when(i == at + 1, _rank(ranks, new, F.get(ids, at + 2)))
-            .otherwise(x),
-        )
-        return F.struct(
-            F.array_remove(left, -1).alias("ids"), F.array_remove(around, -1).alias("ranks")
+        step = F.transform(
+            state,
+            lambda x, i: F.when((i > at + 1) | (i < at - 1), x)
+            .when(i == at, _packed(_rank(ranks, new, _id(F.get(state, at + 2))), new))
+            .when(i > at, F.lit(-1).cast("long"))
+            .otherwise(_packed(_rank(ranks, _id(x), new), _id(x))),
         )
+        return F.array_remove(step, F.lit(-1).cast("long"))
 
     return let(
-        F.array_min(pair_ranks),
+        F.array_min(state),
         lambda low: F.when(
-            low.isNotNull(),
-            let(F.array_position(pair_ranks, low).cast("int") - 1, lambda at: joined(at, low)),
+            low < NONE << 16,
+            let(F.array_position(state, low).cast("int") - 1, lambda at: joined(at, F.shiftright(low, 16).cast("int"))),
         ).otherwise(state),
     )
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of one word, given as the ids of its bytes."""
-    pair_ranks = F.transform(
-        F.sequence(F.lit(1), F.size(word) - 1),
-        lambda i: _rank(ranks, F.get(word, i - 1), F.get(word, i)),
-    )
-    start = F.struct(word.alias("ids"), pair_ranks.alias("ranks"))
-    return F.when(F.size(word) < 2, word).otherwise(
+    """The ids of one word, given as the ids of its bytes; ids below zero are merged already."""
+    start = F.transform(word, lambda x, i: _packed(_rank(ranks, x, F.get(word, i + 1)), x))
+    merged = F.transform(word, lambda x: -1 - x)
+    return F.when(F.size(word) < 1, word).when(F.get(word, F.lit(0)) < 0, merged).when(F.size(word) < 2, word).otherwise(
         F.aggregate(
             F.sequence(F.lit(2), F.size(word)),
             start,
             lambda state, _: _merge(state, ranks),
-            lambda state: state["ids"],
+            lambda state: F.transform(state, _id),
         )
     )
 
 
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word by a heap of its pairs, in time that stays near linear."""
+    ends = list(range(1, len(word) + 1))  # where the piece that starts at a place ends
+    before = list(range(-1, len(word) - 1))
+
+    def pair(start: int) -> int | None:
+        middle = ends[start]
+        return ranks.get(word[start : ends[middle]]) if middle < len(word) else None
+
+    heap = [(rank, start) for start in range(len(word)) if (rank := pair(start)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, start = heapq.heappop(heap)
+        if not ends[start] or pair(start) != rank:  # joined away, or its pair has changed
+            continue
+        middle = ends[start]
+        ends[start], ends[middle] = ends[middle], 0
+        if ends[start] < len(word):
+            before[ends[start]] = start
+        for place in (before[start], start):
+            if place >= 0 and (found := pair(place)) is not None:
+                heapq.heappush(heap, (found, place))
+    return [ranks[word[start:end]] for start, end in enumerate(ends) if end]
+
+
 class _Chunk:
-    """Documents as places of distinct words."""
+    """Documents as places of distinct words, of which ``known`` has those of earlier chunks."""
 
-    def __init__(self):
+    def __init__(self, known: dict[str, int]):
         self.kept, self.lengths, self.places = [], [], []
-        self.words: dict[str, int] = {}
+        self.known, self.before = known, len(known)
         self.bytes = 0
 
     def add(self, kept: pa.Array, texts: pa.Array, split: regex.Pattern) -> None:
@@ -154,66 +196,74 @@ class _Chunk:
             self.lengths.append(len(found))
             words += found
         coded = pa.array(words, pa.string()).dictionary_encode()
-        known, distinct = self.words, coded.dictionary.to_pylist()
+        known, distinct = self.known, coded.dictionary.to_pylist()
         places = np.fromiter((known.setdefault(word, len(known)) for word in distinct), np.int32, len(distinct))
         self.places.append(places[coded.indices.to_numpy()])
 
-    def row(self, byte_ids: np.ndarray) -> pa.RecordBatch:
-        spelled = [word.encode() for word in self.words]
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(byte_ids[data]))
+    def row(self, byte_ids: np.ndarray, ranks: Broadcast) -> pa.RecordBatch:
+        ids = []
+        for word in islice(self.known, self.before, None):
+            spelled = word.encode()
+            if len(spelled) <= LONG_BYTES:
+                ids.append(byte_ids[np.frombuffer(spelled, np.uint8)])
+            else:
+                ids.append(-1 - np.array(merge_long(spelled, ranks.value), np.int32))
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        items = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(items))
         kept = pa.concat_arrays(self.kept)
         return pa.RecordBatch.from_arrays(
             [
                 pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept),
                 pa.array([np.array(self.lengths, "<i4").tobytes()]),
                 pa.array([np.concatenate(self.places).astype("<i4").tobytes()]),
+                pa.array([self.before], pa.int32()),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
             ],
-            names=["kept", "lengths", "places", "words"],
+            names=["kept", "lengths", "places", "before", "words"],
         )
 
 
-def _pack(byte_ids: np.ndarray, pattern: str):
-    """Arrow batches of documents -> chunks with each distinct word once."""
+def _pack(byte_ids: np.ndarray, pattern: str, ranks: Broadcast):
+    """Arrow batches of documents -> chunks, each with the words new to its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chunk = regex.compile(pattern), _Chunk()
+        split, chunk = regex.compile(pattern), _Chunk({})
         for batch in batches:
             for part in batch_parts(batch, "text", min(PART_BYTES, CHUNK_BYTES)):
                 size = pc.sum(pc.binary_length(part["text"])).as_py() or 0
                 if chunk.kept and chunk.bytes + size > CHUNK_BYTES:
-                    yield chunk.row(byte_ids)
-                    chunk = _Chunk()
+                    yield chunk.row(byte_ids, ranks)
+                    chunk = _Chunk(chunk.known if len(chunk.known) < KNOWN_WORDS else {})
                 chunk.add(part["kept"], part["text"], split)
                 chunk.bytes += size
         if chunk.kept:
-            yield chunk.row(byte_ids)
+            yield chunk.row(byte_ids, ranks)
 
     return run
 
 
 def _unpack(digest: bool):
-    """Chunks with encoded distinct words -> one row of ids for each document."""
+    """Chunks with their new words encoded -> one row of ids for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for batch in batches:
             for row in range(batch.num_rows):
                 chunk = batch.slice(row, 1)
                 kept, words = chunk.column("kept").flatten(), chunk.column("words").flatten()
+                known = words = pa.concat_arrays([known, words]) if chunk.column("before")[0].as_py() else words
                 lengths = np.frombuffer(chunk.column("lengths")[0].as_buffer(), "<i4")
                 places = np.frombuffer(chunk.column("places")[0].as_buffer(), "<i4")
                 sizes = words.value_lengths().to_numpy(zero_copy_only=False)[places]
                 ids = words.take(pa.array(places)).flatten()
-                before = np.concatenate([[0], np.cumsum(sizes)])
-                offsets = before[np.concatenate([[0], np.cumsum(lengths)])]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
                 columns = [kept, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)]
                 if digest:
                     packed = ids.to_numpy(zero_copy_only=False).astype("<u4")
-                    ends = zip(offsets[:-1], offsets[1:], strict=True)
-                    columns.append(pa.array([hashlib.sha256(packed[a:b].tobytes()).hexdigest() for a, b in ends], pa.string()))
+                    spans = zip(offsets[:-1], offsets[1:], strict=True)
+                    columns.append(pa.array([hashlib.sha256(packed[a:b].tobytes()).hexdigest() for a, b in spans], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["kept", "ids", "digest"][: len(columns)])
 
     return run
@@ -241,10 +291,14 @@ def encode(
             T.StructField("kept", T.ArrayType(kept_type)),
             T.StructField("lengths", T.BinaryType()),
             T.StructField("places", T.BinaryType()),
+            T.StructField("before", T.IntegerType()),
             T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))),
         ]
     )
-    chunks = rows.mapInArrow(_pack(byte_ids, pattern), chunk)
+    ranks = docs.sparkSession.sparkContext.broadcast(
+        {piece: rank for rank, piece in enumerate(vocabulary(path).pieces) if piece}
+    )
+    chunks = rows.mapInArrow(_pack(byte_ids, pattern, ranks), chunk)
     encoded = chunks.withColumn(
         "words",
         let(rank_map(path), lambda ranks: F.transform("words", lambda w: fold_merges(w, ranks))),

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -61,6 +62,21 @@ def test_small_chunks_give_the_same(docs, monkeypatch):
     whole = {r.doc_id: r.ids for r in encoded(docs).collect()}
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 500)
     assert {r.doc_id: r.ids for r in encoded(docs).collect()} == whole
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    assert {r.doc_id: r.ids for r in encoded(docs.coalesce(1)).collect()} == whole
+
+
+def test_long_words_are_merged_by_pairs(spark, library):
+    """A word of 200,000 letters, and words around the length at which the heap takes over."""
+    letters = random.Random(3)
+    words = ["".join(letters.choices("abcdehinorst", k=n)) for n in (255, 256, 257, 5_000, 200_000)] + ["a" * 9_000]
+    ranks = {piece: rank for rank, piece in enumerate(bpe.vocabulary(PATH).pieces)}
+    for word in words:
+        assert bpe.merge_long(word.encode(), ranks) == library.encode_ordinary(word)
+    frame = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in encoded(frame).collect()} == {
+        i: library.encode_ordinary(word) for i, word in enumerate(words)
+    }
 
 
 def test_rank_files_with_too_many_pieces_are_refused(tmp_path):
