@@ -2,7 +2,8 @@
 
 A task packs documents of ``CHUNK_BYTES`` into a chunk: the distinct words that no earlier
 chunk of the task had, as arrays of byte ids, and for every document the places of its
-words.  Texts are split into words a few megabytes at a time, before anything is copied per
+words.  Texts are split into words a
+megabyte at a time, before anything is copied per
 word.  Spark folds the merges over each of these words, looking pairs up in a literal rank
 map, and the chunk is unpacked into one row of ids per document, with their digest if asked
 for.  There is no shuffle; a task holds one chunk and the words it knows, about
@@ -40,11 +41,11 @@ from gleaner.llm.common import batch_parts, let
 BUCKETS = 8192
 CHUNK_BYTES = 4 << 20
 #: A task starts its list of known words anew once it has so many.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 17
 #: Words of more bytes are merged by a heap of pairs, as the fold takes the square of their length.
 LONG_BYTES = 256
 #: Bytes of text split into words at a time.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Above every rank: a pair that joins to no piece.
 NONE = 1 << 16
 
@@ -201,16 +202,16 @@ class _Chunk:
         self.places.append(places[coded.indices.to_numpy()])
 
     def row(self, byte_ids: np.ndarray, ranks: Broadcast) -> pa.RecordBatch:
-        ids = []
-        for word in islice(self.known, self.before, None):
-            spelled = word.encode()
-            if len(spelled) <= LONG_BYTES:
-                ids.append(byte_ids[np.frombuffer(spelled, np.uint8)])
-            else:
-                ids.append(-1 - np.array(merge_long(spelled, ranks.value), np.int32))
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        items = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(items))
+        spelled = [word.encode() for word in islice(self.known, self.before, None)]
+        long = {i: merge_long(word, ranks.value) for i, word in enumerate(spelled) if len(word) > LONG_BYTES}
+        for i, ids in long.items():
+            spelled[i] = bytes(len(ids))
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        items = byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+        for i, ids in long.items():
+            items[offsets[i] : offsets[i + 1]] = -1 - np.array(ids, np.int32)
+        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))
         kept = pa.concat_arrays(self.kept)
         return pa.RecordBatch.from_arrays(
             [
