@@ -2,13 +2,12 @@
 
 A task packs documents of ``CHUNK_BYTES`` into a chunk: the distinct words that no earlier
 chunk of the task had, as arrays of byte ids, and for every document the places of its
-words.  Texts are split into words a
-megabyte at a time, before anything is copied per
-word.  Spark folds the merges over each of these words, looking pairs up in a literal rank
-map, and the chunk is unpacked into one row of ids per document, with their digest if asked
-for.  There is no shuffle; a task holds one chunk and the words it knows, about
-``KNOWN_WORDS`` of them, after which it starts anew.  A word of over ``LONG_BYTES`` bytes is
-merged by a heap of its pairs instead, with the same result.  Decoding concatenates the binary pieces of the ids.
+words.  Texts are split into words a megabyte at a time, before anything is copied per word.
+Spark folds the merges over each of these words, looking pairs up in a literal rank map, and
+the chunk is unpacked into one row of ids per document, with their digest if asked for.
+There is no shuffle; a task holds one chunk and the words it knows, about ``KNOWN_WORDS`` of
+them, after which it starts anew.  A word of over ``LONG_BYTES`` bytes is merged by a heap of
+its pairs instead, with the same result.  Decoding concatenates the binary pieces of the ids.
 A rank file may have 65,536 pieces at most, as a pair of ids is one 32-bit number.
 
 Null texts count as empty and get an empty array; any other text, however long,
@@ -25,7 +24,6 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +39,7 @@ from gleaner.llm.common import batch_parts, let
 BUCKETS = 8192
 CHUNK_BYTES = 4 << 20
 #: A task starts its list of known words anew once it has so many.
-KNOWN_WORDS = 1 << 17
+KNOWN_WORDS = 1 << 19
 #: Words of more bytes are merged by a heap of pairs, as the fold takes the square of their length.
 LONG_BYTES = 256
 #: Bytes of text split into words at a time.
@@ -123,12 +121,13 @@ def _merge(state: Column, ranks: Column) -> Column:
     place is the leftmost pair.
     """
 
-    def joined(at: Column, new: Column) -> Column:
+    def joined(after: Column, new: Column) -> Column:
         step = F.transform(
             state,
-            lambda x, i: F.when((i > at + 1) | (i < at - 1), x)
-            .when(i == at, _packed(_rank(ranks, new, _id(F.get(state, at + 2))), new))
-            .when(i > at, F.lit(-1).cast("long"))
+            lambda x, i: F.when(i > after, x)
+            .when(i < after - 2, x)
+            .when(i == after, F.lit(-1).cast("long"))
+            .when(i == after - 1, _packed(_rank(ranks, new, _id(F.get(state, after + 1))), new))
             .otherwise(_packed(_rank(ranks, _id(x), new), _id(x))),
         )
         return F.array_remove(step, F.lit(-1).cast("long"))
@@ -137,7 +136,8 @@ def _merge(state: Column, ranks: Column) -> Column:
         F.array_min(state),
         lambda low: F.when(
             low < NONE << 16,
-            let(F.array_position(state, low).cast("int") - 1, lambda at: joined(at, F.shiftright(low, 16).cast("int"))),
+            # Counted from one, so it is the place of the pair's second id counted from zero.
+            let(F.array_position(state, low).cast("int"), lambda at: joined(at, F.shiftright(low, 16).cast("int"))),
         ).otherwise(state),
     )
 
@@ -184,7 +184,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Chunk:
     """Documents as places of distinct words, of which ``known`` has those of earlier chunks."""
 
-    def __init__(self, known: dict[str, int]):
+    def __init__(self, known: pa.StringArray):
         self.kept, self.lengths, self.places = [], [], []
         self.known, self.before = known, len(known)
         self.bytes = 0
@@ -197,21 +197,30 @@ class _Chunk:
             self.lengths.append(len(found))
             words += found
         coded = pa.array(words, pa.string()).dictionary_encode()
-        known, distinct = self.known, coded.dictionary.to_pylist()
-        places = np.fromiter((known.setdefault(word, len(known)) for word in distinct), np.int32, len(distinct))
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = found.is_null()
+        places = found.fill_null(0).to_numpy().copy()
+        places[fresh.to_numpy(zero_copy_only=False)] = np.arange(found.null_count) + len(self.known)
+        self.known = pa.concat_arrays([self.known, coded.dictionary.filter(fresh)])
         self.places.append(places[coded.indices.to_numpy()])
 
-    def row(self, byte_ids: np.ndarray, ranks: Broadcast) -> pa.RecordBatch:
-        spelled = [word.encode() for word in islice(self.known, self.before, None)]
-        long = {i: merge_long(word, ranks.value) for i, word in enumerate(spelled) if len(word) > LONG_BYTES}
-        for i, ids in long.items():
-            spelled[i] = bytes(len(ids))
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    def _new_words(self, byte_ids: np.ndarray, ranks: Broadcast) -> pa.ListArray:
+        """The ids of the bytes of each new word; a long one is merged, with ids below zero."""
+        fresh = self.known.slice(self.before)
+        sizes = pc.binary_length(fresh).to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        spelled = b"".join(fresh.cast(pa.binary()).to_pylist())
+        long = np.flatnonzero(sizes > LONG_BYTES)
+        parts = np.split(byte_ids[np.frombuffer(spelled, np.uint8)], np.stack([ends[long] - sizes[long], ends[long]], 1).ravel())
+        for at, i in enumerate(long):
+            merged = merge_long(spelled[ends[i] - sizes[i] : ends[i]], ranks.value)
+            parts[2 * at + 1] = -1 - np.array(merged, np.int32)
+            sizes[i] = len(merged)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        items = byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
-        for i, ids in long.items():
-            items[offsets[i] : offsets[i + 1]] = -1 - np.array(ids, np.int32)
-        words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(items))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+    def row(self, byte_ids: np.ndarray, ranks: Broadcast) -> pa.RecordBatch:
+        words = self._new_words(byte_ids, ranks)
         kept = pa.concat_arrays(self.kept)
         return pa.RecordBatch.from_arrays(
             [
@@ -229,13 +238,13 @@ def _pack(byte_ids: np.ndarray, pattern: str, ranks: Broadcast):
     """Arrow batches of documents -> chunks, each with the words new to its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, chunk = regex.compile(pattern), _Chunk({})
+        split, chunk = regex.compile(pattern), _Chunk(pa.array([], pa.string()))
         for batch in batches:
             for part in batch_parts(batch, "text", min(PART_BYTES, CHUNK_BYTES)):
                 size = pc.sum(pc.binary_length(part["text"])).as_py() or 0
                 if chunk.kept and chunk.bytes + size > CHUNK_BYTES:
                     yield chunk.row(byte_ids, ranks)
-                    chunk = _Chunk(chunk.known if len(chunk.known) < KNOWN_WORDS else {})
+                    chunk = _Chunk(chunk.known if len(chunk.known) < KNOWN_WORDS else chunk.known[:0])
                 chunk.add(part["kept"], part["text"], split)
                 chunk.bytes += size
         if chunk.kept:
