@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs as arrow_fs
@@ -21,6 +22,9 @@ from gleaner.session import materialize
 
 FileSystemFactory = Callable[[], arrow_fs.FileSystem]
 ENTRY = "full string, is_dir boolean, length long, modified long"
+ENTRY_NAMES = ["full", "is_dir", "length", "modified"]
+NAMES_PER_PAGE = 10_000
+FILES_PER_TASK = 20_000
 READ_BYTES_PER_TASK = 128 << 20
 READ_BYTES_PER_BATCH = 64 << 20
 BOM = "EFBBBF"
@@ -33,32 +37,65 @@ def _resolve(root: str, filesystem: FileSystemFactory | None) -> tuple[FileSyste
     return (lambda: arrow_fs.FileSystem.from_uri(root)[0]), base.rstrip("/")
 
 
+def _named(store: arrow_fs.FileSystem, folder: str) -> Iterator[tuple]:
+    """Visible directories and regular files of one directory, as they are met.
+
+    A local directory is streamed and gives names and kinds only; other systems send
+    sizes and times along with the names.
+    """
+    if isinstance(store, arrow_fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.name.startswith(".") or entry.is_symlink():
+                    continue
+                is_dir = entry.is_dir(follow_symlinks=False)
+                if is_dir or entry.is_file(follow_symlinks=False):
+                    yield entry.path, is_dir, None, None
+        return
+    for entry in store.get_file_info(arrow_fs.FileSelector(folder)):
+        is_dir = entry.type == arrow_fs.FileType.Directory
+        if not entry.base_name.startswith(".") and (is_dir or entry.type == arrow_fs.FileType.File):
+            yield entry.path, is_dir, entry.size or 0, entry.mtime_ns or 0
+
+
+def _with_sizes(names: DataFrame, open_fs: FileSystemFactory) -> DataFrame:
+    """Sizes and times of named files, each task asking for one range of names.
+
+    So the files of one large directory are dealt over many tasks, and neighbours in it
+    are asked for together.  A file that is gone by then is left out.
+    """
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = open_fs()
+        for batch in batches:
+            infos = store.get_file_info(batch["full"].tolist())
+            rows = [(i.path, False, i.size or 0, i.mtime_ns or 0) for i in infos if i.type == arrow_fs.FileType.File]
+            yield pd.DataFrame(rows, columns=ENTRY_NAMES)
+
+    tasks = max(names.sparkSession.sparkContext.defaultParallelism, -(-names.count() // FILES_PER_TASK))
+    return names.select("full").repartitionByRange(tasks, "full").mapInPandas(asked, ENTRY)
+
+
 def list_files(
     spark: SparkSession, root: str, filesystem: FileSystemFactory | None = None
 ) -> DataFrame:
     """``path, full, length, modified`` of every regular, visible file under root.
 
     Each round lists one level of directories in parallel, so the driver loops
-    over the depth of the tree and never sees an entry.  A directory that cannot
-    be read fails the listing instead of making its documents look deleted.
+    over the depth of the tree and never sees an entry.  Names leave a task in pages;
+    where sizes do not come with them, they are asked for by ranges of names afterwards.
+    A directory that cannot be read fails the listing instead of making its documents
+    look deleted.
     """
     open_fs, base = _resolve(root, filesystem)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store = open_fs()
-        local = isinstance(store, arrow_fs.LocalFileSystem)
         for batch in batches:
             for folder in batch["full"]:
-                rows = []
-                for entry in store.get_file_info(arrow_fs.FileSelector(folder)):
-                    if entry.base_name.startswith("."):
-                        continue
-                    if local and os.path.islink(entry.path):
-                        continue
-                    is_dir = entry.type == arrow_fs.FileType.Directory
-                    if is_dir or entry.type == arrow_fs.FileType.File:
-                        rows.append((entry.path, is_dir, entry.size or 0, entry.mtime_ns or 0))
-                yield pd.DataFrame(rows, columns=["full", "is_dir", "length", "modified"])
+                found = _named(store, folder)
+                while rows := list(islice(found, NAMES_PER_PAGE)):
+                    yield pd.DataFrame(rows, columns=ENTRY_NAMES)
 
     folders = spark.createDataFrame([(base,)], "full string")
     levels = []
@@ -70,7 +107,9 @@ def list_files(
             break
         folders = folders.repartition(spark.sparkContext.defaultParallelism, "full")
     found = reduce(DataFrame.unionByName, levels)
-    relative = F.substring("full", F.lit(len(base) + 2), F.length("full"))
+    if isinstance(open_fs(), arrow_fs.LocalFileSystem):
+        found = materialize(_with_sizes(found, open_fs), "listing")
+    relative = F.substring("full", F.lit(len(base) + 2 if base else 1), F.length("full"))
     return found.select(relative.alias("path"), "full", "length", "modified")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyarrow import fs as arrow_fs
+from pyspark.sql import functions as F
 
 from gleaner.plans import search as S
 from gleaner.sources import files
@@ -99,6 +101,37 @@ def test_a_late_passage_of_a_file_is_found_and_shown(spark, index, tree):
     assert found.exhaustive and row.path == "shelf/ledger" and row.passage > 0 and row.text == body
 
 
+def test_a_large_directory_is_dealt_over_tasks_by_name(spark, tree):
+    for i in range(100_000):
+        os.close(os.open(tree / "shelf" / f"{i:06}", os.O_CREAT | os.O_WRONLY))
+    (tree / "shelf" / "box" / "last").write_text("12345")
+    listing = files.FileSource(spark, str(tree)).listing()
+    parts = listing.groupBy(F.input_file_name().alias("part")).agg(
+        F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high")
+    )
+    parts = parts.orderBy("low").collect()
+    assert sum(p.n for p in parts) == 100_001 and len(parts) > 4
+    assert max(p.n for p in parts) < 2 * files.FILES_PER_TASK
+    assert all(before.high < after.low for before, after in zip(parts, parts[1:]))
+    assert [(r.path, r.length) for r in listing.where("length > 0").collect()] == [("shelf/box/last", 5)]
+
+
+def test_a_file_that_goes_during_the_listing_is_left_out(spark, tree):
+    (tree / "stays").write_text("x")
+    names = spark.createDataFrame([(str(tree / "stays"),), (str(tree / "gone"),)], "full string")
+    found = files._with_sizes(names, files.arrow_fs.LocalFileSystem).collect()
+    assert [(r.full, r.length) for r in found] == [(str(tree / "stays"), 1)]
+
+
+def test_other_file_systems_send_sizes_with_the_names(spark, tree):
+    for name in ("_notes", "shelf/a", "shelf/.draft", "shelf/box/b"):
+        (tree / name).write_text(name)
+    root = str(tree)
+    source = files.FileSource(spark, "", lambda: arrow_fs.SubTreeFileSystem(root, arrow_fs.LocalFileSystem()))
+    found = {r.path: r.length for r in source.listing().collect()}
+    assert found == {"_notes": 6, "shelf/a": 7, "shelf/box/b": 11}
+
+
 def test_a_missing_root_fails(spark, tmp_path):
     with pytest.raises(Exception, match="absent"):
         files.FileSource(spark, str(tmp_path / "absent")).listing()
