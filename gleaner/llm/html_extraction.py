@@ -3,8 +3,8 @@
 Each page scores its containers by the text of the paragraphs in them, less that of
 links, and votes on generalised paths of tags and classes.  Spark sums the votes for
 each host and path, and every page is extracted again from the containers on the path
-that its host ranks highest among those the page has.  A page without a host, or with
-none of the ranked paths, uses its own best container.
+with most of its host's votes among all those the page has.  A page without a host uses
+its own best container.
 
 Left out wherever they occur: head, scripts, styles, comments, forms, navigation,
 asides, footers, page headers, and elements whose class, id or role names a menu, an
@@ -24,11 +24,11 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import free_name
+from gleaner.llm.common import free_name, small, stored
 
 #: How elements are classed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,7 +64,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 OUTSIDE_BODY = frozenset("html head body title meta link base script style noscript".split())
 LEAST_TEXT = 20
-RANKED = 50
+#: The paths of so many distinct pages or templates may be broadcast.
+BROADCAST_PAGES = 100_000
 
 
 @dataclass
@@ -214,11 +215,10 @@ class Page(HTMLParser):
                 at = element.parent
         return found
 
-    def text(self, ranked: list[str]) -> str:
-        """The blocks in the containers on the first ranked path that the page has."""
-        own = self.scores()
-        chosen = next((path for path in ranked if own.get(path, 0) > 0), None)
+    def text(self, chosen: str | None) -> str:
+        """The blocks in the containers on a path, or in the best one without a path."""
         if chosen is None:
+            own = self.scores()
             if not own:
                 return ""
             chosen = min(own, key=lambda path: (-own[path], path))
@@ -247,7 +247,7 @@ def _votes_udf():
         for html in pages:
             found = _parse(html).scores()
             top = max(found.values(), default=0)
-            rows.append([(path, round(score / top, 6)) for path, score in found.items()] if top else [])
+            rows.append([(path, round(score / top, 6)) for path, score in found.items() if score > 0])
         return pd.Series(rows, dtype=object)
 
     return votes
@@ -255,28 +255,51 @@ def _votes_udf():
 
 def _text_udf():
     @F.pandas_udf(T.StringType())
-    def extract(pages: pd.Series, ranked: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_parse(html).text(list(paths) if paths is not None else []) for html, paths in zip(pages, ranked, strict=True)],
-            dtype=object,
-        )
+    def extract(pages: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([_parse(html).text(path) for html, path in zip(pages, paths, strict=True)], dtype=object)
 
     return extract
 
 
-def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``host, ranked``: the best paths of each host, by the sum of its pages' votes."""
-    votes = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.inline(_votes_udf()(F.col(f"`{html}`")))).where("host != ''")
-    by_path = votes.groupBy("host", "path").agg(F.sum(F.col("vote").cast("decimal(28,6)")).alias("votes"))
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    first = by_path.withColumn("place", F.row_number().over(best)).where(F.col("place") <= RANKED)
-    order = F.sort_array(F.collect_list(F.struct("place", "path")))
-    return first.groupBy("host").agg(order["path"].alias("ranked"))
+def page_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """``host, html_key, html_key2, path``: for each distinct page of a host the path that
+    most of the host's votes go to, among all paths that the page itself has.
+
+    Pages with the same paths are one template: votes meet templates, not pages.
+    """
+    page = F.col(f"`{html}`")
+    scored = pages.select(
+        host_of(F.col(f"`{url}`")).alias("host"),
+        F.xxhash64(page).alias("html_key"), F.xxhash64(page, F.lit(1)).alias("html_key2"),
+        _votes_udf()(page).alias("found"),
+    )
+    scored = scored.where("host != '' AND size(found) > 0").withColumn("paths", F.col("found.path"))
+    scored = scored.withColumns({"template": F.xxhash64("paths"), "template2": F.xxhash64("paths", F.lit(1))})
+    scored = stored(scored, "page-votes")
+    votes = scored.select("host", F.inline("found")).groupBy("host", "path").agg(
+        F.sum(F.col("vote").cast("decimal(28,6)")).alias("votes")
+    )
+    template = ["host", "template", "template2"]
+    templates = scored.groupBy(*template).agg(F.first("paths").alias("paths"))
+    best = (
+        templates.select(*template, F.explode("paths").alias("path"))
+        .join(votes, ["host", "path"])
+        .groupBy(*template)
+        .agg(F.min(F.struct((-F.col("votes")).alias("less"), "path"))["path"].alias("path"))
+    )
+    own = scored.select(*template, "html_key", "html_key2").distinct()
+    best = stored(best, "template-paths")
+    return own.join(small(best, limit=BROADCAST_PAGES), template).select("host", "html_key", "html_key2", "path")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", name: str = "text") -> DataFrame:
     """All rows and columns, and the main text in a column ``name``."""
-    host, ranked = free_name(pages, "host"), free_name(pages, "ranked")
-    paths = host_paths(pages, html, url).withColumnsRenamed({"host": host, "ranked": ranked})
-    joined = pages.withColumn(host, host_of(F.col(f"`{url}`"))).join(paths, host, "left")
-    return joined.withColumn(name, _text_udf()(F.col(f"`{html}`"), F.col(f"`{ranked}`"))).drop(host, ranked)
+    page, path = F.col(f"`{html}`"), free_name(pages, "path")
+    keys = {
+        free_name(pages, "host"): host_of(F.col(f"`{url}`")),
+        free_name(pages, "html_key"): F.xxhash64(page),
+        free_name(pages, "html_key2"): F.xxhash64(page, F.lit(1)),
+    }
+    found = stored(page_paths(pages, html, url), "paths-of-pages").toDF(*keys, path)
+    joined = pages.withColumns(keys).join(small(found, limit=BROADCAST_PAGES), list(keys), "left")
+    return joined.withColumn(name, _text_udf()(page, F.col(f"`{path}`"))).select(*(f"`{c}`" for c in pages.columns if c != name), f"`{name}`")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,33 @@ def test_the_host_outvotes_a_single_page(spark):
     assert found[10].startswith("Wall text.")
 
 
+def test_every_path_of_a_host_counts(spark):
+    """80 sections, each with its own path: the least voted one still decides for its pages."""
+    def page(section, story, wall):
+        return f"<body class='{section}'><div class='{section}'><p>{story}</p></div><div class='wall-{section}'><p>{wall}</p></div></body>"
+
+    sections = ["s" + chr(97 + n // 26) + chr(97 + n % 26) for n in range(80)]
+    rows = [(n, "http://h/", page(s, "Story text. " * 20, "few words only here")) for s in sections for n in range(3)]
+    rows += [(100 + n, "http://h/", page(s, f"The short story of {s} itself.", "Wall text. " * 30)) for n, s in enumerate(sections)]
+    found = extracted(spark, rows)
+    assert [found[100 + n] for n in range(80)] == [f"The short story of {s} itself." for s in sections]
+
+
+def test_paths_equal_those_of_brute_force(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("host", H.host_of(F.col("url"))).collect()
+    votes, scores = Counter(), []
+    for row in pages:
+        own = {path: score for path, score in H.Page(row.html or "").scores().items() if score > 0}
+        scores.append(own)
+        for path, score in own.items():
+            votes[row.host, path] += round(score / max(own.values()), 6)
+    frame = spark.createDataFrame([(i, r.url, r.html) for i, r in enumerate(pages)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in H.extract(frame).collect()}
+    for i, (row, own) in enumerate(zip(pages, scores)):
+        best = min(own, key=lambda path: (-round(votes[row.host, path], 6), path)) if own and row.host else None
+        assert found[i] == H.Page(row.html or "").text(best)
+
+
 def test_broken_and_empty_pages(spark):
     deep = "<div>" * 3000 + "<p>Deep inside there is one paragraph.</p>"
     rows = [(1, "http://a/", None), (2, "http://a/", ""), (3, "http://a/", "<nav>only a menu</nav>"),
@@ -68,7 +96,7 @@ def test_hosts(spark, url, host):
 def test_empty_tables_repeated_rows_and_clashing_names(spark):
     row = (1, "http://h/", PAGE.format(n=1))
     frame = spark.createDataFrame([row, row], "page_id long, url string, html string")
-    names = {name: F.lit(name) for name in ("host", "ranked", "path", "votes")}
+    names = {name: F.lit(name) for name in ("host", "html_key", "path", "votes")}
     found = H.extract(frame.withColumns(names))
     assert found.columns == [*frame.columns, *names, "text"]
     assert [r.text for r in found.collect()] == [expected(1)] * 2
