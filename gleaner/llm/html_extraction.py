@@ -273,9 +273,9 @@ def page_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
         F.xxhash64(page).alias("html_key"), F.xxhash64(page, F.lit(1)).alias("html_key2"),
         _votes_udf()(page).alias("found"),
     )
-    scored = scored.where("host != '' AND size(found) > 0").withColumn("paths", F.col("found.path"))
+    # Pages are parsed once, whatever follows asks of the votes.
+    scored = stored(scored, "page-votes").where("host != '' AND size(found) > 0").withColumn("paths", F.col("found.path"))
     scored = scored.withColumns({"template": F.xxhash64("paths"), "template2": F.xxhash64("paths", F.lit(1))})
-    scored = stored(scored, "page-votes")
     votes = scored.select("host", F.inline("found")).groupBy("host", "path").agg(
         F.sum(F.col("vote").cast("decimal(28,6)")).alias("votes")
     )
