@@ -12,9 +12,11 @@ bounded size, each broadcast on its own, so a large benchmark means more blocks.
 Letters are compared in lower case and white space as spaces.  Null and blank texts
 and passages match nothing.  A passage too short for the edit budget must occur whole,
 between word limits.  Texts of any length are read to the end.  Repeated passages each
-report their hits under their own id; null ids are reported as null.  Empty tables give
+report their hits under their own id; null ids are reported as null.  Ids of
+whole numbers are reported as 64-bit ones, all others as strings.  Empty tables give
 empty results.  Only the id and text columns of the benchmark are read, so clashing
-names do not matter; documents keep all their columns.
+names do not matter; documents keep all their columns, and a column for hits that would
+clash with one of them raises a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.common import free_name
 
@@ -33,7 +36,7 @@ EDIT_RATE = 0.06
 SHORT = 24
 BLOCK_CHARS = 2_000_000
 FILTER_BITS = 22
-HITS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
+HITS = "array<struct<item_id:{},start:int,end:int,edits:int>>"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -234,12 +237,12 @@ def find(text: str | None, indexes: list[Index]) -> list[tuple]:
                 best[key] = (hit, passage.item_id)
     return sorted(
         ((item, start, end, edits) for (edits, start, end), item in best.values()),
-        key=lambda hit: (hit[1], hit[2], hit[0] is None, hit[0] or 0),
+        key=lambda hit: (hit[1], hit[2], hit[0] is None, 0 if hit[0] is None else hit[0]),
     )
 
 
-def _search(index):
-    @F.pandas_udf(HITS)
+def _search(index, id_type: str):
+    @F.pandas_udf(HITS.format(id_type))
     def search(texts: pd.Series) -> pd.Series:
         return pd.Series([find(value, index.value) for value in texts], dtype=object)
 
@@ -260,8 +263,10 @@ def hits(
     ``start`` and ``end`` are places in the text, counted in code points.
     """
     spark = benchmark.sparkSession
+    whole = isinstance(benchmark.schema[item_id].dataType, T.IntegralType)
+    id_type = "bigint" if whole else "string"
     items = benchmark.select(
-        F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")
+        F.col(f"`{item_id}`").cast(id_type).alias("item_id"), F.col(f"`{item_text}`").alias("text")
     ).where(r"text rlike '\\S'")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
@@ -270,12 +275,14 @@ def hits(
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         cleaned = [(row.item_id, normal(row.text).strip()) for row in part.collect()]
         index = spark.sparkContext.broadcast(build([item for item in cleaned if item[1]], rate))
-        found.append(_search(index)(text))
+        found.append(_search(index, id_type)(text))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits", **options) -> DataFrame:
     """The documents that hold a benchmark passage, with their hits in a new column."""
+    if name.lower() in {other.lower() for other in docs.columns}:
+        raise ValueError(f"The documents have a column {name} already; name another")
     return docs.withColumn(name, hits(benchmark, F.col(f"`{text}`"), **options)).where(F.size(name) > 0)
 
 

@@ -78,3 +78,13 @@ def test_odd_rows_on_either_side(spark, docs, nothing, clashing):
     kept = D.decontaminate(clashing, odd)
     assert kept.columns == clashing.columns and kept.count() == docs.count() - 1
     assert D.decontaminate(docs.withColumn("hits", F.lit(1)), odd).columns == ["doc_id", "text", "hits"]
+
+
+def test_ids_of_strings_and_a_taken_name(spark):
+    passage = "the quick brown fox jumps over the lazy dog near the old stone bridge"
+    items = spark.createDataFrame([("b-7", passage), ("", passage), (None, passage)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"So {passage} it was.", 5), (2, "clean", 6)], "doc_id long, text string, hits int")
+    found = D.contaminated(docs, items, name="found").collect()
+    assert [(r.doc_id, r.hits, [h.item_id for h in r.found]) for r in found] == [(1, 5, ["", "b-7", None])]
+    with pytest.raises(ValueError, match="hits already"):
+        D.contaminated(docs, items)
