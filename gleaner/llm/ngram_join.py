@@ -10,15 +10,16 @@ A document is the set of its distinct five-word shingles.  Two documents link wh
    Tokens of one group only are dropped.
 3. *Bound.*  A set meets the groups that hold its first tokens; a group qualifies if it
    holds enough of them for one member to reach the similarity.
-4. *Open.*  Only the members of qualifying groups that are no larger than the set, and
-   not too small, are compared, by their whole sets.
+4. *Open.*  Of each two groups that meet, the pair that looks closest is compared first,
+   and groups that it links become one.  Then the members of the other qualifying groups
+   that are no larger than the set, and not too small, are compared, by their whole sets.
+   Links within one component change nothing, so none of them has to be looked for.
 
-Tokens are ordered with the most frequent ones of a sample last, and the first ones of a
-set are n - ceil(t n) + 1 + EXTRA for the similarity t.  The order is the same for all
-sets.  So where two sets share a token that is among the first of only one of them, all
-first tokens of the other come before it, and what the two share is bounded by the
-shared first tokens and the rest of the larger set.  The sample steers cost, never
-results.
+Tokens are ordered with the most frequent ones of a sample last.  Sets of n and m tokens
+that link share ``o = ceil(PERCENT (n + m) / (100 + PERCENT))``, so they share
+``1 + EXTRA`` among the first ``n - o + 1 + EXTRA`` of the one and the first
+``m - o + 1 + EXTRA`` of the other; which tokens count thus depends on both sizes.  The
+order is the same for all sets.  The sample steers cost, never results.
 
 A null, blank or empty text has an empty set and links with nothing, not even with
 another empty one.  Very long texts give long sets, nothing is cut.  Repeated rows fall
@@ -215,59 +216,102 @@ def group_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     return _verified(stored(_ordered_pairs(pairs), "group-pairs"), sets, docs)
 
 
-def matrix_pairs(described: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups that the matrix cannot rule out.
-
-    A set or group is named here by 64 bits of its key; should two share a name, more
-    pairs are compared.  Tokens are dealt out once: finding the tokens of several
-    groups, the matrix and the bound all work on the same exchange.
-    """
+def group_parts(roots: DataFrame) -> DataFrame:
+    """``key, root_place, root_part``: the group of each linked set and its part of it."""
     sizes = roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / PART).alias("parts"))
-    roots = roots.join(sizes, "root").select(
+    return roots.join(sizes, "root").select(
         F.col("node").alias("key"),
         _place("root").alias("root_place"),
         F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("root_part"),
     )
-    roots = stored(roots, "group-parts")
-    group = F.coalesce("root_place", "place").alias("group")
-    part = F.coalesce("root_part", F.lit(0)).alias("part")
-    grouped = described.where("n > 0").join(small(roots), "key", "left")
-    tokens = grouped.select(
-        "place", "n", (F.col("n") - F.size("tokens")).alias("rest"),
-        group, part, F.posexplode("tokens").alias("at", "token"),
-    )
+
+
+def _of_groups(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sets with ``group, part``; a set without a link is a group of its own."""
+    return sets.join(small(parts), "key", "left").withColumns(
+        {"group": F.coalesce("root_place", "place"), "part": F.coalesce("root_part", F.lit(0))}
+    )
+
+
+def qualifying_groups(described: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sets, each with the parts of other groups that may hold a set like it.
+
+    ``first_at`` is the place of the first token that the part holds too, ``best`` the
+    member of the part with the earliest one.  A set or group is named here by 64 bits of
+    its key.  Tokens are dealt out once: finding the tokens of several groups, the matrix
+    and the bound all work on the same exchange.
+    """
+    # One row of equal texts has the tokens of all.
+    one = described.where("n > 0").join(
+        sets.select("key", F.col("id").alias("own_id")), "key"
+    ).where(F.col("id").eqNullSafe(F.col("own_id")))
+    tokens = _of_groups(one, parts).select("place", "n", "group", "part", F.posexplode("tokens").alias("at", "token"))
     same = Window.partitionBy("token")
     shared = tokens.select("*", F.min("group").over(same).alias("low"), F.max("group").over(same).alias("high"))
     shared = shared.where("low != high").drop("low", "high")
-    matrix = shared.groupBy("token", F.col("group").alias("other"), "part").agg(
-        F.min("n").alias("smallest"), F.max("n").alias("largest")
+    matrix = (
+        shared.where(_early("n", "n", "at"))
+        .groupBy("token", F.col("group").alias("other"), "part")
+        .agg(
+            F.min("n").alias("smallest"),
+            F.max(_largest_partner("n", "at")).alias("reach"),
+            F.min(F.struct("at", "place")).alias("best"),
+        )
     )
-    probes = shared.groupBy("token", "place").agg(*(F.first(name).alias(name) for name in ("group", "n", "rest", "at")))
-    qualifying = (
+    probes = shared.groupBy("token", "place").agg(*(F.first(name).alias(name) for name in ("group", "n", "at")))
+    least = F.greatest(F.col("smallest"), F.ceil(F.col("n") * PERCENT / 100))
+    return (
         probes.join(matrix, "token")
-        .where((F.col("other") != F.col("group")) & (F.col("smallest") <= F.col("n")) & (F.col("largest") * 100 >= F.col("n") * PERCENT))
-        .groupBy("place", "n", "rest", "other", "part")
-        .agg(F.count("*").alias("held"), F.min("at").alias("first_at"), F.min("smallest").alias("smallest"))
+        .where((F.col("other") != F.col("group")) & (F.col("smallest") <= F.col("n")))
+        .where((F.col("n") <= F.col("reach")) & _early("n", least, "at"))
+        .groupBy("place", "group", "n", "other", "part")
+        .agg(F.count("*").alias("held"), F.min("at").alias("first_at"), F.min("best").alias("best"))
+        .where(F.col("held") >= F.least(F.lit(1 + EXTRA), F.ceil(F.col("n") * PERCENT / 100)))
+        .drop("held")
     )
-    # A member of m tokens links only if the two share PERCENT / (100 + PERCENT) of n + m.
-    # Of the set's tokens beyond its first ones at most `rest` are shared; of the first
-    # ones at most those that the group holds, and none before the first of these.
-    bound = F.least(F.col("held") + F.col("rest"), F.col("n") - F.col("first_at"))
-    least = F.greatest(F.col("smallest"), F.ceil(F.col("n") * PERCENT / 100))
-    qualifying = qualifying.withColumn("bound", bound).where(_reaches("bound", F.col("n") + least))
-    qualifying = stored(qualifying.select("place", "n", "other", "part", "bound"), "qualifying")
-    members = sets.join(small(roots), "key", "left").select(
-        F.col("key").alias("b"), F.col("n").alias("m"), group.alias("other"), part
+
+
+def closest_pairs(qualifying: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: for each two groups the pair of sets with the fewest tokens before the first shared ones."""
+    apart = F.struct((F.col("first_at") + F.col("best.at")).alias("before"), "place", F.col("best.place").alias("with"))
+    pairs = qualifying.groupBy("group", "other").agg(F.min(apart).alias("pair")).select("pair.place", "pair.with").distinct()
+    names = sets.select("place", "key")
+    return _ordered_pairs(
+        pairs.join(names.withColumnRenamed("key", "a"), "place")
+        .join(names.select(F.col("place").alias("with"), F.col("key").alias("b")), "with")
+    )
+
+
+def opened_pairs(qualifying: DataFrame, sets: DataFrame, parts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: sets and the members of their qualifying groups, without groups that are one by now."""
+    now = stored(roots.select(_place("node").alias("was"), _place("root").alias("now")), "groups-now")
+    for name in ("group", "other"):
+        own = now.select(F.col("was").alias(name), F.col("now").alias(f"{name}_now"))
+        qualifying = qualifying.join(small(own), name, "left").withColumn(f"{name}_now", F.coalesce(f"{name}_now", name))
+    qualifying = qualifying.where("group_now != other_now").select("place", "n", "other", "part", "first_at")
+    members = _of_groups(sets, parts).select(
+        F.col("key").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), "part"
     )
     opened = qualifying.join(members, ["other", "part"]).where(
-        (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * PERCENT) & _reaches("bound", F.col("n") + F.col("m"))
+        (F.col("m") <= F.col("n")) & (F.col("m") * 100 >= F.col("n") * PERCENT) & _early("n", "m", "first_at")
     )
     return _ordered_pairs(opened.select("place", "b").join(sets.select("place", F.col("key").alias("a")), "place"))
 
 
-def _reaches(shared: str, sizes: Column) -> Column:
-    """Whether so many shared tokens can make sets of these sizes in all similar."""
-    return (100 + PERCENT) * F.col(shared) >= PERCENT * sizes
+def _early(n: str, m: Column | str, at: str) -> Column:
+    """Whether a token is among the first ones of a set of ``n`` that decide on one of ``m``.
+
+    Sets of these sizes link if they share ``o = ceil(PERCENT (n + m) / (100 + PERCENT))``
+    tokens.  Then they share ``1 + EXTRA`` (or ``o``, if fewer) of each one's first
+    ``n - o + 1 + EXTRA`` tokens.
+    """
+    m = F.col(m) if isinstance(m, str) else m
+    return PERCENT * (F.col(n) + m) <= (100 + PERCENT) * (F.col(n) - F.col(at) + EXTRA)
+
+
+def _largest_partner(m: str, at: str) -> Column:
+    """The largest set for which a token is still among a set of ``m``'s first ones."""
+    return F.floor((100 + PERCENT) * (F.col(m) - F.col(at) + EXTRA) / PERCENT) - F.col(m)
 
 
 def _place(key: str) -> Column:
@@ -286,7 +330,11 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
     sets = stored(sets, "sets")
     near = stored(group_links(sets, docs), "group-links")
     roots = components(near)
-    pairs = stored(matrix_pairs(described, sets, roots), "matrix-pairs")
+    parts = stored(group_parts(roots), "group-parts")
+    qualifying = stored(qualifying_groups(described, sets, parts), "qualifying")
+    closest = stored(closest_pairs(qualifying, sets), "closest-pairs")
+    near = stored(near.unionByName(_verified(closest, sets, docs)), "merging-links")
+    pairs = stored(opened_pairs(qualifying, sets, parts, components(near)), "opened-pairs")
     roots = components(near.unionByName(_verified(pairs, sets, docs)))
     classes = sets.select("key", "id").join(roots, sets["key"] == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "key")
