@@ -166,7 +166,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = stored(wanted, "wanted")
     texts = docs.join(small(wanted), docs["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
     whole = texts.mapInArrow(_tokens_of, "key binary, tokens array<long>")
-    whole = stored(whole.join(small(keys), "key", "left_semi").dropDuplicates(["key"]), "whole-sets")
+    # Rows that repeat an id give a set once; both joins below work on this exchange.
+    whole = whole.join(small(keys), "key", "left_semi").dropDuplicates(["key"])
     return (
         pairs.join(whole.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
         .join(whole.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -242,10 +243,15 @@ def qualifying_groups(described: DataFrame, sets: DataFrame, parts: DataFrame) -
     and the bound all work on the same exchange.
     """
     # One row of equal texts has the tokens of all.
-    one = described.where("n > 0").join(
-        sets.select("key", F.col("id").alias("own_id")), "key"
-    ).where(F.col("id").eqNullSafe(F.col("own_id")))
-    tokens = _of_groups(one, parts).select("place", "n", "group", "part", F.posexplode("tokens").alias("at", "token"))
+    repeated = stored(sets.where("copies > 1").select("key", F.col("id").alias("own_id")), "repeated")
+    one = described.where("n > 0").select("id", "key", "place", "n", "tokens").join(small(repeated), "key", "left")
+    one = one.where(F.col("own_id").isNull() | (F.col("id") == F.col("own_id"))).join(small(parts), "key", "left")
+    # A set that is a group of its own goes through the exchange without a group.
+    dealt = one.select("place", "n", "root_place", "root_part", F.posexplode("tokens").alias("at", "token")).repartition("token")
+    tokens = dealt.select(
+        "token", "place", "n", "at",
+        F.coalesce("root_place", "place").alias("group"), F.coalesce("root_part", F.lit(0)).alias("part"),
+    )
     same = Window.partitionBy("token")
     shared = tokens.select("*", F.min("group").over(same).alias("low"), F.max("group").over(same).alias("high"))
     shared = shared.where("low != high").drop("low", "high")
@@ -326,7 +332,9 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text")
         _describe(frequent_tokens(docs)), f"id {dict(docs.dtypes)['id']}, {SET_FIELDS}"
     )
     described = stored(described, "described")
-    sets = described.where("n > 0").groupBy("key", "place", "n", "lows").agg(F.min("id").alias("id"))
+    sets = described.where("n > 0").groupBy("key", "place", "n", "lows").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies")
+    )
     sets = stored(sets, "sets")
     near = stored(group_links(sets, docs), "group-links")
     roots = components(near)
