@@ -56,17 +56,23 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def takedown(spark: SparkSession, folder: str) -> DataFrame:
-    """A later state of the corpus: toxic documents are gone, French ones were
-    edited, and the benchmark items have come in as new documents."""
+def _later(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, text, quality`` of a later state of the corpus."""
     edited = F.when(F.col("lang") == "fr", F.concat("text", F.lit("\nfin"))).otherwise(
         F.col("text")
     )
     left = labelled(spark, folder).where("coalesce(toxic, 0) = 0")
     added = table(spark, folder, "benchmark").select(
-        F.format_string("benchmark/%d.txt", "item_id").alias("path"), "text"
+        F.format_string("benchmark/%d.txt", "item_id").alias("path"), "text",
+        F.lit(None).cast(left.schema["quality"].dataType).alias("quality"),
     )
-    return left.select("path", edited.alias("text")).unionByName(added)
+    return left.select("path", edited.alias("text"), "quality").unionByName(added)
+
+
+def takedown(spark: SparkSession, folder: str) -> DataFrame:
+    """A later state of the corpus: toxic documents are gone, French ones were
+    edited, and the benchmark items have come in as new documents."""
+    return _later(spark, folder).select("path", "text")
 
 
 def acceptable(rows: DataFrame) -> DataFrame:
@@ -81,9 +87,7 @@ def damaged(spark: SparkSession, folder: str) -> DataFrame:
 
 def damaged_takedown(spark: SparkSession, folder: str) -> DataFrame:
     """The later state, with the same losses."""
-    quality = labelled(spark, folder).select("path", "quality")
-    later = takedown(spark, folder).join(quality, "path", "left")
-    return acceptable(later).select("path", "text")
+    return acceptable(_later(spark, folder)).select("path", "text")
 
 
 def field_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -33,16 +33,19 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import relevance as R
+from gleaner.functions import text as T
 from gleaner.operators import changes as C
 from gleaner.operators import lexical as L
 from gleaner.operators import passages as P
 from gleaner.plans import corpus as corpora
-from gleaner.session import materialize, materialize_counted, passing_folder, scratch
+from gleaner.session import materialize, materialize_counted, passing_folder, scratch, setting
 
 FORMAT = "3"
 #: Slots of an index, from its number of documents: a bounded number of folders.
 DOCUMENTS_PER_SLOT, FEWEST_SLOTS, MOST_SLOTS = 50_000, 16, 1024
-DOCUMENTS_PER_TASK = 20_000
+DOCUMENTS_PER_TASK = 5_000
+#: Bytes of stored passages that a task turns into postings, which it has to sort.
+BYTES_PER_TASK = 16 << 20
 STATE = (
     "version long, settings string, data string, slots int, manifest string, skipped string, "
     "documents long, passages long, tokens long"
@@ -231,13 +234,13 @@ class Index:
             progress("compared", counted)
             paths = diff.where(F.col("class").isin(C.ADDED, C.CHANGED)).select("path")
 
-        staged, counted = self._staged(source.read(listing, paths), slots)
+        staged, counted = self._staged(source.read(listing, paths))
         progress("read", counted)
         fresh = self._fresh_documents(staged)
         refused = staged.where("reason IS NOT NULL").select("path", "reason")
         refused.write.parquet(f"{self._folder}/skipped/{name}")
 
-        accepted = staged.where("reason IS NULL").drop("reason", "stamp")
+        accepted = staged.where("reason IS NULL").select("path", "text", "source")
         version = before.version + 1 if before else 1
         touched = None
         if diff is None:
@@ -250,10 +253,12 @@ class Index:
                 self._add_state(version, settings, data, slots, None, None, 0, 0, 0)
                 stored = self._passages(before).where(F.col("slot").isin(touched))
                 kept = stored.join(moved, "path", "left_anti")
-                self._write_slots(data, kept.unionByName(accepted), slots, touched, listed)
+                self._write_slots(data, accepted, slots, kept, listed, touched)
         progress("written", {"slots": slots if touched is None else len(touched)})
 
-        found = self._write_manifest(name, slots, fresh, None if diff is None else (before, new))
+        sizes = self._written(data, "passages", PASSAGES, range(slots) if touched is None else touched)
+        sizes = sizes.groupBy("path").agg(F.count("*").alias("passages"), F.sum("dl").alias("tokens"))
+        found = self._write_manifest(name, slots, fresh, sizes, None if diff is None else (before, new))
         updated, skipped = counted["documents"], counted["skipped"]
         removed = self._removed(before, name, slots)
         self._add_state(
@@ -263,8 +268,11 @@ class Index:
         progress("done", vars(done))
         return done
 
-    def _write_manifest(self, name: str, slots: int, fresh: DataFrame, both: tuple[Row, DataFrame] | None) -> dict:
-        """Unchanged rows, bucket by bucket, and fresh ones; the writing jobs sum them up."""
+    def _write_manifest(
+        self, name: str, slots: int, fresh: DataFrame, sizes: DataFrame, both: tuple[Row, DataFrame] | None
+    ) -> dict:
+        """Unchanged rows, bucket by bucket, and fresh ones with the sizes of what was written
+        for them; the writing jobs sum them up."""
         folder = f"{self._folder}/manifests/{name}"
         totals = {"documents": 0, "passages": 0, "tokens": 0}
         sums = [F.coalesce(F.sum(column), F.lit(0)).alias(column) for column in ("passages", "tokens")]
@@ -277,6 +285,7 @@ class Index:
             if not stored.isEmpty():
                 totals = seen.get
         seen, empty = Observation(), fresh.isEmpty()
+        fresh = fresh.join(sizes, "path")
         C.store_manifest(fresh if empty else fresh.observe(seen, F.count("*").alias("documents"), *sums), folder, slots)
         return totals if empty else {key: totals[key] + value for key, value in seen.get.items()}
 
@@ -287,47 +296,53 @@ class Index:
         new = C.open_manifest(self._spark, f"{self._folder}/manifests/{name}", MANIFEST, slots)
         return C.removed_docs(self._manifest(before), new).count()
 
-    def _staged(self, read: DataFrame, slots: int) -> tuple[DataFrame, dict]:
-        """One pass over the source: passages with their token runs, and a row for each
-        refusal; the same job counts them."""
+    def _staged(self, read: DataFrame) -> tuple[DataFrame, dict]:
+        """One pass over the source: its documents, and a row for each refusal; the same job
+        counts them and their passages."""
         refused = F.col("reason").isNotNull()
-        body = F.when(~refused, F.col("text")).otherwise(F.lit(""))
-        cut = P.chunk(read.withColumn("text", body), self._chunk_chars)
-        rows = L.term_frequencies(cut, keep=["text", "digest", "source", "stamp", "reason"])
-        rows = rows.withColumn("slot", slot_of(F.col("path"), slots))
-        first = F.col("ordinal") == 0
+        rows = read.withColumn("text", F.when(~refused, F.col("text")))
         return materialize_counted(
             rows, "staged",
-            documents=F.count_if(first & ~refused), skipped=F.count_if(first & refused),
-            passages=F.count_if(~refused),
+            documents=F.count_if(~refused), skipped=F.count_if(refused),
+            passages=F.coalesce(F.sum(F.when(~refused, T.window_count(F.col("text"), self._chunk_chars))), F.lit(0)),
         )
 
     def _fresh_documents(self, staged: DataFrame) -> DataFrame:
         per_document = staged.where("reason IS NULL").groupBy("path").agg(
-            F.max("stamp").alias("stamp"),
-            F.max("source").alias("source"),
-            F.count("*").alias("passages"),
-            F.sum("dl").alias("tokens"),
-            F.count_if(F.col("ordinal") == 0).alias("copies"),
+            F.max("stamp").alias("stamp"), F.max("source").alias("source"), F.count("*").alias("copies")
         )
         checked = per_document.withColumn("path", P.unique_path(F.col("path"), F.col("copies"))).drop("copies")
         return materialize(checked, "fresh")
 
-    def _write_slots(self, data: str, passages: DataFrame, slots: int, touched: list[int] | None, documents: int) -> None:
-        """Write whole slots of the three tables, each from the one before.
+    def _write_slots(
+        self, data: str, accepted: DataFrame, slots: int, kept: DataFrame | None, documents: int,
+        touched: list[int] | None = None,
+    ) -> None:
+        """Write whole slots of the three tables, each from the one before: accepted documents,
+        and the passages that are kept of those slots.
 
         A path's hash gives a place, and the place its slot, so that large slots are
-        written by several tasks and small ones by one.
+        written by several tasks and small ones by one.  Documents are dealt to their place
+        before they are cut and tokenized, because their passages and runs are larger.
         """
         per_slot = -(-max(documents, 1) // (slots * DOCUMENTS_PER_TASK))
         places = slots * per_slot
         numbers = list(range(slots)) if touched is None else touched
-        dealt = passages.repartitionById(places, slot_of(F.col("path"), places))
-        self._overwrite(data, "passages", dealt, PASSAGES, numbers, "path", "ordinal")
 
-        # A task reads passages of few slots, in their order: no shuffle.
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartitionById(places, slot_of(F.col("path"), places))
+
+        passages = L.term_frequencies(P.chunk(dealt(accepted), self._chunk_chars), keep=["text", "digest", "source"])
+        passages = passages.withColumn("slot", slot_of(F.col("path"), slots))
+        if kept is not None:
+            passages = passages.unionByName(dealt(kept))
+        self._overwrite(data, "passages", passages, PASSAGES, numbers, "path", "ordinal")
+
+        # A task reads passages of few slots, in their order: no shuffle.  It reads few bytes,
+        # because it sorts many more.
         rows = self._written(data, "passages", PASSAGES, numbers)
-        self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
+        with setting(self._spark, "spark.sql.files.maxPartitionBytes", str(BYTES_PER_TASK)):
+            self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
 
         entries = self._written(data, "postings", POSTINGS, numbers)
         weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text"))
@@ -337,9 +352,9 @@ class Index:
         spread = F.col("slot") + slots * F.pmod(F.xxhash64("term"), F.lit(per_slot))
         self._overwrite(data, "terms", counted.repartitionById(places, spread.cast("int")), TERMS, numbers, "term")
 
-    def _written(self, data: str, kind: str, schema: str, numbers: list[int]) -> DataFrame:
+    def _written(self, data: str, kind: str, schema: str, numbers: Iterable[int]) -> DataFrame:
         rows = self._table(Row(data=data), kind, schema)
-        return rows.where(F.col("slot").isin(numbers))
+        return rows.where(F.col("slot").isin(list(numbers)))
 
     def _overwrite(self, data: str, kind: str, rows: DataFrame, schema: str, numbers: list[int], *order: str) -> None:
         """Replace the named slots; each gets a row without values, so that an empty one

@@ -320,3 +320,20 @@ def test_candidates_are_judged_in_many_tasks(spark, index, shelf):
     asked = asked.selectExpr("query_id", "query", "cast(null as string) as yes", "cast(null as string) as no")
     keys = index.corpus().candidates(asked, 20).select("query_id", "path", "ordinal")
     assert "REPARTITION_BY_NUM" in plan(keys)
+
+
+def test_documents_are_dealt_before_they_are_cut_and_sorted_in_small_parts(spark, index, shelf, monkeypatch):
+    """Texts pass the exchange, not passages with their runs; postings come from small splits."""
+    shelf.texts = town_words(9, 40)
+    whole, seen, name = Index._overwrite, {}, "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(name)
+
+    def watched(self, data, kind, rows, *rest):
+        seen[kind] = (plan(rows), spark.conf.get(name))
+        whole(self, data, kind, rows, *rest)
+
+    monkeypatch.setattr(Index, "_overwrite", watched)
+    index.refresh(shelf.source)
+    cut, dealt = seen["passages"][0].index("Generate"), seen["passages"][0].index("Exchange")
+    assert cut < dealt and "Exchange" not in seen["postings"][0]
+    assert int(seen["postings"][1]) <= 16 << 20 and spark.conf.get(name) == usual
