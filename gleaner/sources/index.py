@@ -5,7 +5,7 @@ Layout under the index folder::
     state/                              one row per refresh; the last one counts
     <data>/passages/slot=<n>/           sorted by path and ordinal
     <data>/postings/slot=<n>/           sorted by term
-    <data>/terms/slot=<n>/              per term: its frequency and what bounds its score
+    <data>/terms/slot=<n>/              per term and file: its frequency and what bounds its score
     manifests/<name>/                   path, stamp, ...; bucketed and sorted by path
     skipped/<name>/                     what a refresh could not read
 
@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ FORMAT = "3"
 #: Slots of an index, from its number of documents: a bounded number of folders.
 DOCUMENTS_PER_SLOT, FEWEST_SLOTS, MOST_SLOTS = 50_000, 16, 1024
 DOCUMENTS_PER_TASK = 5_000
+#: Passages that stay are written again where they are read, unless more paths than this
+#: left them, or their slots have gathered so many files for each task that deals them.
+MOVED_IN_PLACE, FILES_IN_PLACE = 1_000_000, 4
 #: Bytes of stored passages that a task turns into postings, which it has to sort.
 BYTES_PER_TASK = 16 << 20
 STATE = (
@@ -89,6 +93,27 @@ def slot_of(path: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(path), F.lit(slots)).cast("int")
 
 
+def tasks_per_slot(documents: int, slots: int) -> int:
+    return -(-max(documents, 1) // (slots * DOCUMENTS_PER_TASK))
+
+
+def dealt(rows: DataFrame, slots: int, documents: int) -> DataFrame:
+    """Rows by their path: its hash gives a place, and the place its slot, so that large
+    slots are written by several tasks and small ones by one."""
+    places = slots * tasks_per_slot(documents, slots)
+    return rows.repartitionById(places, slot_of(F.col("path"), places))
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings, sorted by term, to what ``TERMS`` holds of each term in a batch."""
+    for batch in batches:
+        counted = pa.Table.from_batches([batch]).group_by(["slot", "term"], use_threads=False).aggregate(
+            [([], "count_all"), ("weighted", "max"), ("dl", "min")]
+        )
+        columns = ["term", "count_all", "weighted_max", "dl_min", "slot"]
+        yield from counted.select(columns).rename_columns(["term", "df", "most", "shortest", "slot"]).to_batches()
+
+
 class Index:
     def __init__(self, spark: SparkSession, folder: str, chunk_chars: int = P.CHUNK_CHARS):
         self._spark = spark
@@ -252,7 +277,10 @@ class Index:
             if touched:
                 self._add_state(version, settings, data, slots, None, None, 0, 0, 0)
                 stored = self._passages(before).where(F.col("slot").isin(touched))
-                kept = stored.join(moved, "path", "left_anti")
+                in_place = moved.count() <= MOVED_IN_PLACE
+                kept = stored.join(F.broadcast(moved) if in_place else moved, "path", "left_anti")
+                if not in_place or len(stored.inputFiles()) > FILES_IN_PLACE * len(touched) * tasks_per_slot(listed, slots):
+                    kept = dealt(kept, slots, listed)
                 self._write_slots(data, accepted, slots, kept, listed, touched)
         progress("written", {"slots": slots if touched is None else len(touched)})
 
@@ -321,36 +349,25 @@ class Index:
         """Write whole slots of the three tables, each from the one before: accepted documents,
         and the passages that are kept of those slots.
 
-        A path's hash gives a place, and the place its slot, so that large slots are
-        written by several tasks and small ones by one.  Documents are dealt to their place
-        before they are cut and tokenized, because their passages and runs are larger.
+        Documents are dealt to their slots before they are cut and tokenized, because their
+        passages and runs are larger.
         """
-        per_slot = -(-max(documents, 1) // (slots * DOCUMENTS_PER_TASK))
-        places = slots * per_slot
         numbers = list(range(slots)) if touched is None else touched
-
-        def dealt(rows: DataFrame) -> DataFrame:
-            return rows.repartitionById(places, slot_of(F.col("path"), places))
-
-        passages = L.term_frequencies(P.chunk(dealt(accepted), self._chunk_chars), keep=["text", "digest", "source"])
+        passages = L.term_frequencies(P.chunk(dealt(accepted, slots, documents), self._chunk_chars), keep=["text", "digest", "source"])
         passages = passages.withColumn("slot", slot_of(F.col("path"), slots))
         if kept is not None:
-            passages = passages.unionByName(dealt(kept))
-        self._overwrite(data, "passages", passages, PASSAGES, numbers, "path", "ordinal")
-
-        # A task reads passages of few slots, in their order: no shuffle.  It reads few bytes,
-        # because it sorts many more.
-        rows = self._written(data, "passages", PASSAGES, numbers)
+            passages = passages.unionByName(kept)
+        # From here on tasks read files of few slots, in their order: no shuffle.  They read
+        # few bytes, because they sort them, or many more postings.
         with setting(self._spark, "spark.sql.files.maxPartitionBytes", str(BYTES_PER_TASK)):
+            self._overwrite(data, "passages", passages, PASSAGES, numbers, "path", "ordinal")
+            rows = self._written(data, "passages", PASSAGES, numbers)
             self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
-
-        entries = self._written(data, "postings", POSTINGS, numbers)
-        weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text"))
-        counted = entries.groupBy("slot", "term").agg(
-            F.count("*").alias("df"), F.max(weighted).cast("double").alias("most"), F.min("dl").alias("shortest")
-        )
-        spread = F.col("slot") + slots * F.pmod(F.xxhash64("term"), F.lit(per_slot))
-        self._overwrite(data, "terms", counted.repartitionById(places, spread.cast("int")), TERMS, numbers, "term")
+            # Each task counts what it reads; readers add up the rows of a term.
+            entries = self._written(data, "postings", POSTINGS, numbers)
+            weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text")).cast("double")
+            entries = entries.select("slot", "term", weighted.alias("weighted"), "dl")
+            self._overwrite(data, "terms", entries.mapInArrow(_term_counts, TERMS), TERMS, numbers, "term")
 
     def _written(self, data: str, kind: str, schema: str, numbers: Iterable[int]) -> DataFrame:
         rows = self._table(Row(data=data), kind, schema)

@@ -337,3 +337,24 @@ def test_documents_are_dealt_before_they_are_cut_and_sorted_in_small_parts(spark
     cut, dealt = seen["passages"][0].index("Generate"), seen["passages"][0].index("Exchange")
     assert cut < dealt and "Exchange" not in seen["postings"][0]
     assert int(seen["postings"][1]) <= 16 << 20 and spark.conf.get(name) == usual
+
+
+def test_passages_that_stay_pass_no_exchange_until_files_gather(spark, index, shelf, monkeypatch):
+    shelf.texts = town_words(10, 40)
+    whole, dealt = Index._overwrite, []
+
+    def watched(self, data, kind, rows, *rest):
+        if kind == "passages":
+            dealt.append(plan(rows).count("REPARTITION_BY_NUM"))
+        assert kind == "passages" or "Exchange" not in plan(rows)
+        whole(self, data, kind, rows, *rest)
+
+    monkeypatch.setattr(Index, "_overwrite", watched)
+    for step in range(8):
+        shelf.texts |= {path: f"porto {step}" for path in sorted(shelf.texts)[step::8]}
+        index.refresh(shelf.source)
+        assert {r.path for r in index.passages().collect()} == set(shelf.texts)
+        assert index.postings(["porto"]).count() == frequencies(shelf.texts)["porto"]
+        wanted = spark.createDataFrame([("porto",)], "term string")
+        assert index.term_df(wanted).first().df == frequencies(shelf.texts)["porto"]
+    assert dealt[0] == 1 and set(dealt[1:]) == {1, 2}
