@@ -45,7 +45,7 @@ class ColumnScorer:
         """Count the terms of every passage, where its token runs are stored."""
         return counted_passages(passages) if self.stored and "runs" in passages.columns else passages
 
-    def score(self, judgements: DataFrame) -> DataFrame:
+    def score(self, judgements: DataFrame, spread: bool = False) -> DataFrame:
         if self.stored and "judged" in judgements.columns:
             value = self.stored(*(F.col(f"asked.{c}") for c in ("query", "yes", "no")), F.col("judged"))
         else:
@@ -73,7 +73,8 @@ class BatchScorer:
     def prepare(self, passages: DataFrame) -> DataFrame:
         return passages
 
-    def score(self, judgements: DataFrame) -> DataFrame:
+    def score(self, judgements: DataFrame, spread: bool = False) -> DataFrame:
+        """``spread`` rows lie in many files: their tasks are only kept to ``parallelism``."""
         seen = ["query", "yes", "no", "state"]
         kept = [name for name in KEPT if name in judgements.columns]
         sent = judgements.select(*kept, *seen)
@@ -92,7 +93,8 @@ class BatchScorer:
                 used = {name: reply[name].to_numpy() if name in reply else 0 for name in TOKENS}
                 yield batch[kept].assign(score=reply["score"].to_numpy(), **used)
 
-        return sent.repartition(self.parallelism).mapInPandas(run, schema)
+        dealt = sent.coalesce(self.parallelism) if spread else sent.repartition(self.parallelism)
+        return dealt.mapInPandas(run, schema)
 
 
 def _is_default(yes: Column, no: Column) -> Column:

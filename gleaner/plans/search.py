@@ -106,8 +106,9 @@ def _judgements(candidates: DataFrame, asked: DataFrame) -> DataFrame:
     return J.with_state(candidates.join(asked, "query_id"))
 
 
-def score(judged: DataFrame, scorer: Scorer) -> DataFrame:
-    return J.checked_scores(scorer.score(J.checked_states(judged)))
+def score(judged: DataFrame, scorer: Scorer, spread: bool = False) -> DataFrame:
+    """``spread`` says that the rows were stored in many files and need not be dealt out."""
+    return J.checked_scores(scorer.score(J.checked_states(judged), spread))
 
 
 def _usage() -> dict[str, Column]:
@@ -156,20 +157,22 @@ def rerank(
     if missing:
         run = uuid.uuid4().hex
         batches = -(-missing // batch_rows)
-        wanted = keyed.where("score IS NULL").select(
-            "query_id", "path", "ordinal", "key", "namespace",
-            F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch"),
-        )
-        unknown = candidates.join(wanted, ["query_id", "path", "ordinal"])
-        unknown = _judgements(unknown, asked.drop("namespace")).drop("text")
-        unknown = materialize(unknown, "unknown") if batches > 1 else unknown
+        dealt = F.pmod(F.xxhash64("key"), F.lit(batches)).cast("int").alias("batch")
+        names = ["query_id", "path", "ordinal", "key", "namespace"]
+        if effort.known:
+            wanted = keyed.where("score IS NULL").select(*names, dealt)
+            unknown = _judgements(candidates.join(wanted, names[:3]), asked.drop("namespace")).drop("text")
+        else:
+            # Nothing is known: every candidate is wanted, and no text has to meet its key.
+            unknown = J.with_keys(_judgements(candidates, asked)).drop("text").withColumn("batch", dealt)
+        unknown = materialize(unknown, "unknown", "batch") if batches > 1 else unknown
         for batch in range(batches):
             rows = unknown.where(F.col("batch") == batch)
             if batches > 1 and rows.isEmpty():
                 continue
             seen = Observation()
             counters = [value.alias(name) for name, value in _usage().items()]
-            cache.append(score(rows, scorer).observe(seen, *counters), run)
+            cache.append(score(rows, scorer, batches > 1).observe(seen, *counters), run)
             more = seen.get
             effort = Effort(
                 effort.judged, effort.known,

@@ -104,16 +104,6 @@ def dealt(rows: DataFrame, slots: int, documents: int) -> DataFrame:
     return rows.repartitionById(places, slot_of(F.col("path"), places))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings, sorted by term, to what ``TERMS`` holds of each term in a batch."""
-    for batch in batches:
-        counted = pa.Table.from_batches([batch]).group_by(["slot", "term"], use_threads=False).aggregate(
-            [([], "count_all"), ("weighted", "max"), ("dl", "min")]
-        )
-        columns = ["term", "count_all", "weighted_max", "dl_min", "slot"]
-        yield from counted.select(columns).rename_columns(["term", "df", "most", "shortest", "slot"]).to_batches()
-
-
 class Index:
     def __init__(self, spark: SparkSession, folder: str, chunk_chars: int = P.CHUNK_CHARS):
         self._spark = spark
@@ -364,10 +354,18 @@ class Index:
             rows = self._written(data, "passages", PASSAGES, numbers)
             self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
             # Each task counts what it reads; readers add up the rows of a term.
+            def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    terms = pa.Table.from_batches([batch]).group_by(["slot", "term"], use_threads=False).aggregate(
+                        [([], "count_all"), ("weighted", "max"), ("dl", "min")]
+                    )
+                    rows = terms.select(["term", "count_all", "weighted_max", "dl_min", "slot"])
+                    yield from rows.rename_columns(["term", "df", "most", "shortest", "slot"]).to_batches()
+
             entries = self._written(data, "postings", POSTINGS, numbers)
             weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text")).cast("double")
             entries = entries.select("slot", "term", weighted.alias("weighted"), "dl")
-            self._overwrite(data, "terms", entries.mapInArrow(_term_counts, TERMS), TERMS, numbers, "term")
+            self._overwrite(data, "terms", entries.mapInArrow(counted, TERMS), TERMS, numbers, "term")
 
     def _written(self, data: str, kind: str, schema: str, numbers: Iterable[int]) -> DataFrame:
         rows = self._table(Row(data=data), kind, schema)
