@@ -13,8 +13,11 @@ are looked up for surviving passages only and never multiplied by all queries.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,8 @@ SEED_SHARE = 4
 #: Scores are rounded to six digits; a bound this far below a floor cannot reach it.
 SLACK = 2e-6
 # Equal tokens of the text, then of the path (marked by a slash), or of the path alone.
-FIELD_RUN = r"(([^ /]+) )\1*(?:(\2/ )\3*)?|([^ /]+/ )\4*"
+# Nothing that was taken has to be given back.
+FIELD_RUN = r"(([^ /]++) )\1*+(?:(\2/ )\3*+)?|([^ /]++/ )\4*+"
 
 
 def term_frequencies(
@@ -68,8 +72,9 @@ def run_term(run: Column) -> Column:
 
 def run_counts(run: Column, term: Column) -> tuple[Column, Column]:
     """How often the term of a run stands in the path and in the text."""
-    in_path = F.char_length(run) - F.char_length(F.replace(run, F.lit("/")))
-    tokens = ((F.char_length(run) - in_path) / (F.char_length(term) + 1)).cast("int")
+    # Equal tokens have equal bytes, which need not be counted.
+    in_path = F.octet_length(run) - F.octet_length(F.replace(run, F.lit("/")))
+    tokens = ((F.octet_length(run) - in_path) / (F.octet_length(term) + 1)).cast("int")
     return in_path, tokens - in_path
 
 
@@ -80,6 +85,47 @@ def postings_of(frequencies: DataFrame, *keep: str) -> DataFrame:
     return named.select("term", *PASSAGE, in_path.alias("tf_path"), in_text.alias("tf_text"), "dl", *keep)
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``slot, runs, dl`` -> ``term, df, most, shortest, slot``, a row for each term
+    of a slot: in how many passages it stands, and what bounds its part of a score.
+
+    Equal runs are counted by their codes; only distinct ones are taken apart.
+    """
+    sums = [("df", "sum"), ("most", "max"), ("shortest", "min")]
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(parts).group_by(["term", "slot"], use_threads=False).aggregate(sums)
+        found = found.select(["term", *(f"{name}_{how}" for name, how in sums), "slot"])
+        return found.rename_columns(["term", *(name for name, _ in sums), "slot"])
+
+    total = None
+    for batch in batches:
+        slots = batch.column("slot").to_numpy()
+        for slot in np.unique(slots):
+            own = batch.filter(pa.array(slots == slot))
+            runs = own.column("runs")
+            coded = runs.flatten().dictionary_encode()
+            codes, distinct = coded.indices.to_numpy(), coded.dictionary
+            lengths = np.repeat(own.column("dl").to_numpy(), runs.value_lengths().to_numpy())
+            shortest = np.full(len(distinct), np.iinfo(np.int32).max, np.int32)
+            np.minimum.at(shortest, codes, lengths)
+            # A space ends each token, and a slash before it marks one of the path.
+            in_path = pc.count_substring(distinct, "/").to_numpy()
+            in_text = pc.count_substring(distinct, " ").to_numpy() - in_path
+            part = pa.table(
+                {
+                    "term": pc.replace_substring_regex(distinct, "[/ ].*", ""),
+                    "df": np.bincount(codes, minlength=len(distinct)),
+                    "most": R.weighted_frequency(in_path, in_text).astype(np.float64),
+                    "shortest": shortest,
+                    "slot": np.full(len(distinct), slot, np.int32),
+                }
+            )
+            total = added([part] if total is None else [total, part])
+    if total is not None:
+        yield from total.to_batches()
+
+
 def postings(passages: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
     """``term, path, ordinal, tf_path, tf_text, dl`` for every distinct term."""
     return postings_of(term_frequencies(passages, terms))

@@ -24,16 +24,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import relevance as R
 from gleaner.functions import text as T
 from gleaner.operators import changes as C
 from gleaner.operators import lexical as L
@@ -353,19 +351,9 @@ class Index:
             self._overwrite(data, "passages", passages, PASSAGES, numbers, "path", "ordinal")
             rows = self._written(data, "passages", PASSAGES, numbers)
             self._overwrite(data, "postings", L.postings_of(rows, "slot"), POSTINGS, numbers, "term")
-            # Each task counts what it reads; readers add up the rows of a term.
-            def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    terms = pa.Table.from_batches([batch]).group_by(["slot", "term"], use_threads=False).aggregate(
-                        [([], "count_all"), ("weighted", "max"), ("dl", "min")]
-                    )
-                    rows = terms.select(["term", "count_all", "weighted_max", "dl_min", "slot"])
-                    yield from rows.rename_columns(["term", "df", "most", "shortest", "slot"]).to_batches()
-
-            entries = self._written(data, "postings", POSTINGS, numbers)
-            weighted = R.weighted_frequency(F.col("tf_path"), F.col("tf_text")).cast("double")
-            entries = entries.select("slot", "term", weighted.alias("weighted"), "dl")
-            self._overwrite(data, "terms", entries.mapInArrow(counted, TERMS), TERMS, numbers, "term")
+            # Each task counts the runs it reads; readers add up the rows of a term.
+            counted = rows.select("slot", "runs", "dl").mapInArrow(L.count_terms, TERMS)
+            self._overwrite(data, "terms", counted, TERMS, numbers, "term")
 
     def _written(self, data: str, kind: str, schema: str, numbers: Iterable[int]) -> DataFrame:
         rows = self._table(Row(data=data), kind, schema)

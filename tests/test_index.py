@@ -11,9 +11,9 @@ from gleaner.operators import changes as C
 from gleaner.operators import judging as J
 from gleaner.operators import lexical as L
 from gleaner.plans import search as S
-from gleaner.session import materialize, scratch
+from gleaner.session import materialize, scratch, setting
 from gleaner.sources.fields import DocumentSource
-from gleaner.sources.index import Index
+from gleaner.sources.index import TERMS, Index
 
 TOWNS = "oslo turin lyon ghent porto".split()
 
@@ -358,3 +358,17 @@ def test_passages_that_stay_pass_no_exchange_until_files_gather(spark, index, sh
         wanted = spark.createDataFrame([("porto",)], "term string")
         assert index.term_df(wanted).first().df == frequencies(shelf.texts)["porto"]
     assert dealt[0] == 1 and set(dealt[1:]) == {1, 2}
+
+
+def test_terms_are_counted_once_for_all_batches_of_a_task(spark, index, shelf):
+    """One row for each term of a file, whatever a batch holds: also where a path has the term."""
+    shelf.texts = town_words(11, 40) | {"porto/oslo porto.txt": "oslo oslo é", "empty": ""}
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "3"):
+        index.refresh(shelf.source)
+    state = index._current()
+    stored = index._table(state, "terms", TERMS)
+    assert stored.groupBy("term", "slot", F.input_file_name()).count().where("count > 1").isEmpty()
+    wanted = index.postings().select("term").distinct()
+    columns = ["term", "df", "most", "shortest"]
+    found = {tuple(row) for row in index._term_stats(state, wanted).select(columns).collect()}
+    assert found == {tuple(row) for row in L.term_stats(index.postings(), wanted).select(columns).collect()}
