@@ -224,7 +224,8 @@ def _partial(entries: DataFrame, weights: DataFrame, mean_length: Column) -> Dat
 def _floors(partial: DataFrame, limit: int) -> DataFrame:
     """``query_id, floor``: the ``limit``-th best document has at least this score, as it
     has it by some of its query's terms alone."""
-    best = best_passage(partial)
+    # The greatest number alone: it is aggregated by hashing, a struct would be sorted for.
+    best = partial.groupBy("query_id", "path").agg(F.max("bm25").alias("bm25"))
     last = top_per_group(best, "query_id", [F.desc("bm25"), F.asc("path")], limit).where(F.col("rank") == limit)
     return last.select("query_id", (F.col("bm25") - SLACK).alias("floor"))
 

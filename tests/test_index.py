@@ -372,3 +372,11 @@ def test_terms_are_counted_once_for_all_batches_of_a_task(spark, index, shelf):
     columns = ["term", "df", "most", "shortest"]
     found = {tuple(row) for row in index._term_stats(state, wanted).select(columns).collect()}
     assert found == {tuple(row) for row in L.term_stats(index.postings(), wanted).select(columns).collect()}
+
+
+def test_floors_need_no_sort_of_all_scores(spark):
+    rows = [(1, "a", 0, 2.0), (1, "a", 1, 5.0), (1, "b", 0, 3.0), (1, "c", 0, 1.0), (2, "a", 0, 9.0)]
+    scores = spark.createDataFrame(rows, "query_id long, path string, ordinal int, bm25 double")
+    floors = L._floors(scores, 2)
+    assert "SortAggregate" not in plan(floors)
+    assert [(row.query_id, round(row.floor, 5)) for row in floors.collect()] == [(1, 3.0)]
