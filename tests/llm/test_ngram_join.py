@@ -74,3 +74,32 @@ def test_empty_tables_and_clashing_names(docs, nothing, clashing):
     assert N.one_of_each(nothing).collect() == []
     assert rows_of(N.jaccard_components(clashing)) == rows_of(N.jaccard_components(docs))
     assert N.one_of_each(clashing).columns == clashing.columns
+
+
+def test_two_groups_and_two_sets_of_one_size_meet_once(spark, monkeypatch):
+    """Copies with other words in places are of one size, so each would meet the other's group."""
+    rng, rows, met = random.Random(7), [], []
+    for family in range(4):
+        words = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.sample(range(60), 2):
+                copy[at] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    whole = N._ordered_pairs
+
+    def ordered(pairs):
+        met.append(pairs.count())
+        return whole(pairs)
+
+    stored, kept = N.stored, {}
+
+    def watched(frame, label, *partitions):
+        kept[label] = stored(frame, label, *partitions)
+        return kept[label]
+
+    monkeypatch.setattr(N, "_ordered_pairs", ordered)
+    monkeypatch.setattr(N, "stored", watched)
+    check(spark, rows)
+    assert met[1:] == [kept["closest-pairs"].count(), kept["opened-pairs"].count()]
+    assert met[1] > 0
