@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -86,17 +87,20 @@ def _signed(left: int, right: int) -> int:
 
 
 @lru_cache(maxsize=4)
-def _rank_map_sql(path: str) -> str:
-    buckets: list[list[str]] = [["-1:-1"] for _ in range(BUCKETS)]
+def _rank_map_json(path: str) -> str:
+    buckets: list[dict[int, int]] = [{-1: -1} for _ in range(BUCKETS)]
     for left, right, rank in vocabulary(path).pairs:
-        buckets[_bucket(left, right)].append(f"{_signed(left, right)}:{rank}")
-    maps = (f"cast(str_to_map('{','.join(entries)}') as map<int,int>)" for entries in buckets)
-    return f"array({','.join(maps)})"
+        buckets[_bucket(left, right)][_signed(left, right)] = rank
+    return json.dumps(buckets, separators=(",", ":"))
 
 
 def rank_map(path: str) -> Column:
-    """A literal ``array<map<pair, rank>>``; a pair's bucket keeps each lookup short."""
-    return F.expr(_rank_map_sql(path))
+    """A literal ``array<map<pair, rank>>``; a pair's bucket keeps each lookup short.
+
+    It is folded from one string: an expression for each bucket would cost the driver
+    hundreds of MB to parse and to plan.
+    """
+    return F.from_json(F.lit(_rank_map_json(path)), "array<map<string,int>>").cast("array<map<int,int>>")
 
 
 def _rank(ranks: Column, left: Column, right: Column) -> Column:

@@ -91,3 +91,13 @@ def test_empty_tables_and_clashing_names(nothing, clashing):
     assert set(encoded(clashing).columns) == {*clashing.columns, "ids"} - {"text"}
     with pytest.raises(ValueError, match="another"):
         encoded(clashing.withColumn("ids", F.lit(1)))
+
+
+def test_the_rank_map_is_planned_as_one_literal(spark):
+    """An expression for each bucket filled the driver's heap."""
+    plans = spark.range(1).select(bpe.rank_map(PATH).alias("ranks"))._jdf.queryExecution()
+    assert plans.analyzed().toString().count("cast(") < 3
+    assert not any(name in plans.optimizedPlan().toString() for name in ("from_json", "str_to_map", "cast("))
+    buckets = spark.range(1).select(F.explode(bpe.rank_map(PATH)).alias("ranks")).select(F.explode("ranks")).collect()
+    found = {(key, rank) for key, rank in buckets if rank >= 0}
+    assert found == {(bpe._signed(left, right), rank) for left, right, rank in bpe.vocabulary(PATH).pairs}
