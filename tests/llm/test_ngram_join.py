@@ -103,3 +103,25 @@ def test_two_groups_and_two_sets_of_one_size_meet_once(spark, monkeypatch):
     check(spark, rows)
     assert met[1:] == [kept["closest-pairs"].count(), kept["opened-pairs"].count()]
     assert met[1] > 0
+
+
+def test_sets_of_a_group_meet_another_set_together(spark, monkeypatch):
+    """Single sets that hold much of a group's text meet the group once, not each of its members."""
+    rng, rows, kept, stored = random.Random(3), [], {}, N.stored
+    words = [f"w{i}" for i in range(60)]
+    for _ in range(12):
+        copy = list(words)
+        copy[rng.randrange(55, 60)] = f"edit{rng.random()}"
+        rows.append((len(rows), " ".join(copy)))
+    for single in range(8):
+        rows.append((len(rows), " ".join(words[:45] + [f"s{single}w{i}" for i in range(15)])))
+
+    def watched(frame, label, *partitions):
+        kept[label] = stored(frame, label, *partitions)
+        return kept[label]
+
+    monkeypatch.setattr(N, "stored", watched)
+    check(spark, rows)
+    parts = kept["group-parts"]
+    groups = len(rows) - parts.count() + parts.select("root_place").distinct().count()
+    assert groups < len(rows) and 0 < kept["qualifying"].count() <= groups * (groups - 1) // 2
